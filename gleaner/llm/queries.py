@@ -8,8 +8,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import langid, packing, simhash, toxicity, wordbpe
-from gleaner.session import table
+from gleaner.llm import chunkprint, hilbert, langid, maintext, packing, piecebpe, simhash, tokenfiles, toxicity, warc, wordbpe
+from gleaner.session import scratch_path, table
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    warc.register(spark)
+    path = scratch_path(spark, "warc")
+    warc.page_records(table(spark, sf_dir, "pages")).write.format("warc").mode("append").save(path)
+    read = spark.read.format("warc").load(path).where(F.col("record_type").isin("response", "revisit"))
+    digest = F.when(F.col("record_type") == "response", F.sha2("payload", 256)).otherwise(F.regexp_extract("payload_digest", "^sha256:([0-9a-f]{64})$", 1))
+    return read.select(
+        warc.page_id("record_id").alias("page_id"),
+        F.when(F.col("record_type") == "response", F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
+        digest.alias("payload_digest"),
+        "record_type",
+        warc.page_id("refers_to").alias("refers_to"),
+    )
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +37,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs, machine).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op4_maintext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunkprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -32,8 +55,20 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, profiles).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(wordbpe.TOKENIZER))
+
+
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecebpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(piecebpe.MODEL))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_toxicity, op6_simhash, op7_langid)}
+    return {f.__name__: f for f in (op1_warc, op2_packing, op3_toxicity, op4_maintext, op5_fingerprint, op6_simhash, op7_langid, op8_neighbours, op9_tokens, op10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
