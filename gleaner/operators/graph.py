@@ -192,3 +192,46 @@ def suggest_queries(chunks: DataFrame, most: int = 10) -> DataFrame:
     rows = chunks.where("name is not null").select("doc_id", "idx", F.posexplode(F.array_compact(F.array(F.concat(F.lit("How do I use "), "name", F.lit("?")), F.when(F.col("interface").isNotNull(), F.concat(F.lit("What is "), "interface", F.lit("."), "name", F.lit("?")))))).alias("k", "question"))
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy("idx", "k"))
     return rows.withColumn("n", n).where(F.col("n") <= most).select("doc_id", F.col("n").cast("long").alias("place"), "question")
+
+
+def format_node_text(nodes: DataFrame, detailed: bool = True) -> DataFrame:
+    """chunk_id, text: kind and name with the parent's name, detailed also with the content."""
+    up = nodes.select(F.col("chunk_id").alias("_c"), F.col("name").alias("_parent"))
+    rows = nodes.join(up.hint("merge"), nodes.parent_id == F.col("_c"), "left")
+    head = F.concat(F.initcap(F.replace("kind", F.lit("_"), F.lit(" "))), F.lit(": "), "name", F.coalesce(F.concat(F.lit(" of "), "_parent"), F.lit("")))
+    return rows.select("chunk_id", (F.concat(head, F.lit("\n"), "content") if detailed else head).alias("text"))
+
+
+def format_node_meta(nodes: DataFrame) -> DataFrame:
+    """The same from a node's own columns alone, where its entity is gone."""
+    return nodes.select("chunk_id", F.concat_ws(": ", "kind", "name", F.nullif("content", F.lit(""))).alias("text"))
+
+
+def build_api_prompts(found: DataFrame, nodes: DataFrame, most: int = 10) -> DataFrame:
+    """One block of sources for each query, tagged by what they are."""
+    rows = found.where(F.col("rank") <= most).join(nodes.select("chunk_id", "kind", "name", "content").hint("merge"), "chunk_id")
+    tag = F.when(F.col("kind") == "interface", F.concat(F.lit("[Interface: "), "name", F.lit("] "))).when(F.col("kind") == "method", F.concat(F.lit("[Function: "), "name", F.lit("] "))).otherwise("")
+    line = F.concat(F.lit("[Source "), F.col("rank").cast("string"), F.lit("]: "), tag, "content")
+    return rows.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", line.alias("t")))), lambda s: s.t), "\n").alias("sources"))
+
+
+def augment_text_with_links(chunks: DataFrame, forward: DataFrame, back: DataFrame, n: int = 3, preview: int = 150) -> DataFrame:
+    """Chunks with up to n distinct links and n distinct backlinks behind the text; targets by their first characters.
+
+    A target that is gone reads `[deleted chunk]`; internal links come before external ones.
+    """
+    text = chunks.select("doc_id", F.col("chunk_index").alias("target"), F.left("content", F.lit(preview)).alias("seen"))
+    key = ["doc_id", "chunk_index"]
+
+    def block(edges: DataFrame, title: str, name: str) -> DataFrame:
+        rows = edges.join(text.hint("merge"), ["doc_id", "target"], "left")
+        line = F.when(F.col("target").isNull(), F.concat(F.lit("- "), "uri", F.lit(" (external)"))).otherwise(F.concat(F.lit("- "), F.coalesce("seen", F.lit("[deleted chunk]")), F.lit(" (internal)")))
+        place = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("target").asc_nulls_last(), "uri"))
+        kept = rows.withColumn("line", line).withColumn("place", place).where(F.col("place") <= n)
+        return kept.groupBy(*key).agg(F.concat(F.lit(f"\n{title}:\n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "line"))), lambda s: s["line"]), "\n")).alias(name))
+
+    # an internal link may also carry an address: the target decides
+    links = forward.select(*key, "target", F.when(F.col("target").isNull(), F.col("uri")).alias("uri")).distinct()
+    backlinks = back.select(*key, "target").distinct().withColumn("uri", F.lit(None).cast("string"))
+    out = chunks.join(block(links, "Links To", "_l").hint("merge"), key, "left").join(block(backlinks, "Referenced From", "_b").hint("merge"), key, "left")
+    return out.select(*key, F.concat("content", F.coalesce("_l", F.lit("")), F.coalesce("_b", F.lit(""))).alias("text"))

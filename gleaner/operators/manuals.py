@@ -198,3 +198,42 @@ def assemble_interfaces(functions: DataFrame) -> DataFrame:
 def render_generic_table(rows: Column | str) -> Column:
     """Rows as pipe-table text, pipes in cells escaped."""
     return F.array_join(F.transform(col(rows), lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, lambda c: F.replace(strip(c), F.lit("|"), F.lit("\\|"))), " | "), F.lit(" |"))), "\n")
+
+
+_ASSIGNED = r"^(\w+)\s*=\s*(.+?)(?:,\s*)?$"
+
+
+def _grouped(rows: DataFrame, opening: str) -> DataFrame:
+    """Rows of each table with the name that its first opening row (`Name {` or `Name = (`) gives."""
+    c = strip("c1")
+    head = c.rlike(rf"[ =]\{opening}$")
+    name = strip(F.regexp_replace(F.regexp_replace(c, rf"\{opening}$", ""), r"\s*=?\s*$", ""))
+    names = rows.where(head).groupBy("table_id").agg(F.min_by(name, "row_idx").alias("group_name"))
+    return rows.where(~head).join(names.hint("merge"), "table_id", "left")
+
+
+def enum_rows(rows: DataFrame) -> DataFrame:
+    """Members of enum tables: `Name {` names the enum, braces alone are skipped; without a name it is UnknownEnum."""
+    c = strip("c1")
+    full = _grouped(rows, "{").where((c != "") & ~c.isin("{", "}"))
+    name = F.regexp_extract(c, _ASSIGNED, 1)
+    v = parse_code_value(F.when(name != "", F.regexp_extract(c, _ASSIGNED, 2)).otherwise(""))
+    return full.select("table_id", "row_idx", F.coalesce("group_name", F.lit("UnknownEnum")).alias("enum_name"), F.when(name != "", name).otherwise(c).alias("name"), v.getField("value_int").alias("value_int"), v.getField("value_str").alias("value_str"), strip("c2").alias("description"))
+
+
+def record_rows(rows: DataFrame) -> DataFrame:
+    """Fields of record tables: typed rows are fields, parentheses alone are skipped; without a name it is UnknownRecord."""
+    c = strip("c1")
+    full = _grouped(rows, "(").where((strip("c0") != "") & (c != "") & ~c.isin("(", ")"))
+    return full.select("table_id", "row_idx", F.coalesce("group_name", F.lit("UnknownRecord")).alias("record_name"), strip("c0").alias("type"), F.regexp_replace(c, r",\s*$", "").alias("name"))
+
+
+def interface_paragraphs(elements: DataFrame) -> DataFrame:
+    """Prose under an interface's heading (level 2 or 3) up to the next heading, without its first paragraph."""
+    full = elements.where((F.col("kind") == "paragraph") & (strip("text") != ""))
+    w = Window.partitionBy("doc_id").orderBy("position")
+    rows = full.withColumn("island", F.sum(F.when(F.col("heading_level") >= 0, 1).otherwise(0)).over(w))
+    named = F.when(F.col("heading_level").isin(2, 3), F.regexp_extract("text", r"\b(I[A-Z][A-Za-z0-9]*)\b", 1))
+    own = Window.partitionBy("doc_id", "island").orderBy("position")
+    rows = rows.withColumn("name", F.first(named).over(own)).withColumn("n", F.row_number().over(own)).where("n > 2 and name <> ''")
+    return rows.groupBy("doc_id", "island", "name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "text"))), lambda s: s["text"]), "\n").alias("paragraphs"))

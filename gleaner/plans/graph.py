@@ -61,7 +61,7 @@ def graph_children(spark, sf):
 
 
 @query(f"WITH {NODES} SELECT chunk_id, parent_id, kind, level, name, content FROM nod")
-def graph_json_round_trip(spark, sf):
+def graph_from_json(spark, sf):
     return G.graph_from_json(G.graph_to_json(nodes(spark, sf))).withColumn("level", F.col("level").cast("long"))
 
 
@@ -203,3 +203,41 @@ def validate_required_fields(spark, sf):
 SELECT doc_id, n AS place, question FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx, k) AS n FROM q) WHERE n <= 10""")
 def suggest_queries(spark, sf):
     return G.suggest_queries(meta(spark, sf))
+
+
+@query(f"WITH {NODES} SELECT chunk_id, md5(to_json) AS node FROM (SELECT chunk_id, '{{' || coalesce('\"parent_id\":\"' || parent_id || '\",', '') || '\"kind\":\"' || kind || '\",\"level\":' || level || ',\"name\":\"' || name || '\",\"content\":\"' || content || '\"}}' AS to_json FROM nod)")
+def graph_to_json(spark, sf):
+    return G.graph_to_json(nodes(spark, sf)).select("chunk_id", F.md5(F.col("node").cast("binary")).alias("node"))
+
+
+KIND = "CASE n.kind WHEN 'enum_value' THEN 'Enum Value' ELSE upper(left(n.kind, 1)) || substr(n.kind, 2) END"
+
+
+@query(f"WITH {NODES} SELECT n.chunk_id, {KIND} || ': ' || n.name || coalesce(' of ' || p.name, '') || chr(10) || n.content AS text FROM nod n LEFT JOIN nod p ON n.parent_id = p.chunk_id")
+def format_node_text(spark, sf):
+    return G.format_node_text(nodes(spark, sf))
+
+
+@query(f"WITH {NODES} SELECT chunk_id, kind || ': ' || name || ': ' || content AS text FROM nod")
+def format_node_meta(spark, sf):
+    return G.format_node_meta(nodes(spark, sf))
+
+
+@query(f"WITH {NODES}, {FOUND} SELECT query_id, string_agg('[Source ' || rank || ']: ' || CASE kind WHEN 'interface' THEN '[Interface: ' || name || '] ' WHEN 'method' THEN '[Function: ' || name || '] ' ELSE '' END || content, chr(10) ORDER BY rank) AS sources FROM fnd JOIN nod USING (chunk_id) WHERE rank <= 10 GROUP BY 1")
+def build_api_prompts(spark, sf):
+    n = nodes(spark, sf)
+    return G.build_api_prompts(found(spark, sf, n), n)
+
+
+def _block(src: str, title: str) -> str:
+    return f"SELECT doc_id, chunk_index, chr(10) || '{title}:' || chr(10) || string_agg(line, chr(10) ORDER BY place) AS t FROM (SELECT s.doc_id, s.chunk_index, CASE WHEN s.target IS NULL THEN '- ' || s.uri || ' (external)' ELSE '- ' || coalesce(left(x.content, 150), '[deleted chunk]') || ' (internal)' END AS line, row_number() OVER (PARTITION BY s.doc_id, s.chunk_index ORDER BY s.target NULLS LAST, s.uri) AS place FROM {src} s LEFT JOIN ck x ON x.doc_id = s.doc_id AND x.chunk_index = s.target) WHERE place <= 3 GROUP BY 1, 2"
+
+
+@query(f"""WITH {LINKS}, ck AS (SELECT c.doc_id, c.chunk_index, text AS content FROM chk c JOIN cv ON cv.doc_id = c.doc_id AND cv.page = c.page WHERE c.chunk_index % 5 <> 4), fw AS (SELECT DISTINCT doc_id, chunk_index, target, CASE WHEN target IS NULL THEN uri END AS uri FROM lo WHERE target IS NOT NULL OR uri IS NOT NULL), bk AS (SELECT DISTINCT doc_id, target AS chunk_index, chunk_index AS target, NULL AS uri FROM lo WHERE target IS NOT NULL),
+b1 AS ({_block('fw', 'Links To')}), b2 AS ({_block('bk', 'Referenced From')}) SELECT ck.doc_id, ck.chunk_index, content || coalesce(b1.t, '') || coalesce(b2.t, '') AS text FROM ck LEFT JOIN b1 ON b1.doc_id = ck.doc_id AND b1.chunk_index = ck.chunk_index LEFT JOIN b2 ON b2.doc_id = ck.doc_id AND b2.chunk_index = ck.chunk_index""")
+def augment_text_with_links(spark, sf):
+    l, chunks = links(spark, sf)
+    text = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.col("text").alias("content"))
+    forward, back = G.resolve_links(l, chunks)
+    full = chunks.join(text.hint("merge"), ["doc_id", "page"]).where("chunk_index % 5 <> 4")
+    return G.augment_text_with_links(full, forward, back)

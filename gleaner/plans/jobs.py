@@ -114,8 +114,18 @@ def write_eval_report(spark, sf):
     return spark.read.text(f"{path}/markdown").select(F.col("value").alias("line"))
 
 
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY 1")
+def persist_index(spark, sf):
+    """Two writes; the second replaces the buckets it touches."""
+    path = scratch_path(spark, "index")
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "lang")
+    specs.persist_index(rows, path)
+    specs.persist_index(rows, path)
+    return specs.load_index(spark, path).groupBy("lang").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {R.bm25(R.camel)} SELECT chunk_id, term, tf, lang FROM wgt JOIN documents ON doc_id = chunk_id")
-def persist_and_load_index(spark, sf):
+def load_index(spark, sf):
     path = scratch_path(spark, "index")
     specs.persist_index(H.bm25_index(R.chunks(spark, sf)).select("chunk_id", "term", "tf"), path)
     owners = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "lang")

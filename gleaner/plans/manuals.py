@@ -202,3 +202,38 @@ def assemble_interfaces(spark, sf):
     name = F.concat(F.regexp_extract("c1", r"^(\w+?)[0-9]*\(", 1), (F.col("island") % 7).cast("string"))
     f = m.select((F.col("table_id") % 8).alias("doc_id"), F.concat(F.lit("I"), (F.col("island") % 5).cast("string")).alias("interface"), name.alias("name"), (F.col("table_id") * 100000 + F.col("island")).alias("position"))
     return M.assemble_interfaces(f)
+
+
+GROUPS = [
+    ("p_partkey % 10 = 0 AND p_partkey % 30 <> 0", "p_partkey", "''", "'E' || p_partkey || ' {'", "''"),
+    ("p_partkey % 10 IN (1, 2, 3)", "p_partkey", "'int'", "'v' || p_partkey || ' = ' || p_size || ','", "p_type"),
+    ("p_partkey % 10 = 4", "p_partkey", "'int'", "'plain' || p_partkey", "''"),
+    ("p_partkey % 10 = 5", "p_partkey", "''", "'}'", "''"),
+]
+
+
+def _grouped(parts: list) -> str:
+    return "grp AS (" + " UNION ALL ".join(f"SELECT p_partkey // 10 AS table_id, {i} AS row_idx, {a} AS c0, {b} AS c1, {c} AS c2 FROM part WHERE {on}" for on, i, a, b, c in parts) + ")"
+
+
+def _group_rows(spark, sf, parts) -> DataFrame:
+    return _rows(spark, sf, parts).withColumn("table_id", F.floor(F.col("row_idx") / 10))
+
+
+@query(f"WITH {_grouped(GROUPS)} SELECT table_id, row_idx, CASE WHEN table_id % 3 = 0 THEN 'UnknownEnum' ELSE 'E' || (table_id * 10) END AS enum_name, CASE row_idx % 10 WHEN 4 THEN c1 ELSE 'v' || row_idx END AS name, CASE row_idx % 10 WHEN 4 THEN NULL ELSE p_size::BIGINT END AS value_int, CAST(NULL AS VARCHAR) AS value_str, c2 AS description FROM grp JOIN part ON p_partkey = row_idx WHERE row_idx % 10 BETWEEN 1 AND 4")
+def enum_rows(spark, sf):
+    return M.enum_rows(_group_rows(spark, sf, GROUPS))
+
+
+RECORDS = [(on, i, a, b.replace(" {", " = (").replace("}", ")").replace(" || ' = ' || p_size || ','", " || ','"), c) for on, i, a, b, c in GROUPS]
+
+
+@query(f"WITH {_grouped(RECORDS)} SELECT table_id, row_idx, CASE WHEN table_id % 3 = 0 THEN 'UnknownRecord' ELSE 'E' || (table_id * 10) END AS record_name, 'int' AS type, CASE row_idx % 10 WHEN 4 THEN 'plain' ELSE 'v' END || row_idx AS name FROM grp WHERE row_idx % 10 BETWEEN 1 AND 4")
+def record_rows(spark, sf):
+    return M.record_rows(_group_rows(spark, sf, RECORDS))
+
+
+@query(rf"""WITH {RAW}, n AS (SELECT *, sum(CASE WHEN heading_level >= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY position) AS island FROM raw WHERE kind = 'paragraph' AND trim(text) <> ''), m AS (SELECT *, first_value(CASE WHEN heading_level IN (2, 3) THEN regexp_extract(text, '\b(I[A-Z][A-Za-z0-9]*)\b', 1) END) OVER w AS name, row_number() OVER w AS k FROM n WINDOW w AS (PARTITION BY doc_id, island ORDER BY position))
+SELECT doc_id, CAST(island AS BIGINT) AS island, name, string_agg(text, chr(10) ORDER BY position) AS paragraphs FROM m WHERE k > 2 AND name <> '' GROUP BY 1, 2, 3""")
+def interface_paragraphs(spark, sf):
+    return M.interface_paragraphs(raw_elements(spark, sf))

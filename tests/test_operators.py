@@ -1,0 +1,105 @@
+"""Hand-computed cases of operators whose meaning SQL over the test tables does not show."""
+
+from pyspark.sql import functions as F
+
+from gleaner.operators import answers as J
+from gleaner.operators import chunking as C
+from gleaner.operators import elements as E
+from gleaner.operators import graph as GR
+from gleaner.operators import lexical as H
+from gleaner.operators import manuals as M
+from gleaner.operators import vectors as G
+from gleaner.streaming import jobs
+
+
+def value(spark, c, **cols):
+    df = spark.createDataFrame([tuple(cols.values())], list(cols)) if cols else spark.range(1)
+    return df.select(c.alias("v")).first().v
+
+
+def test_pack_parts():
+    text = "aaaa\nbbbb\ncccc"
+    assert C.pack_parts(text, 9, 0, "\n") == ["aaaa\nbbbb", "cccc"]
+    assert C.pack_parts(text, 10, 0, "\n", "legacy") == ["aaaabbbb", "cccc"]
+    assert C.pack_parts("x" * 10, 4, 1, "\n") == ["xxxx"] * 3
+    assert C.pack_parts("abcdef", 4, 2, "") == ["abcd", "ef"]
+    assert C.pack_parts("x" * 9, 4, 9, "\n")[-1] == "xxxx"  # an overlap over the size still ends
+
+
+def test_chunks_rejoin_to_the_text(spark):
+    text = "\n".join(f"line {i} of a text" for i in range(200))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    rows = C.chunk_recursive(df, size=300, overlap=0).orderBy("chunk_index").collect()
+    assert "\n".join(r.content for r in rows) == text
+
+
+def test_merge_and_split(spark):
+    rows = [(1, 0, "a b"), (1, 1, "c " * 80), (1, 2, "d " * 80)]
+    merged = C.merge_undersized(spark.createDataFrame(rows, "doc_id long, chunk_index int, content string")).orderBy("chunk_index").collect()
+    assert [r.merged for r in merged] == [1, 0]
+    big = spark.createDataFrame([(1, 0, "\n".join(["w " * 30] * 10))], "doc_id long, chunk_index int, content string")
+    pieces = C.split_oversized(big, 100).collect()
+    assert sum(len(p.content.split()) for p in pieces) == 300 and max(len(p.content.split()) for p in pieces) <= 100
+
+
+def test_bm25_prefers_the_rarer_term(spark):
+    chunks = spark.createDataFrame([(1, "red apple"), (2, "red car"), (3, "red house red"), (4, "green tree"), (5, "blue sky")], "chunk_id long, content string")
+    q = spark.createDataFrame([(1, "red apple")], "query_id long, question string")
+    ranked = H.bm25_topk(q, chunks, H.bm25_index(chunks), 5).orderBy("rank").collect()
+    assert ranked[0].chunk_id == 1 and ranked[0].score == 1.0 and len(ranked) == 5 and ranked[-1].score == 0.0
+
+
+def test_vectors(spark):
+    df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, [float("nan"), 1.0])], "id long, embedding array<double>")
+    assert G.l2_normalize(df.where("id = 1")).first().embedding == [0.6, 0.8]
+    assert [r.reason for r in G.validate_embeddings(df, 2).orderBy("id").collect()] == [None, None, "null", "nan"]
+    v = G.embed_texts(spark.createDataFrame([("a b a",), ("",)], "text string")).collect()
+    assert abs(sum(x * x for x in v[0].embedding) - 1) < 1e-9 and set(v[1].embedding) == {0.0}
+    words = G.embed_words(spark.createDataFrame([(1, "a b a")], "k long, text string"), "k").first()
+    assert all(abs(a - b) < 1e-12 for a, b in zip(words.embedding, v[0].embedding, strict=True))
+
+
+def test_answers(spark):
+    t = "First line of the answer.\nshort\nFirst line of the\nvery very very good things [Source 2]\nQuestion: next"
+    assert value(spark, J.clean_answers(F.lit(t))) == "First line of the answer.\nvery good things"
+    assert value(spark, J.sanitize_text(F.lit("a\x00b\tc\n"))) == "ab\tc\n"
+    assert value(spark, J.redact_secrets(F.lit("token = abc123 x"))) == "token = *** x"
+    s = spark.createDataFrame([(1, 0, "The sky is blue. [Source 1]"), (1, 1, "Cats bark. [Source 9]"), (2, 0, "Alone.")], "query_id long, pos long, sentence string")
+    src = spark.createDataFrame([(1, 1, "the sky is blue.")], "query_id long, source long, content string")
+    got = {r.query_id: r for r in J.verify_answers(s, src).collect()}
+    assert (got[1].supported, got[1].confidence, got[1].verified) == (1, 0.5, "The sky is blue. [Source 1]")
+    assert got[2].confidence == 1.0
+
+
+def test_code_elements(spark):
+    assert value(spark, E.classify_code_element(F.lit("public enum EFooError { errA = 1 }"))) == "error_code"
+    assert value(spark, E.classify_code_element(F.lit("int Count { get; set; }"))) == "property"
+    params = value(spark, E.signature_params(F.lit("void F([in] Map<int, string> a, [out] long* b)")))
+    assert [(p.direction, p.type, p.name) for p in params] == [("in", "Map<int, string>", "a"), ("out", "long*", "b")]
+    assert value(spark, E.name_keywords(F.lit("GetHTMLPage"), F.lit("create it"))) == ["get", "html", "page", "create"]
+    sig = E.reconstruct_signature(spark.createDataFrame([("intro\nlong F(int a,\n  int b)\nmore",)], "content string")).first()
+    assert sig.signature == "long F(int a, int b)"
+
+
+def test_manuals(spark):
+    assert value(spark, M.heading_level(F.lit("Heading 3"))) == 3 and value(spark, M.heading_level(F.lit("Title"))) == 0
+    assert value(spark, M.interface_name(F.lit("Functions"), loose=True)) == "ions" and value(spark, M.interface_name(F.lit("Functions:"))) == "Functions"
+    assert tuple(value(spark, M.parse_code_value(F.lit("0x80070057")))) == (0x80070057, None)
+    assert tuple(value(spark, M.property_name(F.lit("Count [long i] of items")))) == ("Count", "of items")
+    rows = spark.createDataFrame([(1, 0, "", "x", ""), (1, 1, "long", "F(", "d"), (1, 2, "", "int a)", "e")], "table_id long, row_idx long, c0 string, c1 string, c2 string")
+    (one,) = M.merge_continuation_rows(rows).collect()
+    assert (one.c0, one.c1, one.c2) == ("long", "F(\nint a)", "d\ne")
+
+
+def test_links(spark):
+    ranked = spark.createDataFrame([(1, 1, 0, 0.9), (1, 1, 1, 0.5)], "query_id long, doc_id long, chunk_index long, score double")
+    edges = spark.createDataFrame([(1, 0, 5), (1, 1, 5), (1, 1, 0), (1, 0, 6), (1, 0, 7)], "doc_id long, chunk_index long, target long")
+    got = GR.expand_with_links(ranked, edges, factor=2).orderBy(F.desc("score"), "chunk_index").collect()
+    assert [(r.chunk_index, r.score) for r in got] == [(0, 0.9), (5, 0.765), (6, 0.765), (1, 0.5)]
+
+
+def test_rate_limit_counts_accepted_requests(spark):
+    rows = [(i, 1, "view", i * 10.0) for i in range(8)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, s double").withColumn("ts", F.col("s").cast("timestamp"))
+    got = [r.accepted for r in jobs.rate_limit(df, limit=2, seconds=30).orderBy("event_id").collect()]
+    assert got == [True, True, False, True, True, False, True, True]
