@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Ranges for each shuffle partition, so that uneven hashing evens out.
-RANGES_PER_PARTITION = 4
-
-
 def range_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
     """At most parts - 1 ascending bounds of an integer key; only these come to the driver."""
     if parts < 2:
@@ -26,7 +22,7 @@ def range_of(key: str, bounds: list[int]) -> Column:
 
 
 def deal_ranges(df: DataFrame, key: str, tie: str, guests: bool = False, bounds: list[int] | None = None) -> DataFrame:
-    """df with `part` (its range), each range whole in one partition and sorted by key (nulls last), then tie.
+    """df with `part` (its range), each range a partition of its own and sorted by key (nulls last), then tie.
 
     With guests, each range ends in a copy, marked `guest`, of the first row of the next range that
     has rows (after the last: of the first). Only a range's first key is gathered on the driver.
@@ -34,7 +30,7 @@ def deal_ranges(df: DataFrame, key: str, tie: str, guests: bool = False, bounds:
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if bounds is None:
-        bounds = range_bounds(df, key, n * RANGES_PER_PARTITION)
+        bounds = range_bounds(df, key, n)
     rows = df.withColumn("part", range_of(key, bounds)).withColumn("guest", F.lit(False))
     if guests:
         first = sorted((r.part, r.k) for r in rows.groupBy("part").agg(F.min(key).alias("k")).collect())
@@ -47,4 +43,4 @@ def deal_ranges(df: DataFrame, key: str, tie: str, guests: bool = False, bounds:
         if before:
             move = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))
             rows = rows.unionByName(heads.select("row.*", move[F.col("part")].cast("int").alias("part"), F.lit(True).alias("guest")))
-    return rows.repartition(n, "part").sortWithinPartitions("part", "guest", F.col(key).asc_nulls_last(), tie)
+    return rows.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "guest", F.col(key).asc_nulls_last(), tie)

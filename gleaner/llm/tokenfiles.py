@@ -120,7 +120,7 @@ def _encode(tokenizer: str):
 def write_tokens(df: DataFrame, tokenizer: str, path: str, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """Encode and write all documents in ascending order of their key below path; returns the manifest."""
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = range_bounds(rows, "doc_id", parts)
     coded = rows.mapInArrow(_encode(tokenizer), "doc_id long, ids binary, width int")
 
