@@ -1,7 +1,7 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
-Terms of a text are its distinct words and their beginnings of 4, 5 and 6 letters, hashed to 2^20
-places. The machine has a weight for each kept term and a short factor vector, so that pairs of
+Terms of a text are its distinct words and their beginnings of 4, 5 and 6 letters, and each of these
+that occurs more than once as a further term, all hashed to 2^20 places. The machine has a weight for each kept term and a short factor vector, so that pairs of
 terms (an insult beside a mention of a group, two mild words together) count beyond their sum.
 It is fitted on a bounded sample of labelled rows (MAX_FIT, the rows whose hashed id is smallest);
 of these, the KEPT terms that tell the classes apart best by chi-square enter the machine.
@@ -54,7 +54,10 @@ def _terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         keys.append(mix((total[end] - total[at]) * inverse[at] + np.uint64(k)))
         where.append(doc[on])
     pair = np.concatenate(where).astype(np.int64) << BITS | (np.concatenate(keys) >> np.uint64(64 - BITS)).astype(np.int64)
-    pair = np.unique(pair)
+    pair, n = np.unique(pair, return_counts=True)
+    again = pair[n > 1]  # a term that a text repeats is a further term
+    again = again >> BITS << BITS | (mix(again.astype(np.uint64) & np.uint64((1 << BITS) - 1) | np.uint64(1 << 62)) >> np.uint64(64 - BITS)).astype(np.int64)
+    pair = np.unique(np.concatenate([pair, again]))
     return pair >> BITS, pair & ((1 << BITS) - 1)
 
 
@@ -95,15 +98,16 @@ class Machine:
         return out
 
 
-def _learn(x: np.ndarray, y: np.ndarray, factors: int, seed: int = 7, epochs: int = 60, positive: float = 3.0) -> tuple[float, np.ndarray, np.ndarray]:
-    """Logistic loss, label 1 counting `positive` times; Adam on blocks of rows, ridge on weights and factors."""
+def _learn(x: np.ndarray, y: np.ndarray, factors: int, seed: int = 7, epochs: int = 30, steps: int = 210, positive: float = 10.0) -> tuple[float, np.ndarray, np.ndarray]:
+    """Logistic loss, label 1 counting `positive` times; Adam on blocks of rows (at least `epochs` rounds and `steps` blocks), ridge on weights and factors."""
     rng = np.random.default_rng(seed)
     n, m = x.shape
     params = [np.array([np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))], np.float32), np.zeros(m, np.float32), rng.normal(0, 0.01, (m, factors)).astype(np.float32)]
     first, second = [[np.zeros_like(p) for p in params] for _ in range(2)]
     step, block = 0, min(2048, n)
-    for _ in range(epochs):
-        for rows in np.array_split(rng.permutation(n), max(1, n // block)):
+    blocks = max(1, n // block)
+    for _ in range(max(epochs, -(-steps // blocks))):
+        for rows in np.array_split(rng.permutation(n), blocks):
             a, (b, w, v) = x[rows], params
             s = a @ v
             z = b[0] + a @ w + 0.5 * ((s * s).sum(1) - a @ (v * v).sum(1))
