@@ -52,5 +52,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows, and bytes where the Spark version knows that limit, of one batch handed to a Python task.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep the batches that go to Python tasks small: whole texts are long, and a batch is held twice."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a folder; Python tasks over it get small batches."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
