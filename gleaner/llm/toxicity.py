@@ -98,7 +98,7 @@ class Machine:
         return out
 
 
-def _learn(x: np.ndarray, y: np.ndarray, factors: int, seed: int = 7, epochs: int = 30, steps: int = 210, positive: float = 10.0) -> tuple[float, np.ndarray, np.ndarray]:
+def _learn(x: np.ndarray, y: np.ndarray, factors: int, seed: int = 7, epochs: int = 20, steps: int = 100, positive: float = 5.0) -> tuple[float, np.ndarray, np.ndarray]:
     """Logistic loss, label 1 counting `positive` times; Adam on blocks of rows (at least `epochs` rounds and `steps` blocks), ridge on weights and factors."""
     rng = np.random.default_rng(seed)
     n, m = x.shape
