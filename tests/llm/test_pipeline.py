@@ -1,9 +1,10 @@
 """The pipeline against its stages done by hand, and odd rows through every stage."""
 
+import random
 from collections import defaultdict
 
 import corpus_pipeline as pipeline
-from gleaner.llm import langid, simhash, toxicity
+from gleaner.llm import langid, neardup, simhash, toxicity
 from gleaner.session import table
 from test_operators import odd_docs
 
@@ -37,3 +38,46 @@ def test_odd_rows(spark, sf):
         assert stage(spark, docs.where("1 = 0"), sf).count() == 0
     left = [r.doc_id for r in pipeline.near_dedup(spark, docs, sf).collect()]
     assert sorted(k for k in left if k) == [1, 3, 4, 5, 6, 8] and None in left
+
+
+def five_word_groups(texts):
+    """Of texts by id: groups connected by 5-word Jaccard similarity of 0.8 or more, every pair compared."""
+    sets = {}
+    for k, t in texts.items():
+        words = (t or "").lower().split()
+        sets[k] = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    group = {k: k for k in texts}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            small, large = sorted((len(sets[a]), len(sets[b])))
+            if a < b and small >= 0.8 * large and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and group[a] != group[b]:
+                one, other = group[a], group[b]
+                group = {k: min(one, other) if g in (one, other) else g for k, g in group.items()}
+    return group
+
+
+def test_near_dedup_by_jaccard(spark, sf):
+    docs = table(spark, sf.replace("sf0.001", "sf0.01"), "documents")
+    group = five_word_groups({r.doc_id: r.text for r in docs.select("doc_id", "text").collect()})
+    left = {r.doc_id for r in pipeline.near_dedup(spark, docs, sf).select("doc_id").collect()}
+    assert left == set(group.values())
+    assert 2 not in left or 56 not in left  # Jaccard 0.967 at 5 bits of SimHash
+
+
+def test_near_dedup_large_group_in_blocks(spark):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    texts = {}
+    for k in range(90):
+        words = list(base)
+        for at in rng.sample(range(100), rng.choice((1, 2, 3))):
+            words[at] = f"x{rng.randrange(10**6)}"
+        texts[k] = " ".join(words)
+    want = five_word_groups(texts)
+    assert 1 < len(set(want.values())) < 80
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for block in (7, 512):
+        got = defaultdict(set)
+        for r in neardup.near_duplicates(df, block=block).collect():
+            got[r.group].add(r.doc_id)
+        assert {min(g) for g in got.values()} == set(want.values())
