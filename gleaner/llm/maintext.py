@@ -5,8 +5,10 @@ its text, the tags it was made of, its linked characters and the container it st
 is unlinked text over tags; lines in menus, forms, notices and the like have ratio 0. Ratios are
 smoothed by a Gaussian over neighbouring lines, and lines above a threshold (a share of the standard
 deviation) cluster into content regions. The regions choose the container: an article or main
-element that holds one, else the deepest element that holds nearly all of their text. All lines of
-that container outside menus, forms, notices, adverts and comments are the main text, so that a
+element that holds one, else the deepest element that holds all their dense lines, or one
+around it that has region text of its own beside them. A class or id that
+names a menu, notice or the like drops its element, unless that holds most of the page's text (comments
+and related pages excepted) or nothing else is left. All lines of that container outside menus, forms, notices, adverts and comments are the main text, so that a
 short paragraph between long ones is kept.
 
 Edge cases: a null or empty page, and one without unlinked text, has the empty text; text outside
@@ -37,11 +39,18 @@ MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer form gdpr legal login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promos promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored sponsors subscribe subscription tags toolbar topbar widget widgets".split()
 )
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+#: Marks that count however much text their element holds, and words that undo the marks after them.
+ALWAYS = frozenset("comment comments disqus recommended related replies reply respond".split())
+UNDONE = frozenset("has no with without".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 #: Conditional sections, which the parser can't read.
 _SECTION = re.compile(r"<!\[(?!CDATA\[)[^>]*>")
 SIGMA, SHARE = 1.5, 0.5
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+VOID = frozenset(["hr"])
+#: Elements that end an open one of these.
+ALONE = {k: group for group in (frozenset(["li"]), frozenset(["dd", "dt"]), frozenset(["td", "th"])) for k in group} | {"tr": frozenset(["td", "th", "tr"])}
 
 
 @dataclass
@@ -52,6 +61,8 @@ class Box:
     parent: Box | None
     dropped: bool
     article: Box | None = None
+    fixed: bool = False
+    mark: int = -1
 
 
 @dataclass
@@ -62,17 +73,24 @@ class Line:
     linked: int = 0
 
 
-def marked(attrs: list[tuple[str, str | None]]) -> bool:
-    """Whether class, id, role or aria attributes say that this is no main text."""
+def named(attrs: list[tuple[str, str | None]]) -> set[str]:
+    """Words of class and id that mark what is no main text."""
+    found = set()
+    for token in (t for name, value in attrs if name in ("class", "id") and value for t in value.split()):
+        for word in (w.lower() for w in _WORDS.findall(token)):
+            if word in UNDONE:
+                break
+            if word in MARKS:
+                found.add(word)
+    return found
+
+
+def unseen(attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether role, aria or hidden attributes say that this is no main text."""
     for name, value in attrs:
-        if not value:
-            continue
-        if name in ("class", "id"):
-            if any(w.lower() in MARKS for w in _WORDS.findall(value)):
-                return True
-        elif name == "role" and value.strip().lower() in ROLES:
+        if name == "role" and value and value.strip().lower() in ROLES:
             return True
-        elif name == "aria-hidden" and value.strip().lower() == "true":
+        if name == "aria-hidden" and value and value.strip().lower() == "true":
             return True
     return any(name == "hidden" for name, _ in attrs)
 
@@ -80,8 +98,11 @@ def marked(attrs: list[tuple[str, str | None]]) -> bool:
 class Lines(HTMLParser):
     """Collects a page's lines from parser events."""
 
-    def __init__(self) -> None:
+    def __init__(self, ignored: frozenset[int] | None = frozenset()) -> None:
+        """ignored: numbers of the marks that don't count; None: none counts."""
         super().__init__(convert_charrefs=True)
+        self.ignored = ignored
+        self.marks: list[set[str]] = []
         self.root = self.box = Box("", None, False)
         self.lines = [Line(self.root)]
         self.link = 0
@@ -94,11 +115,20 @@ class Lines(HTMLParser):
             last.box, last.tags = self.box, last.tags + 1
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in CONTAINERS:
+        block = tag in BLOCKS or tag in CONTAINERS
+        while block and self.box.parent is not None and (self.box.tag == "p" or tag in ALONE and self.box.tag in ALONE[tag]):
+            self.box = self.box.parent  # a marked element whose end tag is left out
+        words = set() if not block or tag in HEADINGS else named(attrs)
+        if tag in CONTAINERS or block and tag not in VOID and tag not in HEADINGS and (words or unseen(attrs)):
             inside = self.box.article
             plain = tag in ("html", "body", "main") or (tag == "article" and inside is None)
-            dropped = self.box.dropped or tag in DROPPED or (tag == "header" and inside is None) or (not plain and marked(attrs))
-            box = Box(tag, self.box, dropped, inside)
+            fixed = self.box.fixed or tag in DROPPED or (tag == "header" and inside is None) or (not plain and unseen(attrs))
+            box = Box(tag, self.box, self.box.dropped or fixed, inside, fixed)
+            if not plain and words:
+                box.mark = len(self.marks)
+                self.marks.append(words)
+                box.dropped |= self.ignored is not None and box.mark not in self.ignored
+            dropped = box.dropped
             # the outermost article counts, or a main element without one
             if not dropped and (tag == "article" and (inside is None or inside.tag == "main") or tag == "main" and inside is None):
                 box.article = box
@@ -106,7 +136,7 @@ class Lines(HTMLParser):
         if tag in BLOCKS or tag in CONTAINERS:
             self._new()
             if tag == "title":
-                self.lines[-1].box = Box("title", self.box, True)
+                self.lines[-1].box = Box("title", self.box, True, fixed=True)
         else:
             self.lines[-1].tags += 1
             if tag == "br":
@@ -120,7 +150,7 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in CONTAINERS:
+        if tag in CONTAINERS or tag in BLOCKS and self.box.tag == tag:
             box = self.box
             while box.parent is not None and box.tag != tag:
                 box = box.parent
@@ -154,9 +184,41 @@ def extract(html: str | None) -> str:
     """The main text of one page."""
     if not html:
         return ""
-    parser = Lines()
-    parser.feed(_SECTION.sub("", html))
+    html = _SECTION.sub("", html)
+    parser = _parsed(html)
+    if parser.marks:
+        if ignored := _outweighed(parser):
+            parser = _parsed(html, ignored)
+        if text := _select(parser):
+            return text
+        parser = _parsed(html, None)
+    return _select(parser)
+
+
+def _parsed(html: str, ignored: frozenset[int] | None = frozenset()) -> Lines:
+    parser = Lines(ignored)
+    parser.feed(html)
     parser.close()
+    return parser
+
+
+def _outweighed(parser: Lines) -> frozenset[int]:
+    """Marks of elements that hold more than half of the page's unlinked text."""
+    total, held = 0, dict.fromkeys(range(len(parser.marks)), 0)
+    for line in parser.lines:
+        box: Box | None = line.box
+        if box.fixed:
+            continue
+        size = max(0, len(_SPACE.sub(" ", "".join(line.text)).strip()) - line.linked)
+        total += size
+        while box is not None:
+            if box.mark >= 0:
+                held[box.mark] += size
+            box = box.parent
+    return frozenset(k for k, v in held.items() if 2 * v > total and not parser.marks[k] & ALWAYS)
+
+
+def _select(parser: Lines) -> str:
     rows = []
     for line in parser.lines:
         text = _SPACE.sub(" ", "".join(line.text)).strip()
@@ -167,40 +229,49 @@ def extract(html: str | None) -> str:
     if not any(text for _, text in rows):
         return ""
     # a single block has no neighbours to differ from
-    ratio = smooth(np.array([max(0, len(text) - line.linked) / line.tags if text else 0.0 for line, text in rows]))
-    region = ratio >= SHARE * float(ratio.std())
+    raw = np.array([max(0, len(text) - line.linked) / line.tags if text else 0.0 for line, text in rows])
+    ratio = smooth(raw)
+    border = SHARE * float(ratio.std())
+    region, core = ratio >= border, raw >= border
     weights: dict[int, int] = {}
     boxes: dict[int, Box] = {}
     articles: dict[int, int] = {}
     total = 0
-    for (line, text), on in zip(rows, region, strict=True):
+    direct: set[int] = set()
+    for (line, text), on, dense in zip(rows, region, core, strict=True):
         if not (on and text):
             continue
         size = max(1, len(text) - line.linked)
-        total += size
+        if len(text) > line.linked:
+            direct.add(id(line.box))
         box: Box | None = line.box
         if box.article is not None:
             top = box.article
             boxes[id(top)] = top
             articles[id(top)] = articles.get(id(top), 0) + size
+        total += size if dense else 0
         while box is not None:
             boxes[id(box)] = box
-            weights[id(box)] = weights.get(id(box), 0) + size
+            weights[id(box)] = weights.get(id(box), 0) + (size if dense else 0)
             box = box.parent
     if articles:
         if any(boxes[k].tag == "article" for k in articles):
             articles = {k: v for k, v in articles.items() if boxes[k].tag == "article"}
-        best = max(articles.values())
-        chosen = {k for k, v in articles.items() if v >= 0.3 * best}  # several articles of one page
+        chosen = set(articles)  # several articles of one page
     else:
         deepest, depth = parser.root, -1
         for k, v in weights.items():
-            if v >= 0.8 * total:
+            if v == total:
                 d, box = 0, boxes[k]
                 while box.parent is not None:
                     d, box = d + 1, box.parent
                 if d > depth:
                     deepest, depth = boxes[k], d
+        above = deepest  # the highest element around it that has region text of its own, as a heading or lead
+        while above.parent is not None:
+            above = above.parent
+            if id(above) in direct:
+                deepest = above
         chosen = {id(deepest)}
 
     def inside(box: Box | None) -> bool:

@@ -472,3 +472,17 @@ def test_pieces_query(spark, sf):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(bpe.model.decode(ids)))
     odd = piecebpe.encode_documents(odd_docs(spark), public_tokenizers.path(piecebpe.MODEL)).collect()
     assert {r.decoded for r in odd if r.doc_id in (1, 2)} == {""} and len(odd) == 10
+
+
+def test_maintext_keeps_the_whole_article():
+    long, mid = "A long sentence of the article goes on and on with many plain words. " * 12, "A sentence that leads into the text, of middling length, with words. " * 2
+    nav = "<div class='nav'><a href=x>Home</a> <a href=y>Shop</a></div>"
+    got = maintext.extract(f"<body>{nav}<div id=c><h1>Head line</h1><p>{mid}lead</p><div class=body><p>{long}</p><p>{long}</p></div><p>{mid}closing</p></div></body>")
+    assert all(w in got for w in ("Head line", "lead", "long sentence", "closing")) and "Shop" not in got
+    got = maintext.extract(f"<body><article><p>{long * 4}</p></article><article><p>{mid}second</p></article></body>")
+    assert "second" in got
+    for name in ("layout has-sidebar", "no-ads", "with-menu page", "banner"):
+        assert "long sentence" in maintext.extract(f"<body>{nav}<div class='{name}'><article><p>{long}</p></article></div></body>"), name
+    assert "long sentence" in maintext.extract(f"<body><div class='comments'><p>{long}</p></div></body>")  # nothing else is left
+    got = maintext.extract(f"<body><article><p>{long}</p><p class='cookie-notice'>{mid}biscuit<p>{mid}end</p><ul><li class=promo>{mid}buy<li>{mid}item</ul></article><div class=comments><p>{long * 9}remark</p></div></body>")
+    assert "end" in got and "item" in got and not any(w in got for w in ("biscuit", "buy", "remark"))
