@@ -81,3 +81,11 @@ def test_near_dedup_large_group_in_blocks(spark):
         for r in neardup.near_duplicates(df, block=block).collect():
             got[r.group].add(r.doc_id)
         assert {min(g) for g in got.values()} == set(want.values())
+
+
+def test_near_dedup_repeated_and_null_ids(spark):
+    a, b, c = ("one two three four five six " + w for w in ("seven", "eight nine ten eleven twelve", "alpha beta gamma delta epsilon"))
+    rows = [(1, a), (5, a), (5, b), (5, b), (None, c), (None, c), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [tuple(r) for r in pipeline.near_dedup(spark, df, "").collect()]
+    assert sorted(left, key=str) == sorted([(1, a), (5, b), (None, c)], key=str)
