@@ -135,7 +135,9 @@ def language(profiles: dict[str, np.ndarray], text: Column | str = "text", size:
 
 def predict(df: DataFrame, profiles: dict[str, np.ndarray], text: str = "text", size: int = PROFILE) -> DataFrame:
     """df with lang_pred and score."""
-    return df.withColumn("_lang", language(profiles, F.col(text).cast("string"), size)).withColumns({"lang_pred": F.col("_lang.lang_pred"), "score": F.col("_lang.score")}).drop("_lang")
+    kept = [c for c in df.columns if c not in ("lang_pred", "score")]
+    found = df.select(F.struct(*df.columns).alias("row"), language(profiles, F.col(text).cast("string"), size).alias("found"))
+    return found.select(*(F.col("row").getField(c).alias(c) for c in kept), "found.lang_pred", "found.score")
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -16,7 +16,6 @@ repeated rows; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,12 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.components import components
+from gleaner.llm.hamming import link_groups, route, top_tree
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
-#: Fingerprints that a shard of the top tree aims at, the tree's greatest depth, sampled points.
-SHARD, DEPTH, SAMPLE = 1 << 14, 12, 1 << 15
-#: Points compared all with all at the end of a branch.
-LEAF = 128
+#: Fingerprints that a shard of the top tree aims at, the tree's greatest depth, sampled points: sized for 2^31 fingerprints.
+SHARD, DEPTH, SAMPLE = 1 << 14, 17, 1 << 20
 
 
 def _fingerprint(text: str, n: int = SHINGLE, block: int = 1 << 18) -> int:
@@ -64,101 +62,11 @@ def fingerprint(text: Column) -> Column:
     return udf(text)
 
 
-def _away(points: np.ndarray, vantage: np.uint64) -> np.ndarray:
-    return np.bitwise_count(points ^ vantage)
-
-
-def _settle(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Give linked points the smaller of their groups' labels, in place, until nothing changes."""
-    while True:
-        x, y = labels[a], labels[b]
-        off = x != y
-        if not off.any():
-            return
-        a, b, x, y = a[off], b[off], x[off], y[off]
-        np.minimum.at(labels, np.maximum(x, y), np.minimum(x, y))
-        while not np.array_equal(up := labels[labels], labels):
-            labels[:] = up
-
-
-def link_groups(points: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For each distinct point the place of the first of its connected group within the radius."""
-    labels = np.arange(len(points))
-    todo = [np.arange(len(points))]
-    while todo:
-        own = todo.pop()
-        if len(own) < 2:
-            continue
-        if len(own) > LEAF:
-            for vantage in points[own[[len(own) // 2, 0, -1]]]:
-                d = _away(points[own], vantage)
-                r = int(np.median(d))
-                left, right = own[d <= r], own[d > r - radius]
-                if max(len(left), len(right)) <= 0.9 * len(own):
-                    todo += [left, right]
-                    break
-            else:  # a ball that no border divides: compare in blocks
-                for at in range(0, len(own), LEAF):
-                    rows, rest = own[at : at + LEAF], own[at:]
-                    i, j = np.nonzero(_away(points[rows][:, None], points[rest][None, :]) <= radius)
-                    _settle(labels, rows[i], rest[j])
-            continue
-        i, j = np.nonzero(np.triu(_away(points[own][:, None], points[own][None, :]) <= radius, 1))
-        if len(i):
-            _settle(labels, own[i], own[j])
-    return labels
-
-
-@dataclass
-class Node:
-    vantage: np.uint64
-    radius: int
-    left: Node | int
-    right: Node | int
-
-
-def top_tree(sample: np.ndarray, depth: int) -> tuple[Node | int, int]:
-    """A tree over sampled points whose leaves are numbered shards; (root, number of shards)."""
-    shards = 0
-
-    def grow(own: np.ndarray, depth: int) -> Node | int:
-        nonlocal shards
-        if depth and len(own) >= 8:
-            d = _away(own, own[0])
-            r = int(np.median(d))
-            near = d <= r
-            if 0.2 <= near.mean() <= 0.8:
-                return Node(own[0], r, grow(own[near][1:], depth - 1), grow(own[~near], depth - 1))
-        shards += 1
-        return shards - 1
-
-    root = grow(sample, depth)
-    return root, shards
-
-
-def route(root: Node | int, points: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the point, shard): each point in its shard and in those whose border it overlaps."""
-    out: list[tuple[np.ndarray, int]] = []
-    todo = [(root, np.arange(len(points)))]
-    while todo:
-        node, own = todo.pop()
-        if not len(own):
-            continue
-        if isinstance(node, int):
-            out.append((own, node))
-            continue
-        d = _away(points[own], node.vantage).astype(np.int64)
-        todo += [(node.left, own[d <= node.radius]), (node.right, own[d > node.radius - radius])]
-    if not out:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate([x for x, _ in out]), np.concatenate([np.full(len(x), s) for x, s in out])
-
-
 def links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Star links (a, b) that connect exactly what is connected within the radius; points: distinct longs, column fp."""
     n = points.count()
     depth = min(DEPTH, max(0, int(np.ceil(np.log2(max(n, 1) / SHARD)))))
-    sample = np.array([r.fp for r in points.orderBy(F.xxhash64("fp"), "fp").limit(min(SAMPLE, 64 << depth)).collect()] if depth else [], dtype=np.int64).view(np.uint64)
+    sample = (points.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(min(SAMPLE, 64 << depth)).toPandas()["fp"].to_numpy(np.int64) if depth else np.empty(0, np.int64)).view(np.uint64)
     root, _ = top_tree(sample, depth)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gleaner.llm import chunkprint, hilbert, langid, maintext, packing, piecebpe, queries, simhash, tokenfiles, toxicity, warc, wordbpe
+from gleaner.llm import chunkprint, hamming, hilbert, langid, maintext, packing, piecebpe, queries, simhash, tokenfiles, toxicity, warc, wordbpe
 from gleaner.llm.components import components
 from gleaner.session import scratch_path, table
 
@@ -332,16 +332,16 @@ def test_link_groups_match_all_pairs():
     p = np.unique(np.concatenate(points))
     i, j = np.nonzero(np.bitwise_count(p[:, None] ^ p[None, :]) <= 2)
     truth = np.arange(len(p))
-    simhash._settle(truth, i, j)
-    got = simhash.link_groups(p)
+    hamming.settle(truth, i, j)
+    got = hamming.link_groups(p, 2)
     assert np.array_equal(truth, got)
-    root, n = simhash.top_tree(p[::3], 4)
-    at, shard = simhash.route(root, p)
+    root, n = hamming.top_tree(p[::3], 4)
+    at, shard = hamming.route(root, p, 2)
     labels = np.arange(len(p))
     for s in range(n):
         own = at[shard == s]
-        first = simhash.link_groups(p[own])
-        simhash._settle(labels, own, own[first])
+        first = hamming.link_groups(p[own], 2)
+        hamming.settle(labels, own, own[first])
     assert n > 4 and np.array_equal(truth, labels)
 
 
