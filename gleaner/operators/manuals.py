@@ -20,7 +20,9 @@ CODE = ("code", "error", "hr", "hresult")
 # Which meanings make a table of a type, the first that fits counts.
 TABLE_TYPES = {"method": (METHOD, PARAMETER, RETURN, DESCRIPTION), "property": (NAME, TYPE, ACCESS, DESCRIPTION), "enum": (VALUE, DESCRIPTION), "error_code": (CODE, DESCRIPTION)}
 # Bold labels in front of tables.
-LABELS = {"methods": "method", "properties": "property", "enumerations": "enum", "error codes": "error_code", "records": "record"}
+LABELS = {"functions": "method", "properties": "property", "enumerated types": "enum", "error codes": "error_code", "records / structures": "record"}
+# What a first header that is a return type looks like.
+RETURN_TYPE = r"^(void|long|unsigned long|double|float|int|bool|BSTR|SAFEARRAY|HRESULT|VARIANT|BOOL|DWORD|UINT|LONG|[A-Z][A-Za-z]*\*)$"
 
 
 def heading_level(style: Column | str) -> Column:
@@ -42,11 +44,17 @@ def classify_table_headers(headers: Column | str) -> Column:
     return out.otherwise("unknown")
 
 
-def classify_table_signals(rows: Column | str) -> Column:
-    """What cells look like where headers say nothing: record, property, method, error code or enum."""
-    cells = F.flatten(col(rows))
-    seen = lambda p: F.exists(cells, lambda c: c.rlike(p))
-    return F.when(seen(r"=\s*\($"), "record").when(seen(" • "), "property").when(seen(r"(?i)\(\[(in|out)\]"), "method").when(seen(r"=\s*[\-–]\d|0[xX]"), "error_code").when(seen(r"\w+\s*=\s*"), "enum").otherwise("unknown")
+def classify_table_signals(headers: Column | str, rows: Column | str) -> Column:
+    """What headers and cells look like where the headers' words say nothing; from the narrowest sign to the broadest."""
+    heads, body = F.coalesce(col(headers), F.array().cast("array<string>")), F.coalesce(F.flatten(col(rows)), F.array().cast("array<string>"))
+    first, second = (F.coalesce(strip(F.get(heads, F.lit(i))), F.lit("")) for i in range(2))
+    any_of = lambda cells, p: F.exists(cells, lambda c: c.rlike(p))
+    every = F.concat(heads, body)
+    record = (F.size(heads) > 1) & (first == "") & (second.contains("= (") | second.endswith("=("))
+    prop = any_of(heads, r"(?i)property|access to|•") | any_of(every, r"(?i)get or set")
+    method = any_of(every, r"(?i)\(\[(in|out)\]") | first.rlike(RETURN_TYPE)
+    assigned = (F.lower(first) == "enum") & any_of(body, r"\w+\s*=\s*")
+    return F.when(record, "record").when(prop, "property").when(method, "method").when(assigned & any_of(body, r"=\s*[\-–]\d"), "error_code").when(assigned, "enum").otherwise("unknown")
 
 
 def label_from_paragraph(elements: DataFrame) -> DataFrame:
@@ -63,7 +71,7 @@ def classify_tables(elements: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("position")
     islands = elements.withColumn("_f", F.when(F.lag("kind").over(w) == "table", 0).otherwise(1)).withColumn("island", F.sum("_f").over(w))
     tables = label_from_paragraph(islands)
-    own = F.coalesce("label", F.nullif(classify_table_headers("headers"), F.lit("unknown")), classify_table_signals("rows"))
+    own = F.coalesce("label", F.nullif(classify_table_headers("headers"), F.lit("unknown")), classify_table_signals("headers", "rows"))
     first = F.first(own).over(Window.partitionBy("doc_id", "island").orderBy("position"))
     return tables.withColumn("table_type", first).select("doc_id", "position", "table_type")
 

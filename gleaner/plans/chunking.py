@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import words
+from gleaner.functions.text import strip, words
 from gleaner.operators import chunking as C
 from gleaner.plans.registry import query
 from gleaner.session import table
@@ -85,25 +85,47 @@ def enrich_chunk_metadata(spark, sf):
     return C.enrich_chunk_metadata(chunks).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_id", "basename")
 
 
-@query(rf"""WITH {LINES}, m AS (SELECT doc_id, pos, array_to_string(list_filter([CASE WHEN regexp_matches(content, '\b(def|class|function|void|public)\b') THEN 'code' END, CASE WHEN regexp_matches(content, '[a-zA-Z0-9._]+@[a-zA-Z0-9.]+') THEN 'email' END,
-CASE WHEN regexp_matches(content, '[Ll]icen[sc]e') THEN 'license' END, CASE WHEN regexp_matches(content, '[0-9]{{3,}}') THEN 'number' END, CASE WHEN regexp_matches(content, '!!') THEN 'shout' END], lambda x: x IS NOT NULL), ',') AS names FROM ele) SELECT * FROM m WHERE names <> ''""")
+#: Patterns of one's own beside the library's.
+OWN = [("number", r"[0-9]{3,}", 65), ("email", r"[a-zA-Z0-9._]+@[a-zA-Z0-9.]+", 95), ("license", r"[Ll]icen[sc]e", 75)]
+SOUGHT = sorted([*C.PATTERNS, *OWN], key=lambda p: (-p[2], p[0]))
+
+
+@query(rf"""WITH {LINES}, m AS (SELECT doc_id, pos, array_to_string(list_filter([{", ".join(f"CASE WHEN regexp_matches(content, '{p}') THEN '{n}' END" for n, p, _ in SOUGHT)}], lambda x: x IS NOT NULL), ',') AS names FROM ele) SELECT * FROM m WHERE names <> ''""")
 def match_patterns(spark, sf):
-    return C.match_patterns(C.lines(docs(spark, sf))).select("doc_id", F.col("pos").cast("long").alias("pos"), "names")
+    return C.match_patterns(C.lines(docs(spark, sf)), [*C.PATTERNS, *OWN]).select("doc_id", F.col("pos").cast("long").alias("pos"), "names")
 
 
-@query()
+STRIPPED = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+
+
+@query(rf"""WITH RECURSIVE {LINES}, e AS MATERIALIZED (SELECT doc_id, pos, {STRIPPED.format('content')} AS c, {WORDS.format('content')} AS n, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, count(*) OVER (PARTITION BY doc_id) AS m FROM ele),
+t AS MATERIALIZED (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY k) AS total FROM e),
+f AS MATERIALIZED (SELECT a.doc_id, a.k, greatest(coalesce(b.k, a.m + 1), a.k + 1) AS nxt, a.m FROM t a ASOF LEFT JOIN t b ON a.doc_id = b.doc_id AND a.total - a.n + 200 < b.total),
+g AS (SELECT doc_id, 1::BIGINT AS k, 0::BIGINT AS i FROM (SELECT DISTINCT doc_id FROM t) UNION ALL SELECT g.doc_id, CASE WHEN f.m BETWEEN 4 AND 10000 THEN f.nxt ELSE f.m + 1 END, g.i + 1 FROM g JOIN f ON f.doc_id = g.doc_id AND f.k = g.k),
+s AS (SELECT doc_id, i, k, lead(k) OVER (PARTITION BY doc_id ORDER BY k) AS till FROM g)
+SELECT s.doc_id, s.i AS chunk_index, string_agg(t.c, chr(10) || chr(10) ORDER BY t.k) AS content FROM s JOIN t ON t.doc_id = s.doc_id AND t.k >= s.k AND t.k < s.till GROUP BY 1, 2""")
 def pack_paragraphs(spark, sf):
-    return C.pack_paragraphs(C.lines(docs(spark, sf)))
+    return C.pack_paragraphs(C.lines(docs(spark, sf))).withColumn("chunk_index", F.col("chunk_index").cast("long"))
+
+
+def segments(spark, sf):
+    e = C.lines(docs(spark, sf))
+    return C.assemble_segments(e, C.heading_boundaries(e)).withColumn("chunk_index", F.col("segment").cast("int"))
 
 
 @query()
 def split_oversized(spark, sf):
-    return C.split_oversized(C.assemble_segments(e := C.lines(docs(spark, sf)), C.heading_boundaries(e)).withColumn("chunk_index", F.col("segment").cast("int")))
+    return C.split_oversized(segments(spark, sf))
 
 
-@query()
+@query(rf"""WITH {LINES}, e AS (SELECT doc_id, pos, {STRIPPED.format('content')} AS c, {WORDS.format('content')} < 50 AS short, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM ele),
+r AS (SELECT *, coalesce(max(CASE WHEN NOT short THEN k END) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, lead(c) OVER (PARTITION BY doc_id ORDER BY k) AS nxt, lead(pos) OVER (PARTITION BY doc_id ORDER BY k) AS np FROM e),
+a AS (SELECT *, short AND (k - b) % 2 = 1 AND nxt IS NOT NULL AS takes FROM r),
+z AS (SELECT *, coalesce(lag(takes) OVER (PARTITION BY doc_id ORDER BY k), FALSE) AS gone FROM a)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS chunk_index, CASE WHEN takes THEN c || chr(10) || chr(10) || nxt ELSE c END AS content, takes::BIGINT AS merged, CASE WHEN takes THEN pos || ',' || np ELSE pos::VARCHAR END AS merged_from FROM z WHERE NOT gone""")
 def merge_undersized(spark, sf):
-    return C.merge_undersized(C.assemble_segments(e := C.lines(docs(spark, sf)), C.heading_boundaries(e)).withColumn("chunk_index", F.col("segment").cast("int")))
+    rows = C.lines(docs(spark, sf)).select("doc_id", F.col("pos").alias("chunk_index"), strip("content").alias("content"))
+    return C.merge_undersized(rows).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "content", F.col("merged").cast("long").alias("merged"), F.array_join("merged_from", ",").alias("merged_from"))
 
 
 @query(rf"""WITH n AS (SELECT lang, {WORDS.format('text')} AS n FROM documents), r AS (SELECT lang, n, row_number() OVER (PARTITION BY lang ORDER BY n) - 1 AS i, count(*) OVER (PARTITION BY lang) AS c FROM n)

@@ -12,11 +12,21 @@ DOC = "CAST(substr(p_brand, 7) AS BIGINT)"
 PARAGRAPH = [
     ("heading", "p_partkey % 3 = 0", 0, "CASE p_partkey % 6 WHEN 0 THEN 'IP' || p_partkey || ' Interface' ELSE 'Section about enum P' || p_partkey || '.' END", "CASE p_partkey % 6 WHEN 0 THEN 'Heading 2' ELSE 'heading' || (1 + p_partkey % 4) END", "CAST(CASE p_partkey % 6 WHEN 0 THEN 2 ELSE 1 + p_partkey % 4 END AS BIGINT)", "FALSE"),
     ("text", "TRUE", 1, "'About ' || p_name", "'Normal'", "CAST(-1 AS BIGINT)", "FALSE"),
-    ("label", "p_partkey % 2 = 0", 2, "CASE p_partkey % 5 WHEN 0 THEN 'Methods' WHEN 1 THEN ' Error  codes ' WHEN 2 THEN 'Properties' ELSE 'Notes' END", "'Normal'", "CAST(-1 AS BIGINT)", "TRUE"),
+    ("label", "p_partkey % 2 = 0", 2, "CASE p_partkey % 7 WHEN 0 THEN 'Functions' WHEN 1 THEN ' Error  codes ' WHEN 2 THEN 'Properties' WHEN 3 THEN 'Enumerated Types' WHEN 4 THEN 'Records / Structures' ELSE 'Notes' END", "'Normal'", "CAST(-1 AS BIGINT)", "TRUE"),
 ]
 TABLES = [("p_partkey % 4 <> 3", 3), ("p_partkey % 5 = 0", 4)]
-HEADERS = {0: ["Method", "Parameters", "Returns", "Description"], 1: ["Name", "Type", "Access", "Remarks"], 2: ["Value", "Description"], 3: ["Error Code", "Summary"], 4: ["A", "B"]}
-CELLS = "CASE p_partkey % 6 WHEN 0 THEN 'a = 1' WHEN 1 THEN 'x • y' WHEN 2 THEN 'f([in] long a)' WHEN 3 THEN 'e = -5' WHEN 4 THEN 'R = (' ELSE 'plain | text' END"
+HEADERS = {
+    0: ["Method", "Parameters", "Returns", "Description"],
+    1: ["Name", "Type", "Access", "Remarks"],
+    2: ["Value", "Description"],
+    3: ["Error Code", "Summary"],
+    4: ["A", "B"],
+    5: ["", "RName = ("],
+    6: ["enum", "EName"],
+    7: ["HRESULT", "F(x)"],
+    8: ["Access to names", "•"],
+}
+CELLS = "CASE p_partkey % 7 WHEN 0 THEN 'a = 1' WHEN 1 THEN 'x • y' WHEN 6 THEN 'Get or set x' WHEN 2 THEN 'f([in] long a)' WHEN 3 THEN 'e = -5' WHEN 4 THEN 'R = (' ELSE 'plain | text' END"
 
 
 def _texts(array: str) -> str:
@@ -24,7 +34,7 @@ def _texts(array: str) -> str:
 
 
 def _headers(fmt) -> str:
-    return "CASE (p_partkey + {k}) % 5 " + " ".join(f"WHEN {i} THEN {fmt(h)}" for i, h in HEADERS.items()) + " END"
+    return f"CASE (p_partkey + {{k}}) % {len(HEADERS)} " + " ".join(f"WHEN {i} THEN {fmt(h)}" for i, h in HEADERS.items()) + " END"
 
 
 RAW = "raw AS (" + _texts("VARCHAR[]") + "".join(f" UNION ALL SELECT {DOC}, p_partkey * 10 + {at}, 'table', NULL, NULL, NULL, NULL, {_headers(lambda h: str(h)).format(k=at)}, {CELLS} FROM part WHERE {on}" for on, at in TABLES) + ")"
@@ -48,7 +58,18 @@ def _any(words) -> str:
 
 
 HEADER_TYPE = "CASE " + " ".join(f"WHEN {' AND '.join(_any(s) for s in sets)} THEN '{k}'" for k, sets in M.TABLE_TYPES.items()) + " ELSE 'unknown' END"
-SIGNAL_TYPE = r"CASE WHEN regexp_matches(cell, '=\s*\($') THEN 'record' WHEN contains(cell, ' • ') THEN 'property' WHEN regexp_matches(cell, '(?i)\(\[(in|out)\]') THEN 'method' WHEN regexp_matches(cell, '=\s*[\-–]\d|0[xX]') THEN 'error_code' WHEN regexp_matches(cell, '\w+\s*=\s*') THEN 'enum' ELSE 'unknown' END"
+_HEADS = "coalesce(headers, [])"
+_EVERY = f"list_append({_HEADS}, cell)"
+
+
+def _some(cells: str, pattern: str) -> str:
+    return f"len(list_filter({cells}, lambda x: regexp_matches(x, '{pattern}'))) > 0"
+
+
+SIGNAL_TYPE = (
+    f"CASE WHEN len({_HEADS}) > 1 AND headers[1] = '' AND contains(headers[2], '= (') THEN 'record' WHEN {_some(_HEADS, '(?i)property|access to|•')} OR {_some(_EVERY, r'(?i)get or set')} THEN 'property' "
+    + rf"WHEN {_some(_EVERY, r'(?i)\(\[(in|out)\]')} OR regexp_matches(headers[1], '{M.RETURN_TYPE}') THEN 'method' WHEN lower(headers[1]) = 'enum' AND regexp_matches(cell, '\w+\s*=\s*') THEN CASE WHEN regexp_matches(cell, '=\s*[\-–]\d') THEN 'error_code' ELSE 'enum' END ELSE 'unknown' END"
+)
 LABEL = "CASE lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in M.LABELS.items()) + " ELSE '' END"
 LAB = f"lab AS (SELECT * FROM (SELECT *, nullif(last_value(CASE WHEN kind = 'paragraph' AND bold THEN {LABEL} END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS label, sum(f) OVER (PARTITION BY doc_id ORDER BY position) AS island FROM (SELECT *, CASE WHEN lag(kind) OVER (PARTITION BY doc_id ORDER BY position) = 'table' THEN 0 ELSE 1 END AS f FROM raw)) WHERE kind = 'table')"
 
@@ -65,7 +86,7 @@ def classify_table_headers(spark, sf):
 
 @query(f"WITH {RAW} SELECT doc_id, position, {SIGNAL_TYPE} AS type FROM raw WHERE kind = 'table'")
 def classify_table_signals(spark, sf):
-    return raw_elements(spark, sf).where("kind = 'table'").select("doc_id", "position", M.classify_table_signals("rows").alias("type"))
+    return raw_elements(spark, sf).where("kind = 'table'").select("doc_id", "position", M.classify_table_signals("headers", "rows").alias("type"))
 
 
 @query(f"WITH {RAW}, {LAB} SELECT doc_id, position, label FROM lab")

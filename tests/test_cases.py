@@ -37,7 +37,7 @@ def test_merge_and_split(spark):
     rows = [(1, 0, "a b"), (1, 1, "c " * 80), (1, 2, "d " * 80)]
     merged = C.merge_undersized(spark.createDataFrame(rows, "doc_id long, chunk_index int, content string")).orderBy("chunk_index").collect()
     assert [r.merged for r in merged] == [1, 0]
-    big = spark.createDataFrame([(1, 0, "\n".join(["w " * 30] * 10))], "doc_id long, chunk_index int, content string")
+    big = spark.createDataFrame([(1, 0, "\n\n".join(["w " * 30] * 10))], "doc_id long, chunk_index int, content string")
     pieces = C.split_oversized(big, 100).collect()
     assert sum(len(p.content.split()) for p in pieces) == 300 and max(len(p.content.split()) for p in pieces) <= 100
 
