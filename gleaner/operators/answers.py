@@ -198,6 +198,27 @@ def first_words(text: Column | str, n: int) -> Column:
     return F.slice(words(text), 1, n)
 
 
-def even_words(text: Column | str, n: int) -> Column:
-    """Every second of the first n lower-case words, each once."""
-    return F.array_distinct(F.filter(F.slice(lower_words(text), 1, n), lambda w, i: i % 2 == 0))
+def even_words(text: Column | str) -> Column:
+    """Every second lower-case word."""
+    return F.filter(lower_words(text), lambda w, i: i % 2 == 0)
+
+
+#: An anchor with its inner text, and the address in its tag, quoted or not.
+ANCHOR, HREF = r"(?is)<a\s[^>]*>.*?</a\s*>", r"""(?is)^<a\s(?:[^>]*?\s)?href\s*=\s*["']?([^"'\s>]*)"""
+
+
+def extract_links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """page_id, pos, uri, anchor, type of each link of a page in order: internal if it names no other host.
+
+    A link is one anchor with an address; what marks up its text is dropped, white space becomes one space.
+    """
+    found = F.filter(
+        F.transform(
+            F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(0)),
+            lambda a: F.struct(F.regexp_extract(a, HREF, 1).alias("uri"), F.trim(F.regexp_replace(F.regexp_replace(a, "(?s)<[^>]*>", ""), r"\s+", " ")).alias("anchor")),
+        ),
+        lambda x: x.uri != "",
+    )
+    rows = pages.select(F.col(key).alias("page_id"), F.try_parse_url(url, F.lit("HOST")).alias("host"), F.posexplode(found).alias("pos", "l"))
+    own = F.coalesce(F.try_parse_url(F.col("l.uri"), F.lit("HOST")) == F.col("host"), F.lit(True))
+    return rows.select("page_id", F.col("pos").cast("long").alias("pos"), "l.uri", "l.anchor", F.when(own, "internal").otherwise("external").alias("type"))

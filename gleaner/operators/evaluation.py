@@ -10,14 +10,16 @@ from gleaner.operators.vectors import DIGITS
 
 #: Words of the probe that brings needle and text together before containment is checked.
 PROBE = 5
+#: Short needles that are broadcast at once.
+LOT = 10_000
 
 
 def label_relevant(chunks: DataFrame, needles: DataFrame) -> DataFrame:
     """(query_id, chunk_id) where a chunk contains the expected text; exact, without a pair loop.
 
     A needle's inner words stand whole in any text that contains it, so one run of PROBE inner words
-    is an equality key; `contains` then decides. Needles with fewer inner words meet all chunks, as
-    a bounded list (at most a few words each) checked by its count.
+    is an equality key; `contains` then decides. Needles with fewer inner words are looked for in all
+    chunks, a lot of at most LOT of them at a time.
     """
     w = needles.select("query_id", "expected", words("expected").alias("w"))
     inner = w.withColumn("w", F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0))))
@@ -27,8 +29,13 @@ def label_relevant(chunks: DataFrame, needles: DataFrame) -> DataFrame:
     wanted = grams.join(long.hint("merge"), "probe").select("query_id", "chunk_id", "expected")
     found = wanted.join(chunks.select("chunk_id", "content").hint("merge"), "chunk_id").where(F.col("content").contains(F.col("expected")))
     short = inner.where((F.size("w") < PROBE) & (F.col("expected") != "")).select("query_id", "expected")
-    near = chunks.join(F.broadcast(short) if short.count() <= 10_000 else short, F.col("content").contains(F.col("expected")))
-    return found.select("query_id", "chunk_id").unionByName(near.select("query_id", "chunk_id")).distinct()
+    out = found.select("query_id", "chunk_id")
+    lots = -(-short.count() // (LOT // 2))  # lots come out near LOT / 2, so none exceeds LOT
+    lot = F.pmod(F.xxhash64("query_id", "expected"), F.lit(max(1, lots)))
+    for i in range(lots):
+        near = chunks.join(F.broadcast(short.where(lot == i)), F.col("content").contains(F.col("expected")))
+        out = out.unionByName(near.select("query_id", "chunk_id"))
+    return out.distinct()
 
 
 def precision_recall_mrr(ranked: DataFrame, relevant: DataFrame, queries: DataFrame, k: int) -> DataFrame:

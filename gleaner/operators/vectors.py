@@ -50,9 +50,10 @@ def embed_texts(df: DataFrame, text: str = "text", dim: int = 64) -> DataFrame:
 
 def embed_words(df: DataFrame, key: str, text: str = "text", dim: int = 64) -> DataFrame:
     """embed_texts by aggregation: one row for each word, summed by place; better for long texts. key, embedding."""
-    h = df.select(key, F.explode(lower_words(text)).alias("w")).select(key, F.md5(F.col("w").cast("binary")).alias("h"))
-    at = F.conv(F.substring("h", 1, 2), 16, 10).cast("int") % dim
-    sums = h.select(key, at.alias("at"), F.when(F.substring("h", 3, 1) < "8", 1.0).otherwise(-1.0).alias("s")).groupBy(key, "at").agg(F.sum("s").alias("s"))
+    h = df.select(key, F.explode_outer(lower_words(text)).alias("w")).select(key, F.md5(F.col("w").cast("binary")).alias("h"))
+    at = F.coalesce(F.conv(F.substring("h", 1, 2), 16, 10).cast("int") % dim, F.lit(0))
+    sign = F.when(F.col("h").isNull(), 0.0).when(F.substring("h", 3, 1) < "8", 1.0).otherwise(-1.0)  # a text without words is a zero vector
+    sums = h.select(key, at.alias("at"), sign.alias("s")).groupBy(key, "at").agg(F.sum("s").alias("s"))
     maps = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("at", "s"))).alias("m"))
     vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
     return l2_normalize(maps.select(key, vec.alias("embedding")))
@@ -63,7 +64,8 @@ def dense_scores(queries: DataFrame, chunks: DataFrame, k: int, by: str | None =
 
     queries: query_id, embedding; chunks: chunk_id, embedding; both with column `by` if only equal
     values of it may meet. Chunks are dealt into buckets and queries into lots of bounded size; each
-    pair of them is one task's matrix product, so neither side has to fit anywhere whole.
+    pair of them is one task's matrix product, so neither side has to fit anywhere whole. Queries with
+    a null, empty or non-finite vector have no result.
     """
     buckets = max(1, -(-chunks.count() // BUCKET))
     lots = max(1, -(-queries.count() // LOT))
@@ -73,10 +75,15 @@ def dense_scores(queries: DataFrame, chunks: DataFrame, k: int, by: str | None =
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "chunk_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64"), "lo": pd.Series(dtype="float64"), "hi": pd.Series(dtype="float64")})
+        sound = lambda v: v is not None and len(v) > 0 and bool(np.isfinite(np.asarray(v, np.float64)).all())
+        left = left[[sound(v) for v in left["q_vec"]]] if len(left) else left
         if not len(left) or not len(right):
             return empty
-        dim = len(left["q_vec"].iloc[0])
-        good = np.array([v is not None and len(v) == dim and bool(np.isfinite(v).all()) for v in right["c_vec"]])
+        widths = left["q_vec"].map(len)
+        if widths.nunique() > 1:  # queries of each length by themselves
+            return pd.concat([run(own, right) for _, own in left.groupby(widths)])
+        dim = int(widths.iloc[0])
+        good = np.array([sound(v) and len(v) == dim for v in right["c_vec"]], dtype=bool)
         if not zero_invalid:
             right, good = right[good], good[good]
         if not len(right):

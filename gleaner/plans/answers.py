@@ -32,14 +32,10 @@ def section_nodes(spark, sf):
     return turns(spark, sf).select(F.col("conv_id").alias("doc_id"), F.md5(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).cast("binary")).alias("chunk_id"), F.lit("section").alias("kind"), F.lit(0).cast("long").alias("level"), F.col("text").alias("content"))
 
 
-@query(r"""WITH l AS (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS u, regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) AS a FROM pages), x AS (SELECT page_id, unnest(range(0, len(u))) AS pos, u, a FROM l)
-SELECT page_id, pos, u[pos + 1] AS uri, a[pos + 1] AS anchor, CASE WHEN regexp_matches(u[pos + 1], '^[a-z]+://') THEN 'external' ELSE 'internal' END AS type FROM x""")
+@query(rf"""WITH l AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, list_filter(list_transform(regexp_extract_all(html, '{J.ANCHOR}'), lambda a: {{'u': regexp_extract(a, '{J.HREF.replace("'", "''")}', 1), 'a': trim(regexp_replace(regexp_replace(a, '(?s)<[^>]*>', '', 'g'), '\s+', ' ', 'g'))}}), lambda x: x.u <> '') AS l FROM pages), x AS (SELECT page_id, host, unnest(range(0, len(l))) AS pos, l FROM l)
+SELECT page_id, pos, l[pos + 1].u AS uri, l[pos + 1].a AS anchor, CASE WHEN regexp_matches(l[pos + 1].u, '^[a-z]+://') AND regexp_extract(l[pos + 1].u, '^[a-z]+://([^/?#]*)', 1) <> host THEN 'external' ELSE 'internal' END AS type FROM x""")
 def extract_links(spark, sf):
-    p = table(spark, sf, "pages")
-    found = F.arrays_zip(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1)).alias("u"), F.regexp_extract_all("html", F.lit('<a href="[^"]*">([^<]*)</a>'), F.lit(1)).alias("a"))
-    rows = p.select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), F.posexplode(found).alias("pos", "l"))
-    own = F.coalesce(F.try_parse_url(F.col("l.u"), F.lit("HOST")) == F.col("host"), F.lit(True))
-    return rows.select("page_id", F.col("pos").cast("long").alias("pos"), F.col("l.u").alias("uri"), F.col("l.a").alias("anchor"), F.when(own, "internal").otherwise("external").alias("type"))
+    return J.extract_links(table(spark, sf, "pages"))
 
 
 # -- prompts -----------------------------------------------------------------------------
@@ -111,9 +107,9 @@ def detect_repetition(spark, sf):
     return turns(spark, sf).withColumn("c", c).select("conv_id", "turn", J.detect_repetition("c").alias("at_place"))
 
 
-@query(r"""SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN 'There is not enough information in the documents to answer.' WHEN length(regexp_replace(left(text, turn * 2), '^\s+|\s+$', '', 'g')) < 5 THEN 'I could not produce an answer to this question.' ELSE left(text, turn * 2) END AS answer FROM conversations""")
+@query(r"""SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN 'There is not enough information in the documents to answer.' WHEN turn % 3 = 0 OR length(regexp_replace(text, '^\s+|\s+$', '', 'g')) < 5 THEN 'I could not produce an answer to this question.' ELSE text END AS answer FROM conversations""")
 def fallback_answer(spark, sf):
-    return turns(spark, sf).select("conv_id", "turn", J.fallback_answer(F.left("text", F.col("turn") * 2), F.col("turn") % 5).alias("answer"))
+    return turns(spark, sf).select("conv_id", "turn", J.fallback_answer(F.when(F.col("turn") % 3 == 0, " a ").otherwise(F.col("text")), F.col("turn") % 5).alias("answer"))
 
 
 @query(f"WITH {SENT} SELECT query_id, pos, l[pos + 1] AS sentence FROM se")
@@ -154,11 +150,13 @@ def faithfulness(spark, sf):
 
 
 # gold: every second word of the answer's first twelve; cited: its first eight words; known: by parity of length
-NAMES = f"""nam AS (SELECT conv_id * 100 + turn AS query_id, text, list_distinct(list_slice({R.low('text')}, 1, 8)) AS cited, list_distinct(list_transform(range(1, least(12, len({R.low('text')})) + 1, 2), lambda i: ({R.low('text')})[i])) AS gold FROM conversations WHERE role = 'assistant')"""
+NAMES = f"""nam AS (SELECT conv_id * 100 + turn AS query_id, text, list_distinct({R.low('text')}) AS cited, list_distinct(list_transform(range(1, len({R.low('text')}) + 1, 2), lambda i: CASE WHEN length(({R.low('text')})[i]) % 3 = 0 THEN reverse(({R.low('text')})[i]) ELSE ({R.low('text')})[i] END)) AS gold FROM conversations WHERE role = 'assistant')"""
 
 
 def names(spark, sf) -> DataFrame:
-    return answers(spark, sf).select("query_id", "text", F.array_distinct(F.slice(lower_words("text"), 1, 8)).alias("cited"), J.even_words("text", 12).alias("gold"))
+    """All words of an answer as what it cites; every second of them, some turned round, as what is known."""
+    gold = F.array_distinct(F.transform(J.even_words("text"), lambda w: F.when(F.length(w) % 3 == 0, F.reverse(w)).otherwise(w)))
+    return answers(spark, sf).select("query_id", "text", F.array_distinct(lower_words("text")).alias("cited"), gold.alias("gold"))
 
 
 @query(f"WITH {NAMES} SELECT query_id, array_to_string(list_sort(list_filter(cited, lambda w: NOT (length(w) % 2 = 0 OR list_contains(gold, w)))), ',') AS unknown FROM nam")
@@ -167,9 +165,9 @@ def validate_citations(spark, sf):
     return names(spark, sf).select("query_id", F.array_join(F.array_sort(J.validate_citations(F.col("cited"), functions, F.col("gold"))), ",").alias("unknown"))
 
 
-@query(f"WITH {NAMES} SELECT query_id, array_to_string(list_sort(list_filter(cited, lambda w: contains(lower(left(text, 60)), w) AND NOT contains(lower(right(text, 100)), w))), ',') AS missing FROM nam")
+@query(f"WITH {NAMES} SELECT query_id, array_to_string(list_sort(list_filter(cited, lambda w: contains(lower(text), w) AND NOT contains(lower(replace(text, 'e', '')), w))), ',') AS missing FROM nam")
 def check_question_refs(spark, sf):
-    return names(spark, sf).select("query_id", F.array_join(F.array_sort(J.check_question_refs(F.left("text", F.lit(60)), F.right("text", F.lit(100)), F.col("cited"))), ",").alias("missing"))
+    return names(spark, sf).select("query_id", F.array_join(F.array_sort(J.check_question_refs(F.col("text"), F.replace("text", F.lit("e"), F.lit("")), F.col("cited"))), ",").alias("missing"))
 
 
 @query(f"WITH {NAMES} SELECT query_id, array_to_string(list_sort(list_intersect(cited, gold)), ',') AS supported, array_to_string(list_sort(list_filter(cited, lambda w: NOT list_contains(gold, w))), ',') AS unsupported, CASE WHEN len(cited) = 0 THEN 1.0 ELSE round(len(list_intersect(cited, gold)) / len(cited), 4) END AS ratio FROM nam")
@@ -178,7 +176,7 @@ def validate_param_claims(spark, sf):
     return v.select("query_id", F.array_join("v.supported", ",").alias("supported"), F.array_join("v.unsupported", ",").alias("unsupported"), "v.ratio")
 
 
-PARAM = "'parameter ' || split_part(text, ' ', 1) || ' and the ' || split_part(text, ' ', 2) || ' field; \"' || split_part(text, ' ', 3) || '\"'"
+PARAM = "'parameter ' || replace(text, ' ', ' field ') || ' \"' || text || '\"'"
 
 
 EDGE, WORD, KIND = r"[^\p{L}\p{N}_]", r"([\p{L}_][\p{L}\p{N}_]*)", "(?:parameter|field|property|argument)"
@@ -187,25 +185,24 @@ EDGE, WORD, KIND = r"[^\p{L}\p{N}_]", r"([\p{L}_][\p{L}\p{N}_]*)", "(?:parameter
 @query(rf"""WITH t AS (SELECT conv_id * 100 + turn AS query_id, {PARAM} AS c FROM conversations WHERE role = 'assistant')
 SELECT query_id, array_to_string(list_sort(list_distinct(list_transform(list_concat(regexp_extract_all(c, '(?i)(?:^|{EDGE}){KIND}\s+{WORD}', 1), regexp_extract_all(c, '(?i)(?:^|{EDGE}){WORD}\s+{KIND}(?:$|{EDGE})', 1), regexp_extract_all(c, '[''"`]{WORD}[''"`]', 1)), lambda x: lower(x)))), ',') AS claims FROM t""")
 def find_param_claims(spark, sf):
-    w = lambda i: F.split_part("text", F.lit(" "), F.lit(i))
-    c = F.concat(F.lit("parameter "), w(1), F.lit(" and the "), w(2), F.lit(' field; "'), w(3), F.lit('"'))
+    c = F.concat(F.lit("parameter "), F.replace("text", F.lit(" "), F.lit(" field ")), F.lit(' "'), F.col("text"), F.lit('"'))
     return answers(spark, sf).select("query_id", F.array_join(J.find_param_claims(c), ",").alias("claims"))
 
 
-@query(f"""WITH {NAMES}, c AS (SELECT query_id, left(text, 40) AS answer, 'cot' AS stage, 1 AS r, len(cited) % 3 = 0 AS ok FROM nam UNION ALL SELECT query_id, left(text, 20), 'predict', 2, len(gold) % 2 = 0 FROM nam), b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY NOT ok, r) AS n FROM c)
+@query(f"""WITH {NAMES}, c AS (SELECT query_id, text AS answer, 'cot' AS stage, 1 AS r, len(cited) % 3 = 0 AS ok FROM nam UNION ALL SELECT query_id, text || ' !', 'predict', 2, len(gold) % 2 = 0 FROM nam), b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY NOT ok, r) AS n FROM c)
 SELECT query_id, CASE WHEN ok THEN answer ELSE 'I could not find supporting evidence in the provided sources.' END AS answer, CASE WHEN ok THEN 1.0 / r ELSE 0.0 END AS confidence, CASE WHEN ok THEN stage ELSE 'none' END AS stage FROM b WHERE n = 1""")
 def select_answer(spark, sf):
     n = names(spark, sf)
-    make = lambda stage, r, chars, ok: n.select("query_id", F.left("text", F.lit(chars)).alias("answer"), F.lit(stage).alias("stage"), F.lit(r).alias("stage_rank"), F.lit(1.0 / r).alias("confidence"), ok.alias("passed"))
-    return J.select_answer(make("cot", 1, 40, F.size("cited") % 3 == 0).unionByName(make("predict", 2, 20, F.size("gold") % 2 == 0)))
+    make = lambda stage, r, answer, ok: n.select("query_id", answer.alias("answer"), F.lit(stage).alias("stage"), F.lit(r).alias("stage_rank"), F.lit(1.0 / r).alias("confidence"), ok.alias("passed"))
+    return J.select_answer(make("cot", 1, F.col("text"), F.size("cited") % 3 == 0).unionByName(make("predict", 2, F.concat("text", F.lit(" !")), F.size("gold") % 2 == 0)))
 
 
-METRICS = f"""{NAMES}, mt AS (SELECT query_id, CASE WHEN len(gold) = 0 THEN 1.0 ELSE round(len(list_filter(gold, lambda w: contains(lower(left(text, 40)), w))) / len(gold), 6) END AS recall,
+METRICS = f"""{NAMES}, mt AS (SELECT query_id, CASE WHEN len(gold) = 0 THEN 1.0 ELSE round(len(list_filter(gold, lambda w: contains(lower(text), w))) / len(gold), 6) END AS recall,
 CASE WHEN len(gold) = 0 THEN 1.0 WHEN len(cited) = 0 THEN 0.0 ELSE round(len(list_intersect(cited, gold)) / len(cited), 6) END AS accuracy, CASE WHEN len(cited) = 0 THEN 0.0 ELSE round(len(list_filter(cited, lambda w: NOT list_contains(gold, w))) / len(cited), 6) END AS hallucination FROM nam)"""
 
 
 def metrics(spark, sf) -> DataFrame:
-    text = F.lower(F.left("text", F.lit(40)))
+    text = F.lower("text")
     return names(spark, sf).select("query_id", J.gold_name_recall(F.col("gold"), text).alias("recall"), J.citation_accuracy(F.col("cited"), F.col("gold")).alias("accuracy"), J.hallucination_rate(F.col("cited"), F.col("gold")).alias("hallucination"))
 
 
@@ -229,11 +226,11 @@ def composite_score(spark, sf):
     return metrics(spark, sf).select("query_id", J.composite_score(F.col("recall"), F.col("accuracy"), F.col("hallucination")).alias("score"))
 
 
-@query(r"""WITH b AS (SELECT doc_id, encode(left(text, 100)) AS c, CASE doc_id % 5 WHEN 0 THEN 'a.pdf' WHEN 1 THEN 'b.docx' WHEN 2 THEN 'c.txt' WHEN 3 THEN 'd.md' ELSE 'e.exe' END AS name, length(text) AS size FROM documents)
+@query(r"""WITH b AS (SELECT doc_id, encode(text) AS c, CASE doc_id % 5 WHEN 0 THEN 'a.pdf' WHEN 1 THEN 'b.docx' WHEN 2 THEN 'c.txt' WHEN 3 THEN 'd.md' ELSE 'e.exe' END AS name, length(text) AS size FROM documents)
 SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN 'extension' WHEN size > 20000 THEN 'size' WHEN doc_id % 5 < 2 THEN 'content' END AS reason FROM b""")
 def validate_uploads(spark, sf):
     from gleaner.sources.files import validate_uploads as op
 
     ext = F.element_at(F.array(*map(F.lit, ("a.pdf", "b.docx", "c.txt", "d.md", "e.exe"))), (F.col("doc_id") % 5 + 1).cast("int"))
-    files = table(spark, sf, "documents").select("doc_id", ext.alias("path"), F.encode(F.left("text", F.lit(100)), "utf-8").alias("content"), F.length("text").alias("length"))
+    files = table(spark, sf, "documents").select("doc_id", ext.alias("path"), F.encode("text", "utf-8").alias("content"), F.length("text").alias("length"))
     return op(files, 20_000).select("doc_id", "reason")

@@ -61,11 +61,11 @@ def stage_progress(spark, sf):
     return d.select("doc_id", B.stage_progress(F.col("step"), F.col("saved"), F.col("chunk_count")).alias("percent"))
 
 
-@query("SELECT q.vec_id AS query_id, e.vec_id AS chunk_id FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id % 40 = 0 AND e.vec_id % 6 <> 5 JOIN labels l ON l.doc_id = e.label AND l.quality = 1")
+@query("SELECT CAST(e.label AS BIGINT) AS query_id, e.vec_id AS chunk_id FROM embeddings e JOIN labels l ON l.doc_id = e.label AND l.quality = 1 WHERE e.vec_id % 6 <> 5")
 def scope_filter(spark, sf):
     e, owners = table(spark, sf, "embeddings"), table(spark, sf, "labels").select("doc_id", F.col("quality").alias("owner"))
     chunks = e.select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("long").alias("doc_id"), F.when(F.col("vec_id") % 6 != 5, F.col("embedding")).alias("embedding"))
-    asked = e.where("vec_id % 40 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").cast("long").alias("doc_id"), F.lit(1).alias("owner"))
+    asked = e.select(F.col("label").cast("long").alias("query_id"), F.col("label").cast("long").alias("doc_id"), F.lit(1).alias("owner")).distinct()
     return B.scope_filter(chunks, asked, owners).select("query_id", "chunk_id")
 
 

@@ -34,15 +34,15 @@ UNION ALL SELECT doc_id, md5(doc_id || '/' || i || '/' || m || '/' || a), md5(do
 UNION ALL SELECT doc_id, md5(doc_id || '/' || i || '/' || m || '/b'), md5(doc_id || '/' || i || '/' || m), 'parameter', 2, 'b', 'b: ' || t FROM pt
 UNION ALL SELECT doc_id, md5(doc_id || '/' || t), NULL, 'enum', 0, t, 'Enum ' || t || ': ' || vs FROM ev
 UNION ALL SELECT doc_id, md5(doc_id || '/' || t || '/v' || p_size), md5(doc_id || '/' || t), 'enum_value', 1, 'v' || p_size, 'v' || p_size || ' = ' || p_size FROM em)"""
-# ranked nodes: every method and parameter whose digest begins with 0 or 1, by document as query
-FOUND = "fnd AS (SELECT doc_id AS query_id, chunk_id, rank, round(1.0 / rank, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id) AS rank FROM nod WHERE substr(chunk_id, 1, 1) IN ('0', '1')))"
+# ranked nodes: all, by document as query
+FOUND = "fnd AS (SELECT doc_id AS query_id, chunk_id, rank, round(1.0 / rank, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id) AS rank FROM nod))"
 
 
 def found(spark, sf, n: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_id")).cast("long")
-    return n.where("substr(chunk_id, 1, 1) in ('0', '1')").select(F.col("doc_id").alias("query_id"), "chunk_id", rank.alias("rank")).withColumn("score", F.round(1 / F.col("rank"), 6))
+    return n.select(F.col("doc_id").alias("query_id"), "chunk_id", rank.alias("rank")).withColumn("score", F.round(1 / F.col("rank"), 6))
 
 
 @query(f"WITH {NODES} SELECT * FROM nod")

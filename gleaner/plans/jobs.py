@@ -114,14 +114,14 @@ def write_eval_report(spark, sf):
     return spark.read.text(f"{path}/markdown").select(F.col("value").alias("line"))
 
 
-@query("SELECT lang, count(*) AS n FROM documents GROUP BY 1")
+@query("SELECT doc_id AS chunk_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE lang END AS lang FROM documents UNION ALL SELECT doc_id, 'more' FROM documents WHERE doc_id % 3 = 0")
 def persist_index(spark, sf):
-    """Two writes; the second replaces the buckets it touches."""
+    """Two writes; the second replaces the documents that it holds and leaves the others of their buckets."""
     path = scratch_path(spark, "index")
     rows = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "lang")
     specs.persist_index(rows, path)
-    specs.persist_index(rows, path)
-    return specs.load_index(spark, path).groupBy("lang").agg(F.count("*").alias("n"))
+    specs.persist_index(rows.where("chunk_id % 3 = 0").select("chunk_id", F.explode(F.array(F.lit("new"), F.lit("more"))).alias("lang")), path)
+    return specs.load_index(spark, path)
 
 
 @query(f"WITH {R.bm25(R.camel)} SELECT chunk_id, term, tf, lang FROM wgt JOIN documents ON doc_id = chunk_id")
@@ -137,10 +137,10 @@ def load_index(spark, sf):
 
 @query()
 def hybrid_graph_search(spark, sf):
-    """Questions are method names with their interface; lexical and dense lists are fused, then grown along names and parents."""
+    """Questions are the interfaces; lexical and dense lists are fused, then grown along names and parents."""
     nodes = materialise(PG.nodes(spark, sf), "graph")
     numbered = nodes.withColumn("n", F.xxhash64("chunk_id"))
-    queries = numbered.where("kind = 'method' and substr(chunk_id, 1, 2) = '00'").select(F.col("n").alias("query_id"), F.concat("name", F.lit(" "), "content").alias("question"))
+    queries = numbered.where("kind = 'interface'").select(F.col("n").alias("query_id"), F.concat("name", F.lit(" "), "content").alias("question"))
     texts = GR.keyword_text(nodes).select(F.xxhash64("chunk_id").alias("chunk_id"), F.col("keywords").alias("content"))
     lexical = H.bm25_topk_positive(queries, H.bm25_index(texts), 10, camel_tokens)
     dense = G.flat_ip_topk(G.embed_words(queries, "query_id", "question"), G.embed_words(texts, "chunk_id", "content"), 10)

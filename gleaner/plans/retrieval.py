@@ -114,10 +114,10 @@ rr AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER
 # -- vectors -------------------------------------------------------------------------
 
 
-@query(f"WITH {ODD}, n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM odd) SELECT vec_id, CASE WHEN e IS NULL THEN NULL ELSE array_to_string(list_transform(list_slice(CASE WHEN n < 1e-10 OR abs(n - 1) <= 1e-6 OR isnan(n) THEN e ELSE list_transform(e, lambda x: x / n) END, 2, 5), lambda x: (round(x * 10000) + 0)::BIGINT::VARCHAR), ',') END AS head FROM n")
+@query(f"WITH {ODD}, n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM odd) SELECT vec_id, CASE WHEN e IS NULL THEN NULL ELSE array_to_string(list_transform(CASE WHEN n < 1e-10 OR abs(n - 1) <= 1e-6 OR isnan(n) THEN e ELSE list_transform(e, lambda x: x / n) END, lambda x: CASE WHEN isnan(x) THEN 'nan' ELSE (round(x * 10000) + 0)::BIGINT::VARCHAR END), ',') END AS scaled FROM n")
 def l2_normalize(spark, sf):
     e = G.l2_normalize(odd_vectors(spark, sf))
-    return e.select("vec_id", F.when(F.col("embedding").isNotNull(), F.array_join(F.transform(F.slice("embedding", 2, 4), lambda x: F.round(x * 10000).cast("long").cast("string")), ",")).alias("head"))
+    return e.select("vec_id", F.when(F.col("embedding").isNotNull(), F.array_join(F.transform("embedding", lambda x: F.when(F.isnan(x), "nan").otherwise(F.round(x * 10000).cast("long").cast("string"))), ",")).alias("scaled"))
 
 
 @query(f"WITH {ODD} SELECT vec_id, reason, reason IS NULL AS valid FROM chk")

@@ -28,7 +28,12 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not base and (own := sc.getCheckpointDir()):  # set with setCheckpointDir, below which Spark makes a folder of its own
+        base = own.rstrip("/").rpartition("/")[0]
+    if not base and not sc.master.startswith("local"):
+        raise ValueError("no folder that driver and executors share: set spark.checkpoint.dir")
     return (base or f"file://{LOCAL_CHECKPOINT_DIR}").rstrip("/")
 
 
@@ -62,7 +67,18 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+#: Tables of long texts, whose rows cost much more than reading them.
+TEXTS = frozenset(["documents", "pages"])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores: a file that can't be split would keep one core busy."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of a folder; Python tasks over it get small batches."""
+    """A table of a folder; Python tasks over it get small batches, long texts are spread over all cores."""
     bounded_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXTS else df

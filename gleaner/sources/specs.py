@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from gleaner.session import materialise
+
 #: The verbs of a path.
 VERBS = ("get", "post", "put", "delete", "patch", "options", "head")
 OPERATION = "struct<operationId:string,summary:string,parameters:array<struct<name:string>>,tags:array<string>>"
@@ -72,8 +75,22 @@ BUCKETS = 16
 
 
 def persist_index(postings: DataFrame, path: str) -> None:
-    """Write an index by document bucket; buckets that are written again are replaced, others stay."""
-    rows = postings.withColumn("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(BUCKETS)).cast("int"))
+    """Write an index by document bucket. Documents that are written again are replaced, all others stay.
+
+    Buckets that the new rows fall into are read, freed of these documents and put together with the
+    new rows in the shared folder first, then replaced; other buckets are not touched.
+    """
+    spark = postings.sparkSession
+    rows = materialise(postings.withColumn("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(BUCKETS)).cast("int")), "index-new")
+    try:
+        old = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        touched = rows.select("bucket").distinct()  # at most BUCKETS rows
+        kept = old.join(F.broadcast(touched), "bucket", "left_semi").join(rows.select("chunk_id").distinct().hint("merge"), "chunk_id", "left_anti")
+        rows = materialise(rows.unionByName(kept.select(*rows.columns)), "index-merged")
     rows.repartition(BUCKETS, "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 

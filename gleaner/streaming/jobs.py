@@ -57,10 +57,10 @@ def progress(events: DataFrame, out: str) -> None:
 
 
 def _admit(limit: int, seconds: int, stamps: list[float], log: deque) -> list[bool]:
-    """Which of the requests, in order, are accepted: at most `limit` accepted ones within the last `seconds`."""
+    """Which of the requests, in order, are accepted: at most `limit` accepted ones within the last `seconds`, one exactly that old included."""
     out = []
     for t in stamps:
-        while log and log[0] <= t - seconds:
+        while log and log[0] < t - seconds:
             log.popleft()
         ok = len(log) < limit
         if ok:
