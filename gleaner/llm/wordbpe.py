@@ -17,8 +17,8 @@ from typing import NamedTuple
 import numpy as np
 
 TOKENIZER = "word_bpe_49k.json"
-#: Words remembered in each of two generations.
-REMEMBERED = 400_000
+#: Bytes of words and ids remembered in each of two generations, and what an entry takes besides.
+REMEMBERED, ENTRY = 64 << 20, 150
 END = 1
 
 _ODD = re.compile("[\x1c-\x1f]")
@@ -39,6 +39,7 @@ class Encoder:
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.held = 0
         # byte-level models name bytes by printable characters: those that print stand for themselves, the rest follow from 256 on
         printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         rest = [b for b in range(256) if b not in set(printable)]
@@ -62,12 +63,13 @@ class Encoder:
         try:
             packed = b"".join([young[w] for w in parts])
         except KeyError:
-            if len(young) >= REMEMBERED:
-                self.old, self.young = young, {}
+            if self.held >= REMEMBERED:
+                self.old, self.young, self.held = young, {}, 0
                 young = self.young
             for w in parts:
                 if w not in young:
-                    young[w] = self.old.get(w) or new(w)
+                    young[w] = ids = self.old.get(w) or new(w)
+                    self.held += len(w) + len(ids) + ENTRY
             packed = b"".join([young[w] for w in parts])
         return np.frombuffer(packed, dtype=self.dtype)
 
