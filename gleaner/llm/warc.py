@@ -9,7 +9,12 @@ stepped over by Content-Length; foreign gzip members are inflated in pieces and
 df.write.format("warc") writes one record per row. Each task attempt writes files of its own; the
 commit lists those that count in one manifest file, and the reader keeps to it.
 
-Option payload=false reads headers alone. Registered by `register(spark)`.
+Option payload=false reads headers alone (the record's and the HTTP header). A file larger than option `split`
+is cut between members that have the `sl` field; a large foreign file is read by one task. Registered by
+`register(spark)`.
+
+Edge cases: header names in any case; an empty table gives an empty archive, which reads as no record; of
+page_records see there.
 """
 
 from __future__ import annotations
@@ -124,12 +129,15 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         where, root = fs.FileSystem.from_uri(self.path)
         where.create_dir(root, recursive=True)
-        files = sorted(f for m in messages if m for f in m.files)
+        files, before = sorted(f for m in messages if m for f in m.files), _listed(where, root) or []
         if not self.overwrite:
-            files = sorted({*files, *(_listed(where, root) or [])})
+            files = sorted({*files, *before})
         with where.open_output_stream(f"{root}/{MANIFEST}.new") as out:
             out.write(json.dumps({"files": files}).encode())
         where.move(f"{root}/{MANIFEST}.new", f"{root}/{MANIFEST}")
+        if self.overwrite:
+            for f in {*before} - {*files}:
+                where.delete_file(f"{root}/{f}")
 
     def abort(self, messages: list[Written | None]) -> None:
         where, root = fs.FileSystem.from_uri(self.path)
@@ -234,9 +242,9 @@ class _Inflater:
         return b""
 
 
-def records(source: Source, filters: Sequence[Filter] = (), payload: bool = True) -> Iterator[tuple[dict, dict[str, str], int, bytes | None]]:
-    """(header columns, all headers, payload length, payload) of the records that pass."""
-    while start := source.read(2):
+def records(source: Source, filters: Sequence[Filter] = (), payload: bool = True, stop: float = float("inf")) -> Iterator[tuple[dict, dict[str, str], int, bytes | None]]:
+    """(header columns, all headers, payload length, payload) of the records that pass and begin before stop."""
+    while source.at < stop and (start := source.read(2)):
         source.at -= len(start)
         if start == b"\x1f\x8b":
             yield from _gzip_record(source, filters, payload)
@@ -246,13 +254,26 @@ def records(source: Source, filters: Sequence[Filter] = (), payload: bool = True
             yield from _plain_record(source, filters, payload)
 
 
-def _split(block: bytes) -> tuple[int, bytes]:
-    """(payload length as the HTTP header says or as it is, payload) of a record's block."""
+def _length(headers: dict[str, str]) -> int | None:
+    """Content-Length, however its name is written."""
+    said = next((v for k, v in headers.items() if k.lower() == "content-length"), "")
+    return int(said) if said.isdigit() else None
+
+
+def _block(more, n: int, payload: bool) -> tuple[int, bytes | None]:
+    """(payload length as the HTTP header says or as it is, payload) of a block of n bytes, of which more(most) gives the next.
+
+    Without the payload only as much is read as the HTTP header takes.
+    """
+    raw = bytearray()
+    while len(raw) < n and (payload or raw[:5] == b"HTTP/"[: len(raw)] and b"\r\n\r\n" not in raw) and (got := more(n - len(raw) if payload else min(HEAD, n - len(raw)))):
+        raw += got
+    block = bytes(raw[:n])
     head, found, body = block.partition(b"\r\n\r\n")
     if not block.startswith(b"HTTP/") or not found:
-        return len(block), block
-    said = parse_head(head).get("Content-Length", "")
-    return int(said) if said.isdigit() else len(body), body
+        return n if not payload else len(block), block if payload else None
+    said = _length(parse_head(head))
+    return said if said is not None else n - len(head) - 4, body if payload else None
 
 
 def _plain_record(source, filters, payload):
@@ -260,12 +281,11 @@ def _plain_record(source, filters, payload):
     while (line := source.readline()) not in (b"\r\n", b"\n", b""):
         head += line
     headers = parse_head(bytes(head))
-    row, n = columns_of(headers), int(headers.get("Content-Length", "0"))
-    if not passes(filters, row):
-        source.at += n
-    else:
-        size, body = _split(source.read(n))
-        yield row, headers, size, body if payload else None
+    row, n, at = columns_of(headers), _length(headers) or 0, source.at
+    if passes(filters, row):
+        size, body = _block(source.read, n, payload)
+        yield row, headers, size, body
+    source.at = at + n
 
 
 def _gzip_record(source, filters, payload):
@@ -291,12 +311,8 @@ def _gzip_record(source, filters, payload):
     headers = parse_head(head)
     row = columns_of(headers)
     if passes(filters, row):
-        n, parts, have = int(headers.get("Content-Length", "0")), [rest], len(rest)
-        while have < n and (got := z.more(n - have)):
-            parts.append(got)
-            have += len(got)
-        size, body = _split(b"".join(parts)[:n])
-        yield row, headers, size, body if payload else None
+        size, body = _block(lambda most, left=[rest]: left.pop() if left and left[0] else z.more(most), _length(headers) or 0, payload)
+        yield row, headers, size, body
     if end is not None:
         source.at = end
     else:
@@ -305,8 +321,28 @@ def _gzip_record(source, filters, payload):
         source.at += 8 - len(z.z.unused_data)  # the trailer; what was read too far is read again
 
 
+#: How a gzip member with the `sl` field begins; fixed, as `member` writes it.
+SIGNATURE = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x0c\0sl\x08\0"
+
+
+def seek_member(source: Source, stop: int) -> bool:
+    """Go to the next place before stop where a member with the `sl` field begins."""
+    while source.at < stop:
+        got = source.read(1 << 16)
+        found = got.find(SIGNATURE)
+        if found >= 0:
+            source.at -= len(got) - found
+            return source.at < stop
+        if len(got) <= len(SIGNATURE):
+            return False
+        source.at -= len(SIGNATURE) - 1
+    return False
+
+
 class Files(InputPartition):
-    def __init__(self, files: list[str]):
+    """Stretches of files: (path, first byte, byte before which records begin)."""
+
+    def __init__(self, files: list[tuple[str, int, int]]):
         self.files = files
 
 
@@ -324,7 +360,7 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Files]:
-        """Groups of files of about `split` bytes; a larger file stands alone."""
+        """Groups of files of about `split` bytes. A larger file is cut where its members have the `sl` field, else it stands alone."""
         where, root = fs.FileSystem.from_uri(self.path)
         listed = _listed(where, root) if where.get_file_info(root).type == fs.FileType.Directory else None
         if listed is not None:
@@ -335,19 +371,29 @@ class WarcReader(DataSourceReader):
             infos = [i for i in where.get_file_info(fs.FileSelector(root, recursive=True)) if i.path.endswith((".warc", ".warc.gz"))]
         out, size = [], self.split
         for info in sorted(infos, key=lambda i: i.path):
-            if size + info.size > self.split:
-                out.append([])
-                size = 0
-            out[-1].append(info.path)
-            size += info.size
+            step = info.size
+            if info.size > self.split:
+                with where.open_input_file(info.path) as f:
+                    step = self.split if f.read(len(SIGNATURE)) == SIGNATURE else info.size
+            for at in range(0, info.size, max(1, step)):
+                own = min(step, info.size - at)
+                if size + own > self.split:
+                    out.append([])
+                    size = 0
+                out[-1].append((info.path, at, at + own))
+                size += own
         return [Files(files) for files in out] or [Files([])]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         where, _ = fs.FileSystem.from_uri(self.path)
         schema, rows, size = _arrow_schema(), [], 0
-        for path in partition.files:
+        for path, at, stop in partition.files:
             with where.open_input_file(path) as raw:
-                for row, headers, n, payload in records(Source(raw), self.filters, self.payload):
+                source = Source(raw)
+                source.at = source.base = at
+                if at and not seek_member(source, stop):
+                    continue
+                for row, headers, n, payload in records(source, self.filters, self.payload, stop):
                     rows.append({**row, "payload_length": n, "headers": list(headers.items()), "payload": payload})
                     size += len(payload or b"")
                     if len(rows) >= ROWS or size >= BYTES:
