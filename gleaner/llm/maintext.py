@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -63,6 +64,10 @@ class Box:
     article: Box | None = None
     fixed: bool = False
     mark: int = -1
+    depth: int = 0
+    size: int = 0
+    dense: int = 0
+    inside: bool = False
 
 
 @dataclass
@@ -104,9 +109,15 @@ class Lines(HTMLParser):
         self.ignored = ignored
         self.marks: list[set[str]] = []
         self.root = self.box = Box("", None, False)
+        self.boxes = [self.root]  # a box comes after the one around it
+        self.open: Counter[str] = Counter()
         self.lines = [Line(self.root)]
         self.link = 0
 
+    def _leave(self) -> None:
+        self.open[self.box.tag] -= 1
+        self.box = self.box.parent
+
     def _new(self) -> None:
         last = self.lines[-1]
         if last.text:
@@ -117,13 +128,15 @@ class Lines(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         block = tag in BLOCKS or tag in CONTAINERS
         while block and self.box.parent is not None and (self.box.tag == "p" or tag in ALONE and self.box.tag in ALONE[tag]):
-            self.box = self.box.parent  # a marked element whose end tag is left out
+            self._leave()  # a marked element whose end tag is left out
         words = set() if not block or tag in HEADINGS else named(attrs)
         if tag in CONTAINERS or block and tag not in VOID and tag not in HEADINGS and (words or unseen(attrs)):
             inside = self.box.article
             plain = tag in ("html", "body", "main") or (tag == "article" and inside is None)
             fixed = self.box.fixed or tag in DROPPED or (tag == "header" and inside is None) or (not plain and unseen(attrs))
-            box = Box(tag, self.box, self.box.dropped or fixed, inside, fixed)
+            box = Box(tag, self.box, self.box.dropped or fixed, inside, fixed, depth=self.box.depth + 1)
+            self.boxes.append(box)
+            self.open[tag] += 1
             if not plain and words:
                 box.mark = len(self.marks)
                 self.marks.append(words)
@@ -151,11 +164,10 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if tag in CONTAINERS or tag in BLOCKS and self.box.tag == tag:
-            box = self.box
-            while box.parent is not None and box.tag != tag:
-                box = box.parent
-            if box.parent is not None:  # an end tag without its start is ignored
-                self.box = box.parent
+            if self.open[tag]:  # an end tag without its start is ignored
+                while self.box.tag != tag:
+                    self._leave()
+                self._leave()
             self.link = 0
         if tag in BLOCKS or tag in CONTAINERS:
             self._new()
@@ -204,18 +216,13 @@ def _parsed(html: str, ignored: frozenset[int] | None = frozenset()) -> Lines:
 
 def _outweighed(parser: Lines) -> frozenset[int]:
     """Marks of elements that hold more than half of the page's unlinked text."""
-    total, held = 0, dict.fromkeys(range(len(parser.marks)), 0)
     for line in parser.lines:
-        box: Box | None = line.box
-        if box.fixed:
-            continue
-        size = max(0, len(_SPACE.sub(" ", "".join(line.text)).strip()) - line.linked)
-        total += size
-        while box is not None:
-            if box.mark >= 0:
-                held[box.mark] += size
-            box = box.parent
-    return frozenset(k for k, v in held.items() if 2 * v > total and not parser.marks[k] & ALWAYS)
+        if not line.box.fixed:
+            line.box.size += max(0, len(_SPACE.sub(" ", "".join(line.text)).strip()) - line.linked)
+    for box in reversed(parser.boxes[1:]):
+        box.parent.size += box.size
+    total = parser.root.size
+    return frozenset(b.mark for b in parser.boxes if b.mark >= 0 and 2 * b.size > total and not parser.marks[b.mark] & ALWAYS)
 
 
 def _select(parser: Lines) -> str:
@@ -233,10 +240,7 @@ def _select(parser: Lines) -> str:
     ratio = smooth(raw)
     border = SHARE * float(ratio.std())
     region, core = ratio >= border, raw >= border
-    weights: dict[int, int] = {}
-    boxes: dict[int, Box] = {}
-    articles: dict[int, int] = {}
-    total = 0
+    articles: list[Box] = []
     direct: set[int] = set()
     for (line, text), on, dense in zip(rows, region, core, strict=True):
         if not (on and text):
@@ -244,44 +248,27 @@ def _select(parser: Lines) -> str:
         size = max(1, len(text) - line.linked)
         if len(text) > line.linked:
             direct.add(id(line.box))
-        box: Box | None = line.box
-        if box.article is not None:
-            top = box.article
-            boxes[id(top)] = top
-            articles[id(top)] = articles.get(id(top), 0) + size
-        total += size if dense else 0
-        while box is not None:
-            boxes[id(box)] = box
-            weights[id(box)] = weights.get(id(box), 0) + (size if dense else 0)
-            box = box.parent
+        if line.box.article is not None:
+            articles.append(line.box.article)
+        line.box.dense += size if dense else 0
+    for box in reversed(parser.boxes[1:]):
+        box.parent.dense += box.dense
     if articles:
-        if any(boxes[k].tag == "article" for k in articles):
-            articles = {k: v for k, v in articles.items() if boxes[k].tag == "article"}
-        chosen = set(articles)  # several articles of one page
+        # several articles of one page
+        chosen = [b for b in articles if b.tag == "article"] or articles
     else:
-        deepest, depth = parser.root, -1
-        for k, v in weights.items():
-            if v == total:
-                d, box = 0, boxes[k]
-                while box.parent is not None:
-                    d, box = d + 1, box.parent
-                if d > depth:
-                    deepest, depth = boxes[k], d
+        deepest = max((b for b in parser.boxes if b.dense == parser.root.dense), key=lambda b: b.depth)
         above = deepest  # the highest element around it that has region text of its own, as a heading or lead
         while above.parent is not None:
             above = above.parent
             if id(above) in direct:
                 deepest = above
-        chosen = {id(deepest)}
-
-    def inside(box: Box | None) -> bool:
-        while box is not None:
-            if id(box) in chosen:
-                return True
-            box = box.parent
-        return False
-
-    return "\n\n".join(text for line, text in rows if text and inside(line.box))
+        chosen = [deepest]
+    for box in chosen:
+        box.inside = True
+    for box in parser.boxes[1:]:
+        box.inside |= box.parent.inside
+    return "\n\n".join(text for line, text in rows if text and line.box.inside)
 
 
 def main_text(html: Column) -> Column:
