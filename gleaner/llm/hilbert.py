@@ -13,7 +13,7 @@ vector held by a third of all rows weighs no more than any other.
 
 Edge cases: null vectors, zero vectors, vectors with null or non-finite components, and vectors of
 another length than most take no part, as query or candidate; rows with a null id neither; repeated
-rows (the same id and vector) count once; fewer candidates than k give fewer rows; an empty table
+rows (the same id and vector) count once, an id with several vectors is one candidate at its nearest; fewer candidates than k give fewer rows; an empty table
 gives an empty result; other columns are ignored.
 """
 
@@ -202,6 +202,6 @@ def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "
         found = _best(found.select("q", "c", "score").unionByName(_score(open_, first, most)), most)
 
     listed = found.select("q", "c", "score").join(table.select(F.col("id").alias("c"), "ids").hint("merge"), "c").select("q", "score", F.explode("ids").alias("vec_id"))
-    pairs = asked.join(listed.hint("merge"), "q").where("vec_id <> query_id")
+    pairs = asked.join(listed.hint("merge"), "q").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -99,7 +99,10 @@ class _Ranker:
         keys, count = _runs(where.astype(np.int64) << BITS | gram)
         doc, most = keys >> BITS, np.int64((1 << (62 - BITS - 20)) - 1)
         # within a text by falling count, then by n-gram
-        order = np.argsort((doc << 42) | ((most - np.minimum(count, most)) << BITS) | (keys & ((1 << BITS) - 1)), kind="stable")
+        if len(count) and count.max() > most:  # too many for the packed key
+            order = np.lexsort((keys, -count, doc))
+        else:
+            order = np.argsort((doc << 42) | ((most - count) << BITS) | (keys & ((1 << BITS) - 1)), kind="stable")
         doc, gram = doc[order], (keys & ((1 << BITS) - 1))[order]
         first = np.searchsorted(doc, np.arange(n + 1))
         rank = np.arange(len(doc)) - first[doc]

@@ -71,6 +71,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_warc, op2_packing, op3_toxicity, op4_maintext, op5_fingerprint, op6_simhash, op7_langid, op8_neighbours, op9_tokens, op10_pieces)}
 
 
+#: The same questions in DuckDB SQL, where it can ask them; tests/llm holds the others to brute-force versions.
+SQL = {
+    "op1_warc": """WITH d AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM d), r AS (SELECT *, n >= 100 AND first <> page_id AS again FROM f)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to FROM r""",
+    "op8_neighbours": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+s AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e) / (q.n * c.n) AS score FROM s q JOIN s c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    """Empty: none of these can be said in SQL; tests/llm holds each to a brute-force version."""
-    return {}
+    return dict(SQL)

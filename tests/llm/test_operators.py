@@ -91,6 +91,52 @@ def test_warc_skips_payloads():
     assert [r["record_id"] for r, *_ in got] == ["<urn:page:2>"]
 
 
+def test_warc_foreign_archives():
+    """Header names in any case; payload=false reads no more than headers; records begin before a stop."""
+    import gzip
+    import io
+
+    http = b"HTTP/1.1 200 OK\r\ncontent-length: 5\r\n\r\nhello"
+    plain = b"WARC/1.0\r\nwarc-type: response\r\nWARC-RECORD-ID: <urn:page:1>\r\ncontent-length: %d\r\n\r\n%s\r\n\r\n" % (len(http), http)
+    for raw in (plain * 3, gzip.compress(plain) * 3):
+        for payload in (True, False):
+            got = list(warc.records(warc.Source(io.BytesIO(raw)), payload=payload))
+            assert [(r["record_type"], n, body) for r, _, n, body in got] == [("response", 5, b"hello" if payload else None)] * 3
+    assert len(list(warc.records(warc.Source(io.BytesIO(plain * 3)), stop=len(plain) + 1))) == 2
+
+
+def test_warc_large_file_is_cut(spark):
+    path = scratch_path(spark, "test-warc")
+    warc.register(spark)
+    rows = [(i, f"http://{i}", "".join(random.Random(i).choices("abcdefgh <>", k=3000)), "q") for i in range(60)]
+    warc.page_records(spark.createDataFrame(rows, "page_id long, url string, html string, record_type string").coalesce(1)).coalesce(1).write.format("warc").mode("append").save(path)
+    df = spark.read.format("warc").option("split", "9000").load(path)
+    assert df.rdd.getNumPartitions() > 5
+    assert sorted((r.record_id, r.payload.decode()) for r in df.collect()) == sorted((f"<urn:page:{i}>", h) for i, _, h, _ in rows)
+    headers = spark.read.format("warc").option("payload", "false").load(path).collect()
+    assert {(r.payload, r.payload_length) for r in headers} == {(None, 3000)}
+
+
+def test_warc_empty_table(spark):
+    path = scratch_path(spark, "test-warc")
+    warc.register(spark)
+    warc.page_records(empty(pages(spark))).write.format("warc").mode("append").save(path)
+    assert spark.read.format("warc").load(path).count() == 0
+
+
+def test_sql_queries(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("pages", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        rel = con.execute(sql)
+        names = [d[0] for d in rel.description]
+        plain = lambda row: tuple(round(v, 9) if isinstance(v, float) else v for v in row)
+        assert sorted(map(repr, map(plain, rel.fetchall()))) == sorted(repr(plain(r[c] for c in names)) for r in queries.queries()[name](spark, sf).collect())
+
+
 # -- op2 ---------------------------------------------------------------------
 
 
@@ -176,6 +222,34 @@ def test_toxicity_learns_a_pair(spark):
     assert s[0] > 0.7 and max(s[1:]) < 0.7
 
 
+def test_toxicity_score_by_a_double_loop(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghij", k=7)) for _ in range(40)]
+    rows = [(i, " ".join(rng.choices(words, k=12)), int(rng.random() < 0.3)) for i in range(200)]
+    machine = toxicity.fit(df := spark.createDataFrame(rows, "doc_id long, text string, toxic int"), df, telling=0.0)
+    assert len(machine.terms) > 40
+    for (_, text, _), got in zip(rows[:20], machine.scores([t for _, t, _ in rows[:20]]), strict=True):
+        _, term = toxicity._terms([text])
+        on = [i for i, t in enumerate(machine.terms) if t in set(term.tolist())]
+        z = machine.bias + sum(machine.weights[i] for i in on)
+        for i in on:
+            for j in on:
+                if i < j:
+                    z += float(machine.factors[i] @ machine.factors[j])
+        assert got == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+
+def test_toxicity_bounds_rows(spark, monkeypatch):
+    """Ids with many texts: no more rows than max_fit are learned from; the largest of several labels counts, null labels don't."""
+    seen = []
+    learn = toxicity._learn
+    monkeypatch.setattr(toxicity, "_learn", lambda rows, *a, **k: (seen.append(len(rows)), learn(rows, *a, **k))[1])
+    docs = spark.createDataFrame([(i % 10, f"text {i} of {'bad' if i % 2 else 'good'} words") for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)] + [(1, 0), (2, None)], "doc_id long, toxic int")
+    machine = toxicity.fit(docs, labels, max_fit=20)
+    assert seen == [20] and machine.scores(["bad words"])[0] > machine.scores(["good words"])[0]
+
+
 def test_toxicity_edges(spark):
     docs, none = odd_docs(spark), spark.createDataFrame([], "doc_id long, toxic int")
     machine = toxicity.fit(docs, none)
@@ -206,12 +280,23 @@ def test_language_is_out_of_place(spark):
                     grams[g] = grams.get(g, 0) + 1
         return grams
 
-    ranker = langid._Ranker(profiles, 20)
-    best, score = ranker(texts)
-    for t, b in zip(texts, best, strict=True):
-        assert (b == -1) == (not ranked([t]))
-    code, n = langid._runs(langid._grams(*langid.letter_runs(texts))[1])
-    assert sorted(n.tolist()) == sorted(ranked(texts).values())
+    def code(g):
+        c = [ord(x) for x in g] + [0, 0]
+        key = {1: c[0], 2: c[0] | c[1] << 21 | 1 << 63, 3: c[0] | c[1] << 21 | c[2] << 42}[len(g)]
+        return int(langid.mix(np.array([key], np.uint64))[0]) >> 64 - langid.BITS
+
+    best, score = langid._Ranker(profiles, 20)(texts)
+    names = [*profiles]
+    assert all(profiles[n].tolist() == [code(g) for g, _ in sorted(ranked([r.text for r in df.where(df.lang == n).collect()]).items(), key=lambda x: (-x[1], code(x[0])))[:20]] for n in names)
+    for t, b, s in zip(texts, best, score, strict=True):
+        own = [code(g) for g, _ in sorted(ranked([t]).items(), key=lambda x: (-x[1], code(x[0])))[:20]]
+        away = [sum(abs(i - p.index(g)) if g in p else 20 for i, g in enumerate(own)) for p in (profiles[n].tolist() for n in names)]
+        if not own:
+            assert (b, s) == (-1, 0)
+        else:
+            assert b == away.index(min(away)) and s == pytest.approx(1 - min(away) / (20 * len(own)))
+    tie = langid._Ranker({"p": profiles["p"], "q": profiles["p"]}, 20)(["abc"])
+    assert tie[0].tolist() == [0]  # equally near: the alphabetically first
 
 
 def test_language_edges(spark):
@@ -463,6 +548,17 @@ def test_pieces_match_the_library():
         assert mine.tolist() == bpe.model.encode(t), t
 
 
+def test_pieces_of_long_words_and_empty_table(spark):
+    bpe = piecebpe.piece_bpe(public_tokenizers.path(piecebpe.MODEL))
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("etaoinshrdlcumwfgypb", k=n)) for n in (5_000, 30_000)] + random_texts("the in", 400, 3) + random_texts("etaoinshrdl", 400, 4)
+    for t, mine in zip(texts, bpe.encode(texts), strict=True):
+        assert mine.tolist() == bpe.model.encode(t)
+    got = {r.doc_id: r for r in piecebpe.digests(odd_docs(spark), public_tokenizers.path(piecebpe.MODEL)).collect()}
+    assert len(got) == 9 and got[1].n_tokens == got[2].n_tokens == 0 and got[1].decoded_sha256 == hashlib.sha256(b"").hexdigest()
+    assert piecebpe.digests(empty(odd_docs(spark)), public_tokenizers.path(piecebpe.MODEL)).count() == 0
+
+
 def test_pieces_query(spark, sf):
     bpe = piecebpe.piece_bpe(public_tokenizers.path(piecebpe.MODEL))
     text = {r.doc_id: r.text or "" for r in table(spark, sf, "documents").collect()}
@@ -486,3 +582,14 @@ def test_maintext_keeps_the_whole_article():
     assert "long sentence" in maintext.extract(f"<body><div class='comments'><p>{long}</p></div></body>")  # nothing else is left
     got = maintext.extract(f"<body><article><p>{long}</p><p class='cookie-notice'>{mid}biscuit<p>{mid}end</p><ul><li class=promo>{mid}buy<li>{mid}item</ul></article><div class=comments><p>{long * 9}remark</p></div></body>")
     assert "end" in got and "item" in got and not any(w in got for w in ("biscuit", "buy", "remark"))
+
+
+def test_maintext_deep_nesting():
+    text = "Many words of one long paragraph that stands inside. " * 5
+    for page in ("<div>" * 100_000 + f"<p>{text}</p>" + "</div>" * 100_000, "<div class=ad>" * 20_000 + f"<p>{text}</p>" + "</ul>" * 20_000):
+        assert maintext.extract(page) == text.strip()
+
+
+def test_neighbours_of_an_id_with_two_vectors(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [1.0, 0.2]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [(r.rank, r.vec_id) for r in sorted(hilbert.search(df, F.col("id") % 50 == 0).collect())] == [(1, 1), (2, 2)]
