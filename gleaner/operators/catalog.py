@@ -118,6 +118,19 @@ def cache_lookup(probes: DataFrame, cache: DataFrame, ttl: int = 3) -> DataFrame
     return probes.join(last.hint("merge"), "key", "left").withColumn("hit", F.coalesce(F.col("expires_at") > F.col("now"), F.lit(False))).drop("expires_at")
 
 
+def cache_write(cache: DataFrame, answers: DataFrame, days: int = 3) -> DataFrame:
+    """The cache with answers (its columns without expires_at) appended, each valid for some days from its ts; 0 days append nothing."""
+    if days == 0:
+        return cache
+    return cache.unionByName(answers.withColumn("expires_at", F.col("ts") + F.expr(f"INTERVAL {days} DAYS")).select(*cache.columns))
+
+
+def cache_history(cache: DataFrame, now: Column, n: int = 50) -> DataFrame:
+    """The n newest entries of each user with their place (1: newest) and whether they have expired."""
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
+    return cache.withColumn("place", place.cast("long")).where(F.col("place") <= n).withColumn("expired", F.col("expires_at") <= now)
+
+
 def cache_evict(cache: DataFrame, now: Column, owners: DataFrame | None = None) -> DataFrame:
     """Entries that are still valid and not of an owner to purge."""
     left = cache.where(F.col("expires_at") > now)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -37,11 +39,14 @@ def validate_embeddings(df: DataFrame, dim: int, vector: str = "embedding") -> D
     return df.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())
 
 
-def embed_texts(df: DataFrame, text: str = "text", dim: int = 64) -> DataFrame:
-    """The default embedder: signed hashed words, unit norm; a text without words is a zero vector.
+def embed_texts(df: DataFrame, text: str = "text", dim: int = 64, embedder: Callable[[Column], Column] | None = None) -> DataFrame:
+    """df with embedding, unit norm, by an embedder: a function from a text column to an array of doubles, such as a pandas_udf.
 
+    The default embedder adds signed hashed words; a text without words is a zero vector.
     A word's first two digest digits give its place, the third its sign; all in built-in functions.
     """
+    if embedder is not None:
+        return l2_normalize(df.withColumn("embedding", embedder(F.col(text)).cast("array<double>")))
     w = F.transform(lower_words(text), lambda t: F.md5(t.cast("binary")))
     signed = F.transform(w, lambda h: F.struct((F.conv(F.substring(h, 1, 2), 16, 10).cast("int") % dim).alias("at"), F.when(F.substring(h, 3, 1) < "8", 1.0).otherwise(-1.0).alias("s")))
     counts = F.aggregate(signed, F.array_repeat(F.lit(0.0), dim), lambda acc, x: F.transform(acc, lambda v, i: v + F.when(i == x.at, x.s).otherwise(0.0)))

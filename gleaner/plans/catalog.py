@@ -159,6 +159,17 @@ def cache_lookup(spark, sf):
     return B.cache_lookup(probes, c.where("event_id % 3 = 0")).select("event_id", "hit")
 
 
+@query(f"WITH {CACHE} SELECT event_id, key, expires_at FROM cch WHERE event_id % 3 = 0 UNION ALL SELECT event_id, key, ts + INTERVAL 3 DAY FROM cch WHERE event_id % 3 <> 0")
+def cache_write(spark, sf):
+    c = cache(spark, sf)
+    return B.cache_write(c.where("event_id % 3 = 0"), c.where("event_id % 3 <> 0").drop("expires_at")).select("event_id", "key", "expires_at")
+
+
+@query(f"WITH {CACHE} SELECT event_id, user_id, place, expires_at <= TIMESTAMP '2024-01-20 00:00:00' AS expired FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM cch) WHERE place <= 50")
+def cache_history(spark, sf):
+    return B.cache_history(cache(spark, sf), F.lit("2024-01-20 00:00:00").cast("timestamp")).select("event_id", "user_id", "place", "expired")
+
+
 @query(f"WITH {CACHE} SELECT event_id FROM cch WHERE expires_at > TIMESTAMP '2024-01-20 00:00:00' AND user_id % 10 <> 4")
 def cache_evict(spark, sf):
     c = cache(spark, sf)

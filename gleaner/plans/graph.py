@@ -26,23 +26,23 @@ def nodes(spark, sf) -> DataFrame:
     return G.build_chunk_graph(*entities(spark, sf)).withColumn("level", F.col("level").cast("long"))
 
 
-NODES = f"""pt AS (SELECT {DOC} % 5 AS doc_id, 'IBrand' || {DOC} AS i, 'Get' || p_partkey AS m, 'IBrand' || (p_partkey % 25 + 1) AS r, 'a' || p_size AS a, 'EType' || (p_partkey % 6) AS t, p_size FROM part),
-em AS (SELECT DISTINCT doc_id, t, p_size FROM pt), ev AS (SELECT doc_id, t, string_agg('v' || p_size || ' = ' || p_size, ', ' ORDER BY 'v' || p_size) AS vs FROM em GROUP BY 1, 2),
-nod AS (SELECT DISTINCT doc_id, md5(doc_id || '/' || i) AS chunk_id, NULL AS parent_id, 'interface' AS kind, 0::BIGINT AS level, i AS name, 'Interface ' || i AS content FROM pt
+NODES = f"""pt AS MATERIALIZED (SELECT {DOC} % 5 AS doc_id, 'IBrand' || {DOC} AS i, 'Get' || p_partkey AS m, 'IBrand' || (p_partkey % 25 + 1) AS r, 'a' || p_size AS a, 'EType' || (p_partkey % 6) AS t, p_size FROM part),
+em AS MATERIALIZED (SELECT DISTINCT doc_id, t, p_size FROM pt), ev AS MATERIALIZED (SELECT doc_id, t, string_agg('v' || p_size || ' = ' || p_size, ', ' ORDER BY 'v' || p_size) AS vs FROM em GROUP BY 1, 2),
+nod AS MATERIALIZED (SELECT DISTINCT doc_id, md5(doc_id || '/' || i) AS chunk_id, NULL AS parent_id, 'interface' AS kind, 0::BIGINT AS level, i AS name, 'Interface ' || i AS content FROM pt
 UNION ALL SELECT doc_id, md5(doc_id || '/' || i || '/' || m), md5(doc_id || '/' || i), 'method', 1, m, r || ' ' || m || '(long ' || a || ', ' || t || ' b)' FROM pt
 UNION ALL SELECT doc_id, md5(doc_id || '/' || i || '/' || m || '/' || a), md5(doc_id || '/' || i || '/' || m), 'parameter', 2, a, a || ': long' FROM pt
 UNION ALL SELECT doc_id, md5(doc_id || '/' || i || '/' || m || '/b'), md5(doc_id || '/' || i || '/' || m), 'parameter', 2, 'b', 'b: ' || t FROM pt
 UNION ALL SELECT doc_id, md5(doc_id || '/' || t), NULL, 'enum', 0, t, 'Enum ' || t || ': ' || vs FROM ev
 UNION ALL SELECT doc_id, md5(doc_id || '/' || t || '/v' || p_size), md5(doc_id || '/' || t), 'enum_value', 1, 'v' || p_size, 'v' || p_size || ' = ' || p_size FROM em)"""
-# ranked nodes: all, by document as query
-FOUND = "fnd AS (SELECT doc_id AS query_id, chunk_id, rank, round(1.0 / rank, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id) AS rank FROM nod))"
+# ranked nodes: all methods and parameters, by document as query
+FOUND = "fnd AS (SELECT doc_id AS query_id, chunk_id, rank, round(1.0 / rank, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id) AS rank FROM nod WHERE kind IN ('method', 'parameter')))"
 
 
 def found(spark, sf, n: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_id")).cast("long")
-    return n.select(F.col("doc_id").alias("query_id"), "chunk_id", rank.alias("rank")).withColumn("score", F.round(1 / F.col("rank"), 6))
+    return n.where("kind in ('method', 'parameter')").select(F.col("doc_id").alias("query_id"), "chunk_id", rank.alias("rank")).withColumn("score", F.round(1 / F.col("rank"), 6))
 
 
 @query(f"WITH {NODES} SELECT * FROM nod")

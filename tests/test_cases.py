@@ -103,3 +103,31 @@ def test_rate_limit_counts_accepted_requests(spark):
     df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, s double").withColumn("ts", F.col("s").cast("timestamp"))
     got = [r.accepted for r in jobs.rate_limit(df, limit=2, seconds=30).orderBy("event_id").collect()]
     assert got == [True, True, False, False, True, True, False, False]  # one exactly 30 s old still counts
+
+
+def test_engines_and_embedders(spark):
+    text = "\n".join(f"line {i} of a text" for i in range(90))
+    docs = spark.createDataFrame([(1, text, "recursive"), (2, text, "token_window"), (3, text, "else"), (4, text, None)], "doc_id long, text string, engine_type string")
+    got = {k: [r.content for r in C.chunk_by_engine(docs).where(f"doc_id = {k}").orderBy("chunk_index").collect()] for k in (1, 2, 3, 4)}
+    assert got[1] == got[3] == got[4] and got[1] != got[2] and len(got[2]) > 1
+    lengths = G.embed_texts(docs, embedder=lambda t: F.array(F.length(t) * 1.0, F.lit(0.0)))
+    assert {tuple(r.embedding) for r in lengths.collect()} == {(1.0, 0.0)}
+
+
+def test_dense_scores_skips_unsound_queries(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [float("nan"), 1.0]), (4, [1.0])], "query_id long, embedding array<double>")
+    c = spark.createDataFrame([(1, [0.5, 0.5]), (2, [1.0, 0.0]), (3, [2.0])], "chunk_id long, embedding array<double>")
+    assert sorted((r.query_id, r.chunk_id, r.score) for r in G.flat_ip_topk(q, c, 1).collect()) == [(1, 2, 1.0), (4, 3, 2.0)]
+    words = G.embed_words(spark.createDataFrame([(1, "a b"), (2, ""), (3, None)], "k long, text string"), "k").collect()
+    assert len(words) == 3 and {tuple(set(r.embedding)) for r in words if r.k > 1} == {(0.0,)}
+
+
+def test_index_keeps_other_documents(spark):
+    from gleaner.session import scratch_path
+    from gleaner.sources import specs
+
+    path = scratch_path(spark, "test-index")
+    specs.persist_index(spark.range(100).selectExpr("id AS chunk_id", "'a' AS term"), path)
+    specs.persist_index(spark.createDataFrame([(7, "b"), (7, "c"), (200, "b")], "chunk_id long, term string"), path)
+    rows = specs.load_index(spark, path).collect()
+    assert len(rows) == 102 and {r.term for r in rows if r.chunk_id == 7} == {"b", "c"} and {r.chunk_id for r in rows} == {*range(100), 200}
