@@ -17,11 +17,43 @@ def path_id(*parts: Column) -> Column:
     return F.md5(F.concat_ws("/", *(p.cast("string") for p in parts)).cast("binary"))
 
 
-def build_chunk_graph(interfaces: DataFrame, enums: DataFrame, max_depth: int = 10) -> DataFrame:
+def _nodes(rows: DataFrame, kind: str, level: Column, parent: Column, own: list[Column], name: Column, content: Column) -> DataFrame:
+    doc = F.col("doc_id")
+    return rows.select(doc, path_id(doc, *own).alias("chunk_id"), parent.alias("parent_id"), F.lit(kind).alias("kind"), level.alias("level"), name.alias("name"), content.alias("content"))
+
+
+def other_nodes(properties: DataFrame | None = None, paragraphs: DataFrame | None = None, tables: DataFrame | None = None, errors: DataFrame | None = None, records: DataFrame | None = None) -> list[DataFrame]:
+    """Nodes of further entities.
+
+    properties: doc_id, interface, name, type; paragraphs: doc_id, interface, pos, content; both stand below
+    their interface, or at the top where that is null. tables: doc_id, pos, content; errors: doc_id, name,
+    value, description; records: doc_id, name, fields array<struct<name, type>>.
+    """
+    doc, none, c = F.col("doc_id"), F.lit(None).cast("string"), F.col
+    below = F.when(c("interface").isNotNull(), 1).otherwise(0) if properties is not None or paragraphs is not None else None
+    above = F.when(c("interface").isNotNull(), path_id(doc, c("interface"))) if below is not None else None
+    out = []
+    if properties is not None:
+        out.append(_nodes(properties, "property", below, above, [F.lit("property"), F.coalesce("interface", F.lit("")), c("name")], c("name"), F.concat("name", F.lit(": "), "type")))
+    if paragraphs is not None:
+        out.append(_nodes(paragraphs, "paragraph", below, above, [F.lit("paragraph"), c("pos")], F.concat(F.lit("Paragraph "), c("pos").cast("string")), c("content")))
+    if tables is not None:
+        out.append(_nodes(tables, "generic_table", F.lit(0), none, [F.lit("table"), c("pos")], F.concat(F.lit("Table "), c("pos").cast("string")), c("content")))
+    if errors is not None:
+        out.append(_nodes(errors, "error_code", F.lit(0), none, [F.lit("error"), c("name")], c("name"), F.concat("name", F.lit(" = "), c("value").cast("string"), F.lit(": "), "description")))
+    if records is not None:
+        fields = F.array_join(F.transform("fields", lambda f: F.concat(f["name"], F.lit(": "), f["type"])), ", ")
+        out.append(_nodes(records, "record", F.lit(0), none, [F.lit("record"), c("name")], c("name"), F.concat(F.lit("Record "), c("name"), F.lit(": "), fields)))
+        each = records.select(doc, c("name").alias("r"), F.explode("fields").alias("f"))
+        out.append(_nodes(each, "record_field", F.lit(1), path_id(doc, F.lit("record"), c("r")), [F.lit("record"), c("r"), c("f.name")], c("f.name"), F.concat("f.name", F.lit(": "), "f.type")))
+    return out
+
+
+def build_chunk_graph(interfaces: DataFrame, enums: DataFrame, max_depth: int = 10, **others: DataFrame) -> DataFrame:
     """Entities to nodes, one explode for each level; nodes at max_depth or deeper are left out.
 
     interfaces: doc_id, name, methods array<struct<name, returns, params array<struct<name, type>>>>;
-    enums: doc_id, name, values array<struct<name, value>>.
+    enums: doc_id, name, values array<struct<name, value>>; others: what other_nodes takes.
     """
     doc = F.col("doc_id")
     top = interfaces.select(doc, path_id(doc, F.col("name")).alias("chunk_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("interface").alias("kind"), F.lit(0).alias("level"), "name", F.concat(F.lit("Interface "), F.col("name")).alias("content"))
@@ -41,7 +73,7 @@ def build_chunk_graph(interfaces: DataFrame, enums: DataFrame, max_depth: int =
     e = enums.select(doc, path_id(doc, F.col("name")).alias("chunk_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("enum").alias("kind"), F.lit(0).alias("level"), "name", F.concat(F.lit("Enum "), F.col("name"), F.lit(": "), values).alias("content"))
     v = enums.select(doc, F.col("name").alias("e"), F.explode("values").alias("v"))
     members = v.select(doc, path_id(doc, F.col("e"), F.col("v.name")).alias("chunk_id"), path_id(doc, F.col("e")).alias("parent_id"), F.lit("enum_value").alias("kind"), F.lit(1).alias("level"), F.col("v.name").alias("name"), F.concat("v.name", F.lit(" = "), "v.value").alias("content"))
-    return reduce(DataFrame.unionByName, (top, methods, params, e, members)).where(F.col("level") < max_depth)
+    return reduce(DataFrame.unionByName, (top, methods, params, e, members, *other_nodes(**others))).where(F.col("level") < max_depth)
 
 
 def graph_children(nodes: DataFrame) -> DataFrame:
@@ -121,8 +153,8 @@ def resolve_sources(ranked: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def canonical_params(found: DataFrame, nodes: DataFrame, most: int = 100) -> DataFrame:
-    """Per query the sorted parameter names among its first `most` nodes."""
-    rows = found.where(F.col("rank") <= most).join(nodes.where("kind = 'parameter'").select("chunk_id", "name").hint("merge"), "chunk_id")
+    """Per query the sorted names of parameters, fields and properties among its first `most` nodes."""
+    rows = found.where(F.col("rank") <= most).join(nodes.where("kind in ('parameter', 'record_field', 'property')").select("chunk_id", "name").hint("merge"), "chunk_id")
     return rows.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("params"))
 
 

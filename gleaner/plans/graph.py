@@ -22,27 +22,47 @@ def entities(spark, sf) -> tuple[DataFrame, DataFrame]:
     return methods, enums
 
 
+def others(spark, sf) -> dict[str, DataFrame]:
+    """A property (every fourth without an interface), a paragraph, a table, an error code and a record field of each part."""
+    p = table(spark, sf, "part").selectExpr(f"{DOC} % 5 AS doc_id", f"CASE WHEN p_partkey % 4 <> 0 THEN 'IBrand' || {DOC} END AS interface", "p_partkey AS k", "p_size", "p_name", "p_type")
+    k = F.col("k").cast("string")
+    fields = F.sort_array(F.collect_list(F.struct(F.concat(F.lit("f"), k).alias("name"), F.lit("long").alias("type"))))
+    return {
+        "properties": p.select("doc_id", "interface", F.concat(F.lit("Prop"), k).alias("name"), F.lit("long").alias("type")),
+        "paragraphs": p.select("doc_id", "interface", F.col("k").alias("pos"), F.col("p_name").alias("content")),
+        "tables": p.select("doc_id", F.col("k").alias("pos"), F.col("p_type").alias("content")),
+        "errors": p.select("doc_id", F.concat(F.lit("err"), k).alias("name"), (-F.col("p_size")).alias("value"), F.col("p_type").alias("description")),
+        "records": p.groupBy("doc_id", F.concat(F.lit("R"), F.col("p_size").cast("string")).alias("name")).agg(fields.alias("fields")),
+    }
+
+
 def nodes(spark, sf) -> DataFrame:
-    return G.build_chunk_graph(*entities(spark, sf)).withColumn("level", F.col("level").cast("long"))
+    return G.build_chunk_graph(*entities(spark, sf), **others(spark, sf)).withColumn("level", F.col("level").cast("long"))
 
 
-NODES = f"""pt AS MATERIALIZED (SELECT {DOC} % 5 AS doc_id, 'IBrand' || {DOC} AS i, 'Get' || p_partkey AS m, 'IBrand' || (p_partkey % 25 + 1) AS r, 'a' || p_size AS a, 'EType' || (p_partkey % 6) AS t, p_size FROM part),
+NODES = f"""pt AS MATERIALIZED (SELECT {DOC} % 5 AS doc_id, 'IBrand' || {DOC} AS i, 'Get' || p_partkey AS m, 'IBrand' || (p_partkey % 25 + 1) AS r, 'a' || p_size AS a, 'EType' || (p_partkey % 6) AS t, p_size, p_partkey AS k, CASE WHEN p_partkey % 4 <> 0 THEN 'IBrand' || {DOC} END AS itf, p_name, p_type FROM part),
 em AS MATERIALIZED (SELECT DISTINCT doc_id, t, p_size FROM pt), ev AS MATERIALIZED (SELECT doc_id, t, string_agg('v' || p_size || ' = ' || p_size, ', ' ORDER BY 'v' || p_size) AS vs FROM em GROUP BY 1, 2),
 nod AS MATERIALIZED (SELECT DISTINCT doc_id, md5(doc_id || '/' || i) AS chunk_id, NULL AS parent_id, 'interface' AS kind, 0::BIGINT AS level, i AS name, 'Interface ' || i AS content FROM pt
 UNION ALL SELECT doc_id, md5(doc_id || '/' || i || '/' || m), md5(doc_id || '/' || i), 'method', 1, m, r || ' ' || m || '(long ' || a || ', ' || t || ' b)' FROM pt
 UNION ALL SELECT doc_id, md5(doc_id || '/' || i || '/' || m || '/' || a), md5(doc_id || '/' || i || '/' || m), 'parameter', 2, a, a || ': long' FROM pt
 UNION ALL SELECT doc_id, md5(doc_id || '/' || i || '/' || m || '/b'), md5(doc_id || '/' || i || '/' || m), 'parameter', 2, 'b', 'b: ' || t FROM pt
 UNION ALL SELECT doc_id, md5(doc_id || '/' || t), NULL, 'enum', 0, t, 'Enum ' || t || ': ' || vs FROM ev
-UNION ALL SELECT doc_id, md5(doc_id || '/' || t || '/v' || p_size), md5(doc_id || '/' || t), 'enum_value', 1, 'v' || p_size, 'v' || p_size || ' = ' || p_size FROM em)"""
-# ranked nodes: all methods and parameters, by document as query
-FOUND = "fnd AS (SELECT doc_id AS query_id, chunk_id, rank, round(1.0 / rank, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id) AS rank FROM nod WHERE kind IN ('method', 'parameter')))"
+UNION ALL SELECT doc_id, md5(doc_id || '/' || t || '/v' || p_size), md5(doc_id || '/' || t), 'enum_value', 1, 'v' || p_size, 'v' || p_size || ' = ' || p_size FROM em
+UNION ALL SELECT doc_id, md5(doc_id || '/property/' || coalesce(itf, '') || '/Prop' || k), md5(doc_id || '/' || itf), 'property', CASE WHEN itf IS NULL THEN 0 ELSE 1 END, 'Prop' || k, 'Prop' || k || ': long' FROM pt
+UNION ALL SELECT doc_id, md5(doc_id || '/paragraph/' || k), md5(doc_id || '/' || itf), 'paragraph', CASE WHEN itf IS NULL THEN 0 ELSE 1 END, 'Paragraph ' || k, p_name FROM pt
+UNION ALL SELECT doc_id, md5(doc_id || '/table/' || k), NULL, 'generic_table', 0, 'Table ' || k, p_type FROM pt
+UNION ALL SELECT doc_id, md5(doc_id || '/error/err' || k), NULL, 'error_code', 0, 'err' || k, 'err' || k || ' = ' || -p_size || ': ' || p_type FROM pt
+UNION ALL SELECT doc_id, md5(doc_id || '/record/R' || p_size), NULL, 'record', 0, 'R' || p_size, 'Record R' || p_size || ': ' || string_agg('f' || k || ': long', ', ' ORDER BY 'f' || k) FROM pt GROUP BY doc_id, p_size
+UNION ALL SELECT doc_id, md5(doc_id || '/record/R' || p_size || '/f' || k), md5(doc_id || '/record/R' || p_size), 'record_field', 1, 'f' || k, 'f' || k || ': long' FROM pt)"""
+# ranked nodes: all methods, parameters, properties and record fields, by document as query
+FOUND = "fnd AS (SELECT doc_id AS query_id, chunk_id, rank, round(1.0 / rank, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id) AS rank FROM nod WHERE kind IN ('method', 'parameter', 'property', 'record_field')))"
 
 
 def found(spark, sf, n: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_id")).cast("long")
-    return n.where("kind in ('method', 'parameter')").select(F.col("doc_id").alias("query_id"), "chunk_id", rank.alias("rank")).withColumn("score", F.round(1 / F.col("rank"), 6))
+    return n.where("kind in ('method', 'parameter', 'property', 'record_field')").select(F.col("doc_id").alias("query_id"), "chunk_id", rank.alias("rank")).withColumn("score", F.round(1 / F.col("rank"), 6))
 
 
 @query(f"WITH {NODES} SELECT * FROM nod")
@@ -52,7 +72,7 @@ def build_chunk_graph(spark, sf):
 
 @query(f"WITH {NODES} SELECT doc_id, kind, count(*) AS n FROM nod WHERE level < 2 GROUP BY 1, 2")
 def prune_chunk_graph(spark, sf):
-    return G.build_chunk_graph(*entities(spark, sf), max_depth=2).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+    return G.build_chunk_graph(*entities(spark, sf), max_depth=2, **others(spark, sf)).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {NODES} SELECT parent_id AS chunk_id, string_agg(chunk_id, ',' ORDER BY chunk_id) AS children FROM nod WHERE parent_id IS NOT NULL GROUP BY 1")
@@ -107,7 +127,7 @@ def resolve_sources(spark, sf):
     return G.resolve_sources(extra.unionByName(extra.limit(1).withColumn("chunk_id", F.lit("unknown"))), n)
 
 
-@query(f"WITH {NODES}, {FOUND} SELECT query_id, string_agg(DISTINCT name, ',' ORDER BY name) AS params FROM fnd JOIN nod USING (chunk_id) WHERE rank <= 100 AND kind = 'parameter' GROUP BY 1")
+@query(f"WITH {NODES}, {FOUND} SELECT query_id, string_agg(DISTINCT name, ',' ORDER BY name) AS params FROM fnd JOIN nod USING (chunk_id) WHERE rank <= 100 AND kind IN ('parameter', 'property', 'record_field') GROUP BY 1")
 def canonical_params(spark, sf):
     n = nodes(spark, sf)
     return G.canonical_params(found(spark, sf, n), n)
@@ -210,7 +230,7 @@ def graph_to_json(spark, sf):
     return G.graph_to_json(nodes(spark, sf)).select("chunk_id", F.md5(F.col("node").cast("binary")).alias("node"))
 
 
-KIND = "CASE n.kind WHEN 'enum_value' THEN 'Enum Value' ELSE upper(left(n.kind, 1)) || substr(n.kind, 2) END"
+KIND = "CASE n.kind WHEN 'enum_value' THEN 'Enum Value' WHEN 'generic_table' THEN 'Generic Table' WHEN 'error_code' THEN 'Error Code' WHEN 'record_field' THEN 'Record Field' ELSE upper(left(n.kind, 1)) || substr(n.kind, 2) END"
 
 
 @query(f"WITH {NODES} SELECT n.chunk_id, {KIND} || ': ' || n.name || coalesce(' of ' || p.name, '') || chr(10) || n.content AS text FROM nod n LEFT JOIN nod p ON n.parent_id = p.chunk_id")
