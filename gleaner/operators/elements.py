@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,26 +136,24 @@ def param_descriptions(lines: DataFrame, params: DataFrame) -> DataFrame:
 def reconstruct_signature(elements: DataFrame) -> DataFrame:
     """The first run of lines that belong to a signature, joined by spaces: up to a closing parenthesis, a semicolon or a brace."""
 
-    def one(s: pd.Series) -> pd.Series:
-        def run(text: str) -> str | None:
-            held: list[str] = []
-            for line in (text or "").split("\n"):
-                line = line.strip()
-                if not held and "(" not in line:
-                    continue
-                held.append(line)
-                if line.endswith((")", ";", "{")):
-                    break
-            return " ".join(held) or None
+    rows = F.transform(F.split("content", "\n"), strip)
+    at = F.array_position(F.transform(rows, lambda x: F.contains(x, F.lit("("))), F.lit(True))
+    rest = F.slice(rows, F.greatest(at, F.lit(1)), F.greatest(F.size(rows), F.lit(1)))
+    last = F.array_position(F.transform(rest, lambda x: x.rlike(r"[);{]$")), F.lit(True))
+    signature = F.array_join(F.slice(rest, F.lit(1), F.when(last > 0, last).otherwise(F.greatest(F.size(rest), F.lit(1)))), " ")
+    return elements.withColumn("signature", F.when(at > 0, signature))
 
-        return s.map(run)
 
-    return elements.withColumn("signature", F.pandas_udf(one, "string")("content"))
+#: What a segment takes from its last element that has it, beside the return type.
+LAST = ("signature", "parameters", "error_codes", "keywords", "section_path")
 
 
 def segment_metadata(elements: DataFrame) -> DataFrame:
-    """Per segment: one element type or `mixed`, first name, last return type, whether it has code."""
+    """Per segment: one element type or `mixed`, first name, last return type, whether it has code.
+
+    Of the columns LAST that elements have, the last value that isn't null, too.
+    """
     kinds = F.collect_set("type")
     first = F.min_by("name", F.when(F.col("name").isNotNull(), F.col("pos")))
-    last = F.max_by("return_type", F.when(F.col("return_type").isNotNull(), F.col("pos")))
-    return elements.groupBy("doc_id", "segment").agg(F.when(F.size(kinds) == 1, F.element_at(kinds, 1)).otherwise("mixed").alias("element_type"), first.alias("name"), last.alias("return_type"), F.max(F.col("type") == "CODE_BLOCK").alias("has_code"))
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("pos"))).alias(c) for c in ("return_type", *LAST) if c in elements.columns]
+    return elements.groupBy("doc_id", "segment").agg(F.when(F.size(kinds) == 1, F.element_at(kinds, 1)).otherwise("mixed").alias("element_type"), first.alias("name"), *last, F.max(F.col("type") == "CODE_BLOCK").alias("has_code"))

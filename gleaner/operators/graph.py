@@ -219,6 +219,12 @@ def required_fields(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("warnings", F.array_join(w, ","))
 
 
+def required_fields_summary(chunks: DataFrame, *by: str) -> DataFrame:
+    """Of chunks with warnings: total, passed (without any) and the number of warnings, in all or by columns."""
+    n = F.when(F.col("warnings") == "", 0).otherwise(F.size(F.split("warnings", ",")))
+    return chunks.groupBy(*by).agg(F.count("*").alias("total"), F.count(F.when(n == 0, 1)).alias("passed"), F.sum(n).alias("n_warnings"))
+
+
 def suggest_queries(chunks: DataFrame, most: int = 10) -> DataFrame:
     """Questions that the first named chunks of each document answer."""
     rows = chunks.where("name is not null").select("doc_id", "idx", F.posexplode(F.array_compact(F.array(F.concat(F.lit("How do I use "), "name", F.lit("?")), F.when(F.col("interface").isNotNull(), F.concat(F.lit("What is "), "interface", F.lit("."), "name", F.lit("?")))))).alias("k", "question"))

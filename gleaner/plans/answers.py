@@ -57,7 +57,7 @@ def split_chat_prompt(spark, sf):
     return J.split_chat_prompt(p).select("query_id", "system", F.md5(F.col("user").cast("binary")).alias("user"))
 
 
-@query()
+@query(r"SELECT doc_id, CASE WHEN length(c) > 500 THEN left(c, 500) || '... [truncated]' ELSE c END AS text FROM (SELECT doc_id, regexp_replace(text, '[^\P{C}\n\t]', '', 'g') AS c FROM documents)")
 def sanitize_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", J.sanitize_text("text", 500).alias("text"))
 

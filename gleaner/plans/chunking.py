@@ -38,14 +38,25 @@ def chunk_stats(spark, sf):
     return C.chunk_stats(C.chunk_token_window(docs(spark, sf)))
 
 
+@query(f"WITH {LINES}, k AS (SELECT *, CASE pos % 4 WHEN 0 THEN 'function' WHEN 1 THEN 'enum' WHEN 2 THEN NULL ELSE 'record' END AS kind FROM ele), g AS (SELECT doc_id, coalesce(kind, 'mixed') AS kind, count(*) AS n, sum(length(content)) AS c, sum({WORDS.format('content')}) AS w FROM k GROUP BY 1, 2) SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_chunks, CAST(sum(c) AS BIGINT) AS n_chars, CAST(sum(w) AS BIGINT) AS n_words, string_agg(kind || '=' || n, ',' ORDER BY kind) AS kinds FROM g GROUP BY 1")
+def chunk_stats_by_type(spark, sf):
+    m = F.col("pos") % 4
+    kind = F.when(m == 0, "function").when(m == 1, "enum").when(m == 3, "record")
+    rows = C.chunk_stats(C.lines(docs(spark, sf)).withColumn("kind", kind), "kind")
+    return rows.withColumn("kinds", F.array_join(F.transform(F.map_entries("kinds"), lambda e: F.concat(e.key, F.lit("="), e.value.cast("string"))), ","))
+
+
 @query(f"WITH {LINES} SELECT doc_id, pos, content FROM ele")
 def document_elements(spark, sf):
     return C.lines(docs(spark, sf)).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query(f"WITH {LINES} SELECT doc_id, content, min(pos) AS chunk_index FROM ele GROUP BY doc_id, content")
+@query(f"WITH {LINES}, x AS (SELECT *, CASE WHEN pos % 3 <> 0 THEN pos * 0.5 END AS v FROM ele) SELECT doc_id, content, min(pos) AS chunk_index, arg_min(v, pos) FILTER (WHERE v IS NOT NULL)::DOUBLE AS first_value FROM x GROUP BY doc_id, content")
 def dedup_chunks_exact(spark, sf):
-    return C.dedup_chunks_exact(C.lines(docs(spark, sf)).select("doc_id", F.col("pos").cast("long").alias("chunk_index"), "content"))
+    """Every third line has no vector; the others' vectors name their line."""
+    i = F.col("pos").cast("long")
+    rows = C.lines(docs(spark, sf)).select("doc_id", i.alias("chunk_index"), "content", F.when(i % 3 != 0, F.array(i * F.lit(0.5))).alias("embedding"))
+    return C.dedup_chunks_exact(rows).select("doc_id", "content", "chunk_index", F.element_at("embedding", 1).alias("first_value"))
 
 
 HEADINGS = rf"""
@@ -78,11 +89,12 @@ def overlap_prefix(spark, sf):
     return C.overlap_prefix(C.chunk_token_window(docs(spark, sf))).withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
-@query(rf"""WITH {WINDOWS} SELECT w.doc_id, chunk_index, sha256(w.doc_id::VARCHAR || '|' || chunk_index::VARCHAR || '|' || content) AS chunk_id, regexp_extract('/data/' || source, '([^/]*)$', 1) AS basename FROM win w JOIN documents d ON w.doc_id = d.doc_id""")
+@query(rf"""WITH {WINDOWS} SELECT w.doc_id, chunk_index, sha256(w.doc_id::VARCHAR || '|' || chunk_index::VARCHAR || '|' || content) AS chunk_id, regexp_extract('/data/' || source, '([^/]*)$', 1) AS basename, CASE WHEN chunk_index % 2 = 0 THEN array_to_string(list_concat(['make', 'page'], list_filter(['get', 'set', 'create', 'delete', 'enum', 'record', 'interface', 'error'], lambda t: contains(lower(content), t))), ',') END AS keywords FROM win w JOIN documents d ON w.doc_id = d.doc_id""")
 def enrich_chunk_metadata(spark, sf):
     d = docs(spark, sf)
     chunks = C.chunk_token_window(d).join(d.select("doc_id", F.concat(F.lit("/data/"), "source").alias("source")).hint("merge"), "doc_id")
-    return C.enrich_chunk_metadata(chunks).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_id", "basename")
+    named = chunks.withColumn("name", F.when(F.col("chunk_index") % 2 == 0, "MakePage"))
+    return C.enrich_chunk_metadata(named).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_id", "basename", F.array_join("keywords", ",").alias("keywords"))
 
 
 #: Patterns of one's own beside the library's.

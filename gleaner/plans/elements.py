@@ -78,18 +78,24 @@ def error_members(spark, sf):
     return classified(spark, sf).where("kind = 'error_code'").select("pos", F.array_join(E.error_members("content"), ",").alias("members"))
 
 
-@query()
+@query(rf"""WITH {ELE}, {CLS}, n AS (SELECT pos, content, coalesce(CASE WHEN kind IN ('enum', 'error_code') THEN regexp_extract(content, 'enum\s+(E\w+)', 1) WHEN kind = 'record' THEN regexp_extract(content, '(?:record|struct)\s+(R?\w+)', 1) WHEN kind = 'method' THEN regexp_extract(content, '\b({T})\s+(\w+)\s*\(', 2) WHEN kind = 'property' THEN coalesce(nullif(regexp_extract(content, '\b(get_|set_)(\w+)', 2), ''), regexp_extract(content, '\b(\w+)\s*\{{\s*(get|set)', 1)) END, '') AS name FROM cls),
+k AS (SELECT pos, list_concat(list_transform(list_filter(regexp_extract_all(regexp_replace(name, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), lambda p: length(p) > 1), lambda p: lower(p)), list_filter([{", ".join(f"'{t}'" for t in E.TERMS)}], lambda t: contains(lower(content), t))) AS l FROM n)
+SELECT pos, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS keywords FROM k""")
 def name_keywords(spark, sf):
     return classified(spark, sf).select("pos", F.array_join(E.name_keywords(F.coalesce(E.code_element_name("content", F.col("kind")), F.lit("")), F.col("content")), ",").alias("keywords"))
 
 
-@query()
+@query(rf"""WITH {ELE}, {CLS}, bd AS (SELECT pos, list_filter(list_transform(regexp_extract_all(regexp_extract(content, '\(([^)]*)\)', 1), '(?:[^,<]|<[^>]*>)+'), lambda x: trim(x)), lambda x: x <> '') AS l FROM cls WHERE kind = 'method'),
+u AS (SELECT pos, unnest(range(0, len(l))) AS i, l FROM bd), p AS (SELECT pos, i, l[i + 1] AS p, trim(regexp_replace(l[i + 1], '\[[^\]]*\]', '', 'g')) AS q FROM u)
+SELECT pos, i, CASE WHEN contains(p, '[out]') THEN 'out' ELSE 'in' END AS direction, trim(regexp_replace(q, '\S+$', '')) AS type, regexp_extract(q, '(\S+)$', 1) AS name FROM p""")
 def signature_params(spark, sf):
     rows = classified(spark, sf).where("kind = 'method'").select("pos", F.posexplode(E.signature_params("content")).alias("i", "p"))
-    return rows.select("pos", "i", "p.direction", "p.type", "p.name")
+    return rows.select("pos", F.col("i").cast("long").alias("i"), "p.direction", "p.type", "p.name")
 
 
-@query()
+@query(rf"""WITH {ELE}, l AS (SELECT pos, list_transform(string_split(replace(content, ', ', ',' || chr(10)), chr(10)), lambda x: trim(x)) AS l FROM ele), a AS (SELECT pos, l, list_position(list_transform(l, lambda x: contains(x, '(')), TRUE) AS st FROM l),
+r AS (SELECT pos, st, list_slice(l, st, len(l)) AS r FROM a), e AS (SELECT pos, st, r, list_position(list_transform(r, lambda x: regexp_matches(x, '[);{{]$')), TRUE) AS e FROM r)
+SELECT pos, CASE WHEN st > 0 THEN array_to_string(list_slice(r, 1, CASE WHEN e > 0 THEN e ELSE len(r) END), ' ') END AS signature FROM e""")
 def reconstruct_signature(spark, sf):
     return E.reconstruct_signature(elements(spark, sf).withColumn("content", F.regexp_replace("content", ", ", ",\n"))).select("pos", "signature")
 
@@ -103,8 +109,8 @@ def param_descriptions(spark, sf):
 
 
 @query(rf"""WITH {ELE}, {CLS}, s AS (SELECT doc_id, pos // 500 AS segment, pos, type, nullif(CASE WHEN kind IN ('enum', 'error_code') THEN regexp_extract(content, 'enum\s+(E\w+)', 1) WHEN kind = 'record' THEN regexp_extract(content, '(?:record|struct)\s+(R?\w+)', 1) WHEN kind = 'method' THEN regexp_extract(content, '\b({T})\s+(\w+)\s*\(', 2) WHEN kind = 'property' THEN regexp_extract(content, '\b(get_|set_)(\w+)', 2) END, '') AS name,
-nullif(CASE WHEN kind = 'method' THEN regexp_extract(content, '\b({T})\s+\w+\s*\(', 1) END, '') AS rt FROM cls) SELECT doc_id, segment, CASE WHEN count(DISTINCT type) = 1 THEN min(type) ELSE 'mixed' END AS element_type, arg_min(name, pos) FILTER (WHERE name IS NOT NULL) AS name, arg_max(rt, pos) FILTER (WHERE rt IS NOT NULL) AS return_type, bool_or(type = 'CODE_BLOCK') AS has_code FROM s GROUP BY 1, 2""")
+nullif(CASE WHEN kind = 'method' THEN regexp_extract(content, '\b({T})\s+\w+\s*\(', 1) END, '') AS rt, CASE WHEN kind = 'method' THEN content END AS sg, CASE WHEN pos % 3 = 0 THEN 'Part/' || pos END AS sp FROM cls) SELECT doc_id, segment, arg_max(sg, pos) FILTER (WHERE sg IS NOT NULL) AS signature, arg_max(sp, pos) FILTER (WHERE sp IS NOT NULL) AS section_path, CASE WHEN count(DISTINCT type) = 1 THEN min(type) ELSE 'mixed' END AS element_type, arg_min(name, pos) FILTER (WHERE name IS NOT NULL) AS name, arg_max(rt, pos) FILTER (WHERE rt IS NOT NULL) AS return_type, bool_or(type = 'CODE_BLOCK') AS has_code FROM s GROUP BY 1, 2""")
 def segment_metadata(spark, sf):
     k = F.col("kind")
-    rows = classified(spark, sf).withColumns({"segment": F.floor(F.col("pos") / 500), "name": E.code_element_name("content", k), "return_type": F.when(k == "method", E.code_return_type("content", k))})
+    rows = classified(spark, sf).withColumns({"segment": F.floor(F.col("pos") / 500), "name": E.code_element_name("content", k), "return_type": F.when(k == "method", E.code_return_type("content", k)), "signature": F.when(k == "method", F.col("content")), "section_path": F.when(F.col("pos") % 3 == 0, F.concat(F.lit("Part/"), F.col("pos").cast("string")))})
     return E.segment_metadata(rows)

@@ -219,6 +219,11 @@ def validate_required_fields(spark, sf):
     return G.required_fields(meta(spark, sf)).select("doc_id", "idx", "warnings")
 
 
+@query(f"WITH {META}, w AS (SELECT doc_id, (kind <> 'mixed' AND interface IS NULL)::INT + (kind <> 'mixed' AND name IS NULL)::INT + (kind = 'function' AND NOT contains(lower(content), 'return'))::INT AS n FROM (SELECT * REPLACE (coalesce(kind, 'mixed') AS kind) FROM mta)) SELECT doc_id, count(*) AS total, count(*) FILTER (WHERE n = 0) AS passed, CAST(sum(n) AS BIGINT) AS n_warnings FROM w GROUP BY 1")
+def validation_summary(spark, sf):
+    return G.required_fields_summary(G.required_fields(meta(spark, sf)), "doc_id")
+
+
 @query(f"""WITH {META}, q AS (SELECT doc_id, idx, 0 AS k, 'How do I use ' || name || '?' AS question FROM mta WHERE name IS NOT NULL UNION ALL SELECT doc_id, idx, 1, 'What is ' || interface || '.' || name || '?' FROM mta WHERE name IS NOT NULL AND interface IS NOT NULL)
 SELECT doc_id, n AS place, question FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx, k) AS n FROM q) WHERE n <= 10""")
 def suggest_queries(spark, sf):

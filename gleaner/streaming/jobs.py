@@ -1,6 +1,6 @@
 """Structured Streaming jobs, each with a batch twin where one exists.
 
-Every job runs with availableNow over what has arrived, keeps its progress in the shared folder, and
+Every job runs with availableNow over what has arrived, keeps its progress beside its output, and
 hands bad rows on with an error instead of failing.
 """
 
@@ -11,18 +11,18 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.session import scratch_path
+from gleaner.session import materialise
+from gleaner.sources.specs import load_index, persist_index
 
-BUCKETS = 16
 
-
-def run(stream: DataFrame, write: Callable[[DataFrame, int], None], name: str, mode: str = "append") -> None:
-    """Process all that has arrived, batch by batch, then stop."""
-    spark = stream.sparkSession
-    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", scratch_path(spark, f"{name}-progress")).trigger(availableNow=True).start()
+def run(stream: DataFrame, write: Callable[[DataFrame, int], None], out: str, mode: str = "append") -> None:
+    """Process all that has arrived, batch by batch, then stop. What was done is kept beside out, so a second call over the same source goes on from there."""
+    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).start()
     q.awaitTermination()
 
 
@@ -34,26 +34,60 @@ def files_as_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def ingest(documents: DataFrame, chunker: Callable[[DataFrame], DataFrame], out: str) -> None:
-    """Chunk arriving documents and put them into buckets; a bucket's rows of the same documents are replaced.
+def ingest(documents: DataFrame, chunker: Callable[[DataFrame], DataFrame], out: str, embed: Callable[[DataFrame], DataFrame] | None = None, attempts: int = 3) -> None:
+    """Chunk and embed arriving documents into a table by document; one that arrives again replaces what stood for it.
 
-    Each micro-batch writes below its own batch id, so a batch that is run again replaces itself.
+    embed adds a column embedding to chunks. A batch is tried up to `attempts` times; if it fails each
+    time, its documents stand with status failed and the error, and the stream goes on. A document
+    without text stands as failed, too; rows without an id, which can't be replaced, go to a folder
+    of their own. A batch that is run again replaces itself.
     """
+    add = embed or (lambda chunks: chunks.withColumn("embedding", F.lit(None).cast("array<double>")))
+    result = ("doc_id", "chunk_index", "content", "embedding", "status", "error")
+
+    def failed(rows: DataFrame, error: str) -> DataFrame:
+        empty = [F.lit(None).cast(t).alias(c) for c, t in (("chunk_index", "int"), ("content", "string"), ("embedding", "array<double>"))]
+        return rows.select("doc_id", *empty, F.lit("failed").alias("status"), F.lit(error).alias("error")).distinct()
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        good = batch.where("doc_id is not null and text is not null")
-        chunks = chunker(good).withColumn("status", F.lit("completed")).withColumn("error", F.lit(None).cast("string"))
-        bad = batch.where("doc_id is null or text is null").select("doc_id", F.lit(None).cast("int").alias("chunk_index"), F.lit(None).cast("string").alias("content"), F.lit("failed").alias("status"), F.lit("no text").alias("error"))
-        rows = chunks.unionByName(bad).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int"))
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/batch={batch_id}")
+        batch.where("doc_id is null").write.mode("overwrite").parquet(f"{out}/rejected/batch={batch_id}")
+        known = batch.where("doc_id is not null")
+        chunks = add(chunker(known.where("text is not null"))).withColumns({"chunk_index": F.col("chunk_index").cast("int"), "embedding": F.col("embedding").cast("array<double>"), "status": F.lit("completed"), "error": F.lit(None).cast("string")})
+        rows = chunks.select(*result).unionByName(failed(known.where("text is null"), "no text"))
+        ids = known.select("doc_id").distinct()
+        for attempt in range(attempts):
+            try:
+                persist_index(rows, f"{out}/chunks", "doc_id", ids)
+                return
+            except (PySparkException, Py4JJavaError) as e:
+                error = str(e).partition("\n")[0][:500]
+        persist_index(failed(known, error), f"{out}/chunks", "doc_id", ids)
+
+    run(documents, write, out)
 
-    run(documents, write, "ingest")
 
+def ingested(spark: SparkSession, out: str) -> DataFrame:
+    """doc_id, chunk_index, content, embedding, status, error of all documents that have arrived."""
+    return load_index(spark, f"{out}/chunks", key="doc_id")
 
-def progress(events: DataFrame, out: str) -> None:
-    """The latest event of each user, kept up to date: user_id, ts, event_type."""
+
+def progress(events: DataFrame, out: str, current: DataFrame | None = None) -> None:
+    """The latest event of each user, kept up to date: user_id, ts, event_type.
+
+    With current (user_id, config_id), events of another configuration than the user's current one are
+    ignored. Each batch writes a table of its own, so a reader never meets a half-written one.
+    """
+    if current is not None:
+        events = events.join(current.select("user_id", "config_id").hint("merge"), ["user_id", "config_id"], "left_semi")
     latest = events.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("m")).select("user_id", "m.ts", "m.event_type")
-    run(latest, lambda batch, _: batch.write.mode("overwrite").parquet(out), "progress", mode="complete")
+    run(latest, lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"), out, mode="complete")
+
+
+def latest(spark: SparkSession, out: str) -> DataFrame:
+    """The newest of the tables that a job wrote batch by batch."""
+    rows = spark.read.parquet(out)
+    newest = rows.agg(F.max("batch").alias("batch"))
+    return rows.join(F.broadcast(newest), "batch", "left_semi").drop("batch")
 
 
 def _admit(limit: int, seconds: int, stamps: list[float], log: deque) -> list[bool]:
@@ -81,7 +115,7 @@ def rate_limit_stream(events: DataFrame, out: str, limit: int = 30, seconds: int
 
     timed = events.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").cast("double").alias("t"))
     admitted = timed.groupBy("user_id", "event_type").applyInPandasWithState(step, "event_id long, accepted boolean", "log array<double>", "append", "NoTimeout")
-    run(admitted, lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"), "rate-limit")
+    run(admitted, lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"), out)
 
 
 def _folded(events: DataFrame, keys: list[str], fold: Callable[[], Callable[[dict], dict]], schema: str) -> DataFrame:
@@ -147,7 +181,7 @@ def cache_replay_stream(log: DataFrame, out: str, ttl: float) -> None:
 
     timed = log.select("event_id", "key", F.col("ts").cast("timestamp").cast("double").alias("t"))
     replayed = timed.groupBy("key").applyInPandasWithState(step, "event_id long, hit boolean", "until double", "append", "NoTimeout")
-    run(replayed, lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"), "cache-replay")
+    run(replayed, lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"), out)
 
 
 def expire_tasks(tasks: DataFrame, hours: int = 1, per_user: int = 50, most: int = 1000) -> DataFrame:
@@ -156,3 +190,27 @@ def expire_tasks(tasks: DataFrame, hours: int = 1, per_user: int = 50, most: int
     live = tasks.join(F.broadcast(newest), how="cross").where(F.col("ts") >= F.col("_now") - F.expr(f"INTERVAL {hours} HOURS"))
     n = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), "event_id"))
     return live.withColumn("_n", n).where(F.col("_n") <= per_user).orderBy(F.desc("ts"), "event_id").limit(most).drop("_n", "_now")
+
+
+def expire_tasks_stream(tasks: DataFrame, out: str, hours: int = 1, per_user: int = 50, most: int = 1000) -> None:
+    """expire_tasks kept up to date; each batch writes the tasks that live after it.
+
+    What a batch leaves and what arrives next are all that the next one needs: a task over a cap has
+    enough newer ones before it for good, as only newer ones take their place. A task that arrives twice
+    within the hours counts once.
+    """
+    spark = tasks.sparkSession
+    once = tasks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", f"{hours} hours").dropDuplicatesWithinWatermark(["event_id"])
+
+    def write(batch: DataFrame, n: int) -> None:
+        try:  # a batch that is run again must not read its own output
+            rows = spark.read.parquet(out)
+            before = rows.where(F.col("batch") < n)
+            before = before.join(F.broadcast(before.agg(F.max("batch").alias("batch"))), "batch", "left_semi").drop("batch")
+            batch = batch.unionByName(before)
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+        materialise(expire_tasks(batch, hours, per_user, most), "tasks").write.mode("overwrite").parquet(f"{out}/batch={n}")
+
+    run(once, write, out)

@@ -1,5 +1,6 @@
 """Hand-computed cases of operators whose meaning SQL over the test tables does not show."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from gleaner.operators import answers as J
@@ -9,6 +10,7 @@ from gleaner.operators import graph as GR
 from gleaner.operators import lexical as H
 from gleaner.operators import manuals as M
 from gleaner.operators import vectors as G
+from gleaner.session import scratch_path
 from gleaner.streaming import jobs
 
 
@@ -131,3 +133,91 @@ def test_index_keeps_other_documents(spark):
     specs.persist_index(spark.createDataFrame([(7, "b"), (7, "c"), (200, "b")], "chunk_id long, term string"), path)
     rows = specs.load_index(spark, path).collect()
     assert len(rows) == 102 and {r.term for r in rows if r.chunk_id == 7} == {"b", "c"} and {r.chunk_id for r in rows} == {*range(100), 200}
+
+
+def test_yaml_specs_and_other_rows(spark):
+    pytest.importorskip("yaml")
+    from gleaner.sources import specs
+
+    text = """openapi: 3.0.0
+paths:
+  /a:
+    get:
+      operationId: one
+      parameters: [{name: x}]
+      responses: {200: {description: ok}}
+    x-note: {}
+"""
+    rows = spark.createDataFrame([(1, text), (2, '{"swagger": "2.0", "paths": {"/b": {"put": {}}}}'), (3, "a: [b"), (4, "{}"), (5, None), (6, "")], "spec_id long, spec string")
+    got = {r.spec_id: r for r in specs.openapi_endpoints(rows).collect()}
+    assert set(got) == {1, 2}
+    assert (got[1].operation_id, got[1].parameters, got[1].responses, got[1].request_body) == ("one", ['{"name":"x"}'], ["200"], None)
+    assert (got[2].operation_id, got[2].parameters, got[2].responses) == ("put_/b", [], [])
+
+
+def test_missing_sources(spark):
+    from gleaner.sources import specs
+
+    sets = spark.createDataFrame([(1, '{"version": "1", "questions": [{"id": "q", "document": "d", "expected_sources": ["in it", "not"]}, {"id": "r", "document": "other", "expected_sources": ["x"]}]}')], "set_id long, json string")
+    docs = spark.createDataFrame([("d", "this is in it")], "document string, content string")
+    assert {r.question_id: r.missing_sources for r in specs.load_eval_dataset(sets, docs).collect()} == {"q": ["not"], "r": []}
+
+
+DOC = "doc_id long, text string"
+
+
+def test_ingest_replaces_and_keeps_failures(spark):
+    out, path = scratch_path(spark, "ingest"), scratch_path(spark, "in")
+    long = "word " * 30
+    for rows in ([(1, long), (2, long), (3, None), (None, long)], [(1, "other " * 30), (3, long)]):
+        spark.createDataFrame(rows, DOC).write.mode("append").parquet(path)
+        jobs.ingest(spark.readStream.schema(DOC).parquet(path), C.chunk_token_window, out)
+    got = {r.doc_id: r for r in jobs.ingested(spark, out).collect()}
+    assert jobs.ingested(spark, out).count() == 3 and got[1].content.startswith("other") and got[2].content.startswith("word")
+    assert {r.status for r in got.values()} == {"completed"}  # document 3 has come again with a text
+    assert [r.text for r in spark.read.parquet(f"{out}/rejected").collect()] == [long]
+
+
+def test_ingest_tries_a_batch_three_times(spark):
+    out, path = scratch_path(spark, "ingest"), scratch_path(spark, "in")
+    spark.createDataFrame([(1, "word " * 30)], DOC).write.parquet(path)
+
+    def chunker(docs, broken):
+        return C.chunk_token_window(docs).withColumn("content", F.when(F.lit(broken), F.raise_error(F.lit("broken"))).otherwise(F.col("content")))
+
+    jobs.ingest(spark.readStream.schema(DOC).parquet(path), lambda d: chunker(d, True), out)
+    (row,) = jobs.ingested(spark, out).collect()
+    assert (row.doc_id, row.status, row.content) == (1, "failed", None) and row.error
+
+
+def test_tasks_live_on_over_batches(spark):
+    out, path = scratch_path(spark, "tasks"), scratch_path(spark, "in")
+    schema = "event_id long, user_id long, ts timestamp"
+    rows = [(i, i % 3, 60.0 * i) for i in range(200)]
+    parts = []
+    for part in (rows[:90], rows[90:150], rows[150:]):
+        df = spark.createDataFrame(part, "event_id long, user_id long, s double").select("event_id", "user_id", F.col("s").cast("timestamp").alias("ts"))
+        df.write.mode("append").parquet(path)
+        parts.append(df)
+        jobs.expire_tasks_stream(spark.readStream.schema(schema).parquet(path), out, hours=2, per_user=30, most=70)
+        whole = parts[0]
+        for more in parts[1:]:
+            whole = whole.unionByName(more)
+        want = {r.event_id for r in jobs.expire_tasks(whole, hours=2, per_user=30, most=70).collect()}
+        assert {r.event_id for r in jobs.latest(spark, out).collect()} == want and len(want) == 70
+
+
+def test_dedup_prefers_a_vector(spark):
+    rows = spark.createDataFrame([(1, 0, "a", None), (1, 1, "a", [2.0]), (1, 2, "a", [3.0]), (1, 3, "b", None)], "doc_id long, chunk_index long, content string, embedding array<double>")
+    assert {(r.content, r.chunk_index, tuple(r.embedding or ())) for r in C.dedup_chunks_exact(rows).collect()} == {("a", 0, (2.0,)), ("b", 3, ())}
+
+
+def test_documents_without_vectors(spark):
+    from gleaner.sources import specs
+
+    path = scratch_path(spark, "documents")
+    nodes = spark.range(3).selectExpr("id AS doc_id", "0L AS chunk_id", "'t' AS content")
+    terms = nodes.selectExpr("doc_id", "chunk_id", "'t' AS term", "1L AS tf")
+    specs.persist_documents(path, nodes, terms, nodes.selectExpr("doc_id", "chunk_id", "array(1D) AS embedding").where("false"))
+    found, posted = specs.load_documents(spark, path)
+    assert [r.embedding for r in found.collect()] == [None] * 3 and posted.count() == 3
