@@ -430,7 +430,9 @@ def test_link_groups_match_all_pairs():
     assert n > 4 and np.array_equal(truth, labels)
 
 
-def test_components_of_chains(spark):
+@pytest.mark.parametrize("tail", [0, 64, 1 << 14])  # by rounds alone, by both, in one task
+def test_components_of_chains(spark, monkeypatch, tail):
+    monkeypatch.setattr("gleaner.llm.components.TAIL", tail)
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1001), (5000, 1001), (7, 7)]
     got = {}
     for r in components(spark.createDataFrame(edges, "a long, b long")).collect():
