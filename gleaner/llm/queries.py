@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import chunkprint, hardnegatives, hilbert, langid, maintext, packing, piecebpe, prefixtrie, simhash, tokenfiles, toxicity, warc, wordbpe
+from gleaner.llm import chunkprint, hardnegatives, hilbert, langid, maintext, packing, pii, piecebpe, prefixtrie, simhash, tokenfiles, toxicity, warc, wordbpe
 from gleaner.session import scratch_path, table
 
 
@@ -77,8 +77,13 @@ def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.nodes(table(spark, sf_dir, "conversations"))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_packing, op3_toxicity, op4_maintext, op5_fingerprint, op6_simhash, op7_langid, op8_neighbours, op9_tokens, op10_pieces, op11_negatives, op12_trie)}
+    return {f.__name__: f for f in (op1_warc, op2_packing, op3_toxicity, op4_maintext, op5_fingerprint, op6_simhash, op7_langid, op8_neighbours, op9_tokens, op10_pieces, op11_negatives, op12_trie, op13_pii)}
 
 
 #: The same questions in DuckDB SQL, where it can ask them; tests/llm holds the others to brute-force versions.
