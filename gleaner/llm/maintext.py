@@ -6,10 +6,14 @@ is unlinked text over tags; lines in menus, forms, notices and the like have rat
 smoothed by a Gaussian over neighbouring lines, and lines above a threshold (a share of the standard
 deviation) cluster into content regions. The regions choose the container: an article or main
 element that holds one, else the deepest element that holds all their dense lines, or one
-around it that has region text of its own beside them. A class or id that
-names a menu, notice or the like drops its element, unless that holds most of the page's text (comments
-and related pages excepted) or nothing else is left. All lines of that container outside menus, forms, notices, adverts and comments are the main text, so that a
-short paragraph between long ones is kept.
+around it that has region text of its own beside them. All lines of that container outside menus, forms,
+notices, adverts and comments are the main text, so that a short paragraph between long ones is kept.
+
+What is no main text is told by tags, roles, hiding attributes and the words of class and id, and by place,
+never by size. Outside an article any marking word drops its element; inside one each word of the
+class or id has to be a mark or a word for a part of a page (`share-buttons`, but not `share-prices`). An element
+around all articles of the page isn't marked by its class, comments and related pages excepted. Inline elements
+are dropped alike. Of an article's own header its headings stay. Where nothing is left, the text is empty.
 
 Edge cases: a null or empty page, and one without unlinked text, has the empty text; text outside
 any markup is one block; rows with a null id, a null url and repeated rows pass through; an empty
@@ -40,9 +44,14 @@ MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer form gdpr legal login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promos promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored sponsors subscribe subscription tags toolbar topbar widget widgets".split()
 )
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-#: Marks that count however much text their element holds, and words that undo the marks after them.
+#: Marks that count around articles too, words that undo the marks after them, and words for parts of a page.
 ALWAYS = frozenset("comment comments disqus recommended related replies reply respond".split())
 UNDONE = frozenset("has no with without".split())
+PARTS = frozenset("area article bar block bottom box btn button buttons container content entry footer form header icon icons inline inner item items left link links list main module outer page panel post right row section slot small text title top unit wrap wrapper".split())
+#: Inline elements of forms, whose text is never main text, and inline elements without an end.
+CONTROLS = frozenset("datalist label meter option output progress".split())
+EMPTY = frozenset("area base br col embed img input link meta param source track wbr".split())
+_HIDING = re.compile(r"(?i)(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!\s*important\s*)?(?:;|$)")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 #: Conditional sections, which the parser can't read.
@@ -60,12 +69,12 @@ class Box:
 
     tag: str
     parent: Box | None
-    dropped: bool
+    dropped: bool  # by tag or attribute, or in such an element
     article: Box | None = None
-    fixed: bool = False
-    mark: int = -1
+    marks: frozenset[str] = frozenset()
+    heads: bool = False  # an article's own header, of which headings stay
+    articles: int = 0  # articles and main elements in it and below, outside dropped and always marked ones
     depth: int = 0
-    size: int = 0
     dense: int = 0
     inside: bool = False
 
@@ -76,43 +85,50 @@ class Line:
     text: list[str] = field(default_factory=list)
     tags: int = 1
     linked: int = 0
+    heading: bool = False
 
 
-def named(attrs: list[tuple[str, str | None]]) -> set[str]:
-    """Words of class and id that mark what is no main text."""
+def named(attrs: list[tuple[str, str | None]], whole: bool) -> set[str]:
+    """Words of class and id that mark what is no main text; whole: only of names that consist of marks and words for parts."""
     found = set()
     for token in (t for name, value in attrs if name in ("class", "id") and value for t in value.split()):
+        marks, rest = set(), False
         for word in (w.lower() for w in _WORDS.findall(token)):
             if word in UNDONE:
                 break
             if word in MARKS:
-                found.add(word)
+                marks.add(word)
+            else:
+                rest |= word not in PARTS
+        if not (whole and rest):
+            found |= marks
     return found
 
 
 def unseen(attrs: list[tuple[str, str | None]]) -> bool:
-    """Whether role, aria or hidden attributes say that this is no main text."""
+    """Whether role, style, aria or hidden attributes say that this is no main text."""
     for name, value in attrs:
         if name == "role" and value and value.strip().lower() in ROLES:
             return True
         if name == "aria-hidden" and value and value.strip().lower() == "true":
             return True
+        if name == "style" and value and _HIDING.search(value):
+            return True
     return any(name == "hidden" for name, _ in attrs)
 
 
 class Lines(HTMLParser):
     """Collects a page's lines from parser events."""
 
-    def __init__(self, ignored: frozenset[int] | None = frozenset()) -> None:
-        """ignored: numbers of the marks that don't count; None: none counts."""
+    def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.ignored = ignored
-        self.marks: list[set[str]] = []
         self.root = self.box = Box("", None, False)
         self.boxes = [self.root]  # a box comes after the one around it
         self.open: Counter[str] = Counter()
         self.lines = [Line(self.root)]
         self.link = 0
+        self.heading = ""
+        self.muted: list[str] = []  # a dropped inline element and those of its kind in it
 
     def _leave(self) -> None:
         self.open[self.box.tag] -= 1
@@ -124,32 +140,37 @@ class Lines(HTMLParser):
             self.lines.append(Line(self.box))
         else:
             last.box, last.tags = self.box, last.tags + 1
+        self.lines[-1].heading = bool(self.heading)
+        self.muted.clear()  # no inline element goes on beyond a block
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         block = tag in BLOCKS or tag in CONTAINERS
         while block and self.box.parent is not None and (self.box.tag == "p" or tag in ALONE and self.box.tag in ALONE[tag]):
             self._leave()  # a marked element whose end tag is left out
-        words = set() if not block or tag in HEADINGS else named(attrs)
-        if tag in CONTAINERS or block and tag not in VOID and tag not in HEADINGS and (words or unseen(attrs)):
-            inside = self.box.article
+        inside = self.box.article
+        words = set() if tag in HEADINGS or tag in EMPTY else named(attrs, inside is not None or not block)
+        if tag in CONTAINERS or block and tag not in VOID and (words or unseen(attrs)):
             plain = tag in ("html", "body", "main") or (tag == "article" and inside is None)
-            fixed = self.box.fixed or tag in DROPPED or (tag == "header" and inside is None) or (not plain and unseen(attrs))
-            box = Box(tag, self.box, self.box.dropped or fixed, inside, fixed, depth=self.box.depth + 1)
+            heads = tag == "header" and inside is not None
+            dropped = self.box.dropped or tag in DROPPED or (tag == "header" and not heads) or (not plain and unseen(attrs))
+            if plain:
+                words = ALWAYS & named(attrs, True) if tag == "article" else set()
+            box = Box(tag, self.box, dropped, inside, frozenset(words), heads or self.box.heads, depth=self.box.depth + 1)
             self.boxes.append(box)
             self.open[tag] += 1
-            if not plain and words:
-                box.mark = len(self.marks)
-                self.marks.append(words)
-                box.dropped |= self.ignored is not None and box.mark not in self.ignored
-            dropped = box.dropped
             # the outermost article counts, or a main element without one
             if not dropped and (tag == "article" and (inside is None or inside.tag == "main") or tag == "main" and inside is None):
                 box.article = box
             self.box, self.link = box, 0
+        if tag in HEADINGS:
+            self.heading = tag
+        if not block and tag not in EMPTY and (self.muted or words or tag in CONTROLS or unseen(attrs)):
+            if not self.muted or self.muted[0] == tag:
+                self.muted.append(tag)
         if tag in BLOCKS or tag in CONTAINERS:
             self._new()
             if tag == "title":
-                self.lines[-1].box = Box("title", self.box, True, fixed=True)
+                self.lines[-1].box = Box("title", self.box, True)
         else:
             self.lines[-1].tags += 1
             if tag == "br":
@@ -163,6 +184,10 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
+        if tag == self.heading:
+            self.heading = ""
+        if self.muted and self.muted[0] == tag:
+            self.muted.pop()
         if tag in CONTAINERS or tag in BLOCKS and self.box.tag == tag:
             if self.open[tag]:  # an end tag without its start is ignored
                 while self.box.tag != tag:
@@ -177,7 +202,7 @@ class Lines(HTMLParser):
                 self.link = 0
 
     def handle_data(self, data: str) -> None:
-        if self.cdata_elem in ("script", "style"):
+        if self.muted or self.cdata_elem in ("script", "style"):
             return
         line = self.lines[-1]
         line.text.append(data)
@@ -196,40 +221,29 @@ def extract(html: str | None) -> str:
     """The main text of one page."""
     if not html:
         return ""
-    html = _SECTION.sub("", html)
-    parser = _parsed(html)
-    if parser.marks:
-        if ignored := _outweighed(parser):
-            parser = _parsed(html, ignored)
-        if text := _select(parser):
-            return text
-        parser = _parsed(html, None)
-    return _select(parser)
-
-
-def _parsed(html: str, ignored: frozenset[int] | None = frozenset()) -> Lines:
-    parser = Lines(ignored)
-    parser.feed(html)
+    parser = Lines()
+    parser.feed(_SECTION.sub("", html))
     parser.close()
-    return parser
+    return _select(parser)
 
 
-def _outweighed(parser: Lines) -> frozenset[int]:
-    """Marks of elements that hold more than half of the page's unlinked text."""
-    for line in parser.lines:
-        if not line.box.fixed:
-            line.box.size += max(0, len(_SPACE.sub(" ", "".join(line.text)).strip()) - line.linked)
+def _judge(parser: Lines) -> None:
+    """Drop what marks say, and all in it: boxes come after those around them."""
     for box in reversed(parser.boxes[1:]):
-        box.parent.size += box.size
-    total = parser.root.size
-    return frozenset(b.mark for b in parser.boxes if b.mark >= 0 and 2 * b.size > total and not parser.marks[b.mark] & ALWAYS)
+        box.articles += box.article is box
+        if not box.marks & ALWAYS and not box.dropped:
+            box.parent.articles += box.articles
+    for box in parser.boxes[1:]:
+        around = box.articles and box.articles == parser.root.articles and box.article is not box and not box.marks & ALWAYS
+        box.dropped |= box.parent.dropped or bool(box.marks) and not around
 
 
 def _select(parser: Lines) -> str:
+    _judge(parser)
     rows = []
     for line in parser.lines:
         text = _SPACE.sub(" ", "".join(line.text)).strip()
-        if text and not line.box.dropped:
+        if text and not line.box.dropped and (line.heading or not line.box.heads):
             rows.append((line, text))
         elif text:
             rows.append((line, ""))

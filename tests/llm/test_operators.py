@@ -581,15 +581,67 @@ def test_maintext_keeps_the_whole_article():
     assert "second" in got
     for name in ("layout has-sidebar", "no-ads", "with-menu page", "banner"):
         assert "long sentence" in maintext.extract(f"<body>{nav}<div class='{name}'><article><p>{long}</p></article></div></body>"), name
-    assert "long sentence" in maintext.extract(f"<body><div class='comments'><p>{long}</p></div></body>")  # nothing else is left
+    for name in ("comments", "menu", "sidebar", "cookie-banner"):
+        assert maintext.extract(f"<body><div class='{name}'><p>{long}</p></div></body>") == "", name  # nothing else is left
     got = maintext.extract(f"<body><article><p>{long}</p><p class='cookie-notice'>{mid}biscuit<p>{mid}end</p><ul><li class=promo>{mid}buy<li>{mid}item</ul></article><div class=comments><p>{long * 9}remark</p></div></body>")
     assert "end" in got and "item" in got and not any(w in got for w in ("biscuit", "buy", "remark"))
 
 
+ARTICLE = ["The harbour at dawn", "Boats came in one after another, and the market filled with voices, crates and the smell of fish.", "By noon it was quiet.", "Only the oldest of the sellers stayed on, mending nets in the shade of the customs house until evening."]
+
+
+def page(*inside, around="<article>{}</article>", before="", after=""):
+    """A page whose main text is ARTICLE; further elements stand before its last paragraph."""
+    h, *ps, last = ARTICLE
+    own = f"<h1>{h}</h1>" + "".join(f"<p>{p}</p>" for p in ps) + "".join(inside) + f"<p>{last}</p>"
+    return f"<html><body><nav><a href=/>Home</a> <a href=/b>Shop</a></nav>{before}{around.format(own)}{after}<footer>All rights kept</footer></body></html>"
+
+
+LONG = "A long run of words that is no part of the story at all, though it reads like plain prose. " * 20
+DROPPED_PAGES = {
+    "long sidebar": page(after=f"<div class=sidebar><p>{LONG}</p></div>"),
+    "long sidebar in main": page(around="<main>{}</main>", after=f"<div class=sidebar><p>{LONG}</p></div>"),
+    "long sidebar inside": page(f"<div class=sidebar><p>{LONG}</p></div>"),
+    "cookie banner": page(before=f"<div class=cookie-banner><p>{LONG}</p></div>"),
+    "cookie banner, no article": page(around="<div id=c>{}</div>", before=f"<div class=cookie-banner><p>{LONG}</p></div>"),
+    "comments": page(after=f"<section id=comments><p>{LONG}</p></section>"),
+    "comment articles": page(after=f"<article class=comment><p>{LONG}</p></article>" * 3),
+    "related": page(after=f"<div class='related'><article><p>{LONG}</p></article></div>"),
+    "share buttons": page("<div class='share-buttons'><p>Tell your friends about this page</p></div>"),
+    "newsletter": page("<div class='newsletter-signup'><p>Get a letter each week</p></div>"),
+    "inline advert": page("<p><span class=ad>Buy a boat today</span></p>"),
+    "hidden block": page(f"<div style='color:red; display:none'><p>{LONG}</p></div>"),
+    "hidden inline": page("<p><span style='visibility: hidden'>not seen</span></p>"),
+    "hidden heading": page("<h2 hidden>not seen</h2>"),
+    "label": page("<label for=x>Your name</label>"),
+    "option": page("<p><output>12</output></p>"),
+    "form": page(f"<form><p>{LONG}</p><input></form>"),
+    "by-line": page(around="<article><header><p>By A. Writer</p></header>{}</article>"),
+    "footer": page(around="<article>{}<footer><p>Filed under sea</p></footer></article>"),
+    "wrapped": page(around="<div class='search-page'><div id='sidebar-layout'><article>{}</article></div></div>"),
+    "aside": page(f"<aside><p>{LONG}</p></aside>"),
+    "script": page("<script>var p = '<p>no</p>'</script><style>p{}</style><template><p>no</p></template>"),
+}
+
+
+@pytest.mark.parametrize("name", DROPPED_PAGES)
+def test_maintext_known_pages(name):
+    assert maintext.extract(DROPPED_PAGES[name]) == "\n\n".join(ARTICLE)
+
+
+@pytest.mark.parametrize("share", [1, 40])
+@pytest.mark.parametrize("opening", ["section class=legal-analysis", "div class='binary-search'", "div id=share-prices", "section id=related-work", "div class='has-sidebar'", "div class='no-comments'", "p class='tags-of-history'"])
+def test_maintext_keeps_sections_of_any_size(opening, share):
+    """A name with a marking word among others is no mark inside an article, however much text it holds."""
+    text = " ".join(["Prices rose in every port of the coast that year."] * share)
+    got = maintext.extract(page(f"<{opening}>{text}</{opening.split()[0]}>"))
+    assert got.split("\n\n") == [*ARTICLE[:-1], text, ARTICLE[-1]]
+
+
 def test_maintext_deep_nesting():
     text = "Many words of one long paragraph that stands inside. " * 5
-    for page in ("<div>" * 100_000 + f"<p>{text}</p>" + "</div>" * 100_000, "<div class=ad>" * 20_000 + f"<p>{text}</p>" + "</ul>" * 20_000):
-        assert maintext.extract(page) == text.strip()
+    for page, kept in (("<div>" * 100_000 + f"<p>{text}</p>" + "</div>" * 100_000, True), ("<div class=has-ad>" * 20_000 + f"<p>{text}</p>" + "</ul>" * 20_000, True), ("<div class=ad>" * 20_000 + f"<p>{text}</p>" + "</ul>" * 20_000, False)):
+        assert maintext.extract(page) == (text.strip() if kept else "")
 
 
 def test_neighbours_of_an_id_with_two_vectors(spark):
