@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Rows of a leaf, nodes below a node.
-LEAF, FAN = 64, 16
+LEAF, FAN = 256, 16
 EXACT = float(1 << 53)
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
