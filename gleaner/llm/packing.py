@@ -1,7 +1,8 @@
 """Sequence packing by minimum bin slack.
 
 Documents are encoded where they are read and packed in windows of bounded size, so nothing is
-shuffled. A document longer than a sequence first fills whole sequences; what remains of all
+shuffled. Rows are sorted first, so that a task that is run again packs them alike whatever order a shuffle
+brings them in. A document longer than a sequence first fills whole sequences; what remains of all
 documents of the window is a multiset of lengths. Each further sequence takes the longest remaining
 piece and then the multiset that comes closest to the space left: reachable sums are the bits of one
 integer, each length is added as often as it occurs by binary multiples, and the chosen counts are
@@ -10,7 +11,7 @@ piece. The last piece of a window, too short for a sequence, is cut into lengths
 two, which need no padding.
 
 Edge cases: a null or empty text is its end id alone; rows with a null id are packed like any other;
-ties take the longer length first, then the order of rows; repeated rows are packed each; an empty
+ties take the longer length first, then the smaller id (nulls first); repeated rows are packed each; an empty
 table gives no pieces; other columns are ignored.
 """
 
@@ -145,4 +146,5 @@ def pack_documents(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str
         if keys:
             yield _window(keys, ids, first, capacity)[0]
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.sortWithinPartitions("doc_id", F.xxhash64("text"), "text").mapInArrow(run, SCHEMA)

@@ -182,6 +182,18 @@ def test_packing(spark, sf):
     assert packing.pack_documents(empty(odd_docs(spark)), public_tokenizers.path(wordbpe.TOKENIZER)).count() == 0
 
 
+def test_packing_does_not_depend_on_the_order_of_rows(spark, sf):
+    """What a task packs is the same in whatever order its rows come: a lost task is run again to the same pieces."""
+    docs = table(spark, sf, "documents").select("doc_id", "text").collect()
+    rows = [tuple(r) for r in docs] + [(5, docs[0].text), (None, "a"), (None, None), (5, docs[1].text)]
+    got = []
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        got.append(sorted(map(repr, packing.pack_documents(df, public_tokenizers.path(wordbpe.TOKENIZER), window=20_000).collect())))
+    assert got[0] == got[1]
+
+
 def test_fill_is_closest():
     rng = random.Random(3)
     for _ in range(200):
