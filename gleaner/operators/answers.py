@@ -156,13 +156,28 @@ def validate_param_claims(claimed: Column, known: Column) -> Column:
     return F.struct(F.array_sort(good).alias("supported"), F.array_sort(F.array_except(distinct, good)).alias("unsupported"), ratio.alias("ratio"))
 
 
-def find_param_claims(text: Column | str) -> Column:
-    """Words beside `parameter`, `field`, `property` or `argument`, and quoted words, lower case, sorted; of the first 10 000 characters."""
-    t = F.left(col(text), F.lit(10_000))
-    edge, word, kind = r"[^\p{L}\p{N}_]", r"([\p{L}_][\p{L}\p{N}_]*)", "(?:parameter|field|property|argument)"
-    pats = [rf"(?i)(?:^|{edge}){kind}\s+{word}", rf"(?i)(?:^|{edge}){word}\s+{kind}(?:$|{edge})", rf"['\"`]{word}['\"`]"]
-    found = F.flatten(F.array(*(F.regexp_extract_all(t, F.lit(p), F.lit(1)) for p in pats)))
-    return F.array_sort(F.array_distinct(F.transform(found, F.lower)))
+#: A claim is a quoted name beside one of these words; the text is read so far. Fixed values.
+CLAIM_WORDS, CLAIM_CHARS = "(?:parameter|param)", 10_000
+
+
+def find_param_claims(text: Column | str, known: Column | None = None) -> Column:
+    """Names that a text claims as parameters, each once, sorted, as they are written; of its first 10 000 characters.
+
+    A name of at most 100 word characters in back or double quotes counts with `parameter` or `param` right
+    before or after it (with or without `the` in front). Any other quoted name counts if it is one of the known
+    names, case aside. A null text gives null, null known names none.
+    """
+    t = F.left(col(text), F.lit(CLAIM_CHARS))
+    letter, found, quoted = r"[\p{L}\p{N}_]", [], []
+    for q in "`\"":
+        name = f"{q}({letter}{{1,100}}){q}"
+        found += [F.regexp_extract_all(t, F.lit(p), F.lit(1)) for p in (rf"(?i){name}\s+{CLAIM_WORDS}(?!{letter})", rf"(?i){CLAIM_WORDS}\s+{name}")]
+        quoted.append(F.regexp_extract_all(t, F.lit(rf"{q}([\p{{L}}\p{{N}}_.]+){q}"), F.lit(1)))
+    claims = F.flatten(F.array(*found))
+    if known is not None:
+        names = F.transform(F.coalesce(known, F.array().cast("array<string>")), F.lower)
+        claims = F.concat(claims, F.filter(F.array_distinct(F.flatten(F.array(*quoted))), lambda x: F.array_contains(names, F.lower(x))))
+    return F.array_sort(F.array_distinct(claims))
 
 
 def select_answer(candidates: DataFrame) -> DataFrame:

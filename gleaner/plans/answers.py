@@ -176,17 +176,33 @@ def validate_param_claims(spark, sf):
     return v.select("query_id", F.array_join("v.supported", ",").alias("supported"), F.array_join("v.unsupported", ",").alias("unsupported"), "v.ratio")
 
 
-PARAM = "'parameter ' || replace(text, ' ', ' field ') || ' \"' || text || '\"'"
+#: Words of an answer in turn: in back quotes before the word, in double quotes after it, bare, quoted alone, quoted with a dot.
+CLAIMING = """array_to_string(list_transform(w, lambda x, i: CASE (i + query_id) % 7 WHEN 0 THEN 'the `' || x || '` parameter' WHEN 1 THEN 'Param "' || x || '"' WHEN 2 THEN 'the parameter ' || x WHEN 3 THEN '"' || x || '"' WHEN 4 THEN '`' || x || '`' WHEN 5 THEN '`' || x || '` PARAMETER' ELSE x || ' parameters' END), ' ')"""
+_NAME = r"[\p{L}\p{N}_]"
 
 
-EDGE, WORD, KIND = r"[^\p{L}\p{N}_]", r"([\p{L}_][\p{L}\p{N}_]*)", "(?:parameter|field|property|argument)"
+def _claims(q: str, t: str = "t") -> str:
+    name = f"{q}({_NAME}{{1,100}}){q}"
+    return rf"regexp_extract_all({t}, '(?i){name}\s+(?:parameter|param)\b', 1), regexp_extract_all({t}, '(?i)(?:parameter|param)\s+{name}', 1), regexp_extract_all({t}, '(?i)the\s+{name}\s+parameter\b', 1)"
 
 
-@query(rf"""WITH t AS (SELECT conv_id * 100 + turn AS query_id, {PARAM} AS c FROM conversations WHERE role = 'assistant')
-SELECT query_id, array_to_string(list_sort(list_distinct(list_transform(list_concat(regexp_extract_all(c, '(?i)(?:^|{EDGE}){KIND}\s+{WORD}', 1), regexp_extract_all(c, '(?i)(?:^|{EDGE}){WORD}\s+{KIND}(?:$|{EDGE})', 1), regexp_extract_all(c, '[''"`]{WORD}[''"`]', 1)), lambda x: lower(x)))), ',') AS claims FROM t""")
+@query(rf"""WITH q AS (SELECT conv_id * 100 + turn AS query_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM conversations WHERE role = 'assistant'), a AS (SELECT query_id, left({CLAIMING}, 10000) AS t, list_transform(list_filter(w, lambda x, i: i % 3 = 0), lambda x: translate(x, 'aeiou', 'AEIOU')) AS known FROM q),
+k AS (SELECT query_id, known, list_concat({_claims('`')}, {_claims('"')}) AS near, list_concat(regexp_extract_all(t, '`([\p{{L}}\p{{N}}_.]+)`', 1), regexp_extract_all(t, '"([\p{{L}}\p{{N}}_.]+)"', 1)) AS quoted FROM a)
+SELECT query_id, array_to_string(list_sort(list_distinct(list_concat(near, list_filter(quoted, lambda x: list_contains(list_transform(known, lambda n: lower(n)), lower(x)))))), ',') AS claims FROM k""")
 def find_param_claims(spark, sf):
-    c = F.concat(F.lit("parameter "), F.replace("text", F.lit(" "), F.lit(" field ")), F.lit(' "'), F.col("text"), F.lit('"'))
-    return answers(spark, sf).select("query_id", F.array_join(J.find_param_claims(c), ",").alias("claims"))
+    w = words("text")
+    spelled = lambda x, i: (
+        F.when((i + 1 + F.col("query_id")) % 7 == 0, F.concat(F.lit("the `"), x, F.lit("` parameter")))
+        .when((i + 1 + F.col("query_id")) % 7 == 1, F.concat(F.lit('Param "'), x, F.lit('"')))
+        .when((i + 1 + F.col("query_id")) % 7 == 2, F.concat(F.lit("the parameter "), x))
+        .when((i + 1 + F.col("query_id")) % 7 == 3, F.concat(F.lit('"'), x, F.lit('"')))
+        .when((i + 1 + F.col("query_id")) % 7 == 4, F.concat(F.lit("`"), x, F.lit("`")))
+        .when((i + 1 + F.col("query_id")) % 7 == 5, F.concat(F.lit("`"), x, F.lit("` PARAMETER")))
+        .otherwise(F.concat(x, F.lit(" parameters")))
+    )
+    known = F.transform(F.filter(w, lambda x, i: (i + 1) % 3 == 0), lambda x: F.translate(x, "aeiou", "AEIOU"))
+    a = answers(spark, sf).select("query_id", F.array_join(F.transform(w, spelled), " ").alias("t"), known.alias("known"))
+    return a.select("query_id", F.array_join(J.find_param_claims("t", F.col("known")), ",").alias("claims"))
 
 
 @query(f"""WITH {NAMES}, c AS (SELECT query_id, text AS answer, 'cot' AS stage, 1 AS r, len(cited) % 3 = 0 AS ok FROM nam UNION ALL SELECT query_id, text || ' !', 'predict', 2, len(gold) % 2 = 0 FROM nam), b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY NOT ok, r) AS n FROM c)

@@ -221,3 +221,14 @@ def test_documents_without_vectors(spark):
     specs.persist_documents(path, nodes, terms, nodes.selectExpr("doc_id", "chunk_id", "array(1D) AS embedding").where("false"))
     found, posted = specs.load_documents(spark, path)
     assert [r.embedding for r in found.collect()] == [None] * 3 and posted.count() == 3
+
+
+def test_param_claims(spark):
+    known = F.array(F.lit("Size"), F.lit("a.b"), F.lit("über"))
+    claims = lambda text, k=None: value(spark, J.find_param_claims(F.lit(text), k))
+    assert claims('the parameter is required; use the `foo` parameter and property value "unrelated"') == ["foo"]
+    assert claims('`a` Param, parameter "b", "c" parameter; the "d" parameter. param `e` `f` parameters `g`param') == ["a", "b", "c", "d", "e"]
+    assert claims('`size`, "A.B" and `Über` or "sizes"', known) == ["A.B", "size", "Über"]
+    assert claims('`size` and "x"') == [] and claims("`" + "n" * 101 + "` parameter") == []
+    assert claims("x" * 9_990 + " `late` parameter") == [] and claims(None) is None
+    assert claims("`size`", F.lit(None).cast("array<string>")) == []
