@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,14 +56,24 @@ def embed_texts(df: DataFrame, text: str = "text", dim: int = 64, embedder: Call
 
 
 def embed_words(df: DataFrame, key: str, text: str = "text", dim: int = 64) -> DataFrame:
-    """embed_texts by aggregation: one row for each word, summed by place; better for long texts. key, embedding."""
-    h = df.select(key, F.explode_outer(lower_words(text)).alias("w")).select(key, F.md5(F.col("w").cast("binary")).alias("h"))
-    at = F.coalesce(F.conv(F.substring("h", 1, 2), 16, 10).cast("int") % dim, F.lit(0))
-    sign = F.when(F.col("h").isNull(), 0.0).when(F.substring("h", 3, 1) < "8", 1.0).otherwise(-1.0)  # a text without words is a zero vector
-    sums = h.select(key, at.alias("at"), sign.alias("s")).groupBy(key, "at").agg(F.sum("s").alias("s"))
-    maps = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("at", "s"))).alias("m"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
-    return l2_normalize(maps.select(key, vec.alias("embedding")))
+    """embed_texts for long texts: each row's words are hashed and summed where the row is, nothing is shuffled. key, embedding."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, lists = batch.columns
+            many = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            words = lists.flatten().dictionary_encode()
+            digests = [hashlib.md5(w.encode()).hexdigest() for w in words.dictionary.to_pylist()]
+            at = np.array([int(d[:2], 16) % dim for d in digests], np.int64)
+            sign = np.array([1.0 if d[2] < "8" else -1.0 for d in digests])
+            code, out = words.indices.to_numpy(), np.zeros((len(many), dim))
+            if len(code):
+                np.add.at(out, (np.repeat(np.arange(len(many)), many), at[code]), sign[code])
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(many) + 1) * dim, pa.int32()), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([keys, listed], names=[key, "embedding"])
+
+    cut = df.select(key, lower_words(text).alias("w"))
+    return l2_normalize(cut.mapInArrow(hashed, f"`{key}` {dict(cut.dtypes)[key]}, embedding array<double>"))
 
 
 def dense_scores(queries: DataFrame, chunks: DataFrame, k: int, by: str | None = None, zero_invalid: bool = False) -> DataFrame:

@@ -11,7 +11,7 @@ from gleaner.operators import fusion as I
 from gleaner.operators import lexical as H
 from gleaner.operators import vectors as G
 from gleaner.plans.registry import query
-from gleaner.session import table
+from gleaner.session import saved, table
 
 DIM = 64
 
@@ -42,6 +42,18 @@ def questions(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(words("text"), 1, 8), " ").alias("question"), F.col("text").alias("expected"))
 
 
+def lexical_index(spark, sf, tokens=camel_tokens) -> DataFrame:
+    return saved(spark, sf, "documents", f"bm25-{tokens.__name__}", lambda: H.bm25_index(chunks(spark, sf), tokens))
+
+
+def lexical_blocks(spark, sf, tokens=camel_tokens) -> H.Blocks:
+    return H.blocks_of(saved(spark, sf, "documents", f"blocks-{tokens.__name__}", lambda: H.impact_blocks(lexical_index(spark, sf, tokens))))
+
+
+def chunk_vectors(spark, sf) -> DataFrame:
+    return saved(spark, sf, "documents", "words-64", lambda: G.embed_words(chunks(spark, sf), "chunk_id", "content"))
+
+
 def relevant_vectors(spark, sf):
     q, c = vec_queries(spark, sf), vec_chunks(spark, sf)
     return q.select("query_id", "label").join(c.select("chunk_id", "label").hint("merge"), "label").select("query_id", "chunk_id")
@@ -183,20 +195,19 @@ def tokenize_camel(spark, sf):
 
 @query(f"WITH {bm25(camel)} SELECT chunk_id, term, tf, n, df, round(weight, 6) AS weight, round(idf, 6) AS idf FROM wgt")
 def bm25_index(spark, sf):
-    return H.bm25_index(chunks(spark, sf)).withColumns({"weight": F.round("weight", 6), "idf": F.round("idf", 6)})
+    return lexical_index(spark, sf).withColumns({"weight": F.round("weight", 6), "idf": F.round("idf", 6)})
 
 
 @query(f"""WITH {bm25(camel)}, mx AS (SELECT query_id, chunk_id, CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN round(score / max(score) OVER (PARTITION BY query_id), 6) ELSE score END AS score FROM bm), hit AS ({topk('mx', 10)}),
 fil AS (SELECT q.query_id, f.doc_id AS chunk_id, 0.0 AS score FROM qst q, (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 20) f WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.query_id = q.query_id AND h.chunk_id = f.doc_id)),
 al AS (SELECT query_id, chunk_id, score FROM hit UNION ALL SELECT * FROM fil) {topk('al', 10)}""")
 def bm25_topk(spark, sf):
-    c = chunks(spark, sf)
-    return H.bm25_topk(questions(spark, sf), c, H.bm25_index(c))
+    return H.bm25_topk(questions(spark, sf), chunks(spark, sf), lexical_blocks(spark, sf))
 
 
 @query(f"WITH {bm25(low)} {topk('(SELECT * FROM bm WHERE score > 0)', 20)}")
 def bm25_topk_positive(spark, sf):
-    return H.bm25_topk_positive(questions(spark, sf), H.bm25_index(chunks(spark, sf), lower_words), 20, lower_words)
+    return H.bm25_topk_positive(questions(spark, sf), lexical_blocks(spark, sf, lower_words), 20, lower_words)
 
 
 @query(f"WITH {bm25(camel)} SELECT DISTINCT po.term, po.chunk_id FROM po JOIN qt USING (term)")
@@ -210,10 +221,9 @@ def term_lookup(spark, sf):
 
 def both_lists(spark, sf) -> tuple[DataFrame, DataFrame]:
     """(dense, lexical) lists of 20 for the questions over whole documents."""
-    c, q = chunks(spark, sf), questions(spark, sf)
-    dv = G.embed_words(c, "chunk_id", "content")
+    q = questions(spark, sf)
     qv = G.embed_words(q, "query_id", "question")
-    return G.flat_ip_topk(qv, dv, 20), H.bm25_topk_positive(q, H.bm25_index(c), 20, camel_tokens)
+    return G.flat_ip_topk(qv, chunk_vectors(spark, sf), 20), H.bm25_topk_positive(q, lexical_blocks(spark, sf), 20, camel_tokens)
 
 
 @query(f"WITH {LISTS}, s AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT * FROM d20 UNION ALL SELECT * FROM l20) GROUP BY 1, 2) {topk('s', 10)}")

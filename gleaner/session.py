@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only when the session names no shared folder (local tests).
 LOCAL_CHECKPOINT_DIR = "/tmp/gleaner-checkpoints"
@@ -49,6 +51,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_SAVED: dict[tuple, str] = {}
+
+
+def saved(spark: SparkSession, sf_dir: str, source: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table derived from a source table, written to the shared folder once for each session and state of the source's files, then read."""
+    files = spark.read.parquet(f"{sf_dir}/{source}.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = files.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("file_path", "file_size", "file_modification_time")).alias("h")).first()
+    key = (spark.sparkContext.applicationId, sf_dir, source, name, state.n, state.h)
+    if key not in _SAVED:
+        path = scratch_path(spark, name)
+        make().write.parquet(path)
+        _SAVED[key] = path
+    return spark.read.parquet(_SAVED[key])
+
+
 def cut(df: DataFrame) -> DataFrame:
     """checkpoint() in the shared folder, setting one only where the session has none."""
     sc = df.sparkSession.sparkContext

@@ -232,3 +232,34 @@ def test_param_claims(spark):
     assert claims('`size` and "x"') == [] and claims("`" + "n" * 101 + "` parameter") == []
     assert claims("x" * 9_990 + " `late` parameter") == [] and claims(None) is None
     assert claims("`size`", F.lit(None).cast("array<string>")) == []
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_impact_blocks_give_the_exhaustive_lists(spark, seed):
+    """Tiny blocks and parts; frequent words (whose weights are negative in a small corpus), ties, repeated query words."""
+    import random
+
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(30)]
+    often = sorted(vocabulary, key=lambda _: rng.random())
+    text = lambda n: " ".join(rng.choices(often, weights=[1 / (i + 1) for i in range(30)], k=n))
+    chunks = spark.createDataFrame([(i, text(rng.randint(1, 25)) if i % 9 else None) for i in range(120)], "chunk_id long, content string")
+    queries = spark.createDataFrame([(i, text(rng.randint(1, 6)) if i % 7 else "unknown") for i in range(25)], "query_id long, question string")
+    index = H.bm25_index(chunks)
+    saved = H.blocks_of(H.impact_blocks(index, block=2, part=8))
+    for k in (1, 3, 200):
+        whole, pruned = (sorted(map(tuple, H.top_k(s, k).collect())) for s in (H.bm25_scores(queries, index), H.pruned_scores(queries, saved, k)))
+        assert whole == pruned
+    rows = saved.blocks.collect()
+    assert max(len(r.hits) for r in rows) == 2 and max(r.part for r in rows) > 0
+    opened = H.opened_blocks(queries, saved, 1).count()
+    every = H._asked(queries, H.camel_tokens).join(saved.blocks, "term").count()
+    assert opened < every
+
+
+def test_rows_are_counted_where_they_stand(spark):
+    df = spark.createDataFrame([("a", "x y x"), ("b", None), ("c", ""), (None, "y")], "chunk_id string, content string")
+    assert sorted(map(repr, map(tuple, H.postings(df).collect()))) == sorted(map(repr, [("a", "x", 2, 3), ("a", "y", 1, 3), (None, "y", 1, 1)]))
+    vectors = {r.chunk_id: r.embedding for r in G.embed_words(df, "chunk_id", "content").collect()}
+    plain = {r.chunk_id: r.embedding for r in G.embed_texts(df.fillna({"content": ""}), "content").collect()}
+    assert vectors == plain and set(vectors["b"]) == {0.0}
