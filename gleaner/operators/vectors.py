@@ -6,16 +6,15 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import lower_words
+from gleaner.operators import dense
+from gleaner.session import materialise
 
-#: Rows and queries that meet in one task.
-BUCKET, LOT = 8192, 4096
-DIGITS = 6
+DIGITS = dense.DIGITS
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -76,81 +75,49 @@ def embed_words(df: DataFrame, key: str, text: str = "text", dim: int = 64) -> D
     return l2_normalize(cut.mapInArrow(hashed, f"`{key}` {dict(cut.dtypes)[key]}, embedding array<double>"))
 
 
-def dense_scores(queries: DataFrame, chunks: DataFrame, k: int, by: str | None = None, zero_invalid: bool = False) -> DataFrame:
-    """(query_id, chunk_id, score, lo, hi): each query's k best inner products and the extremes over all chunks.
-
-    queries: query_id, embedding; chunks: chunk_id, embedding; both with column `by` if only equal
-    values of it may meet. Chunks are dealt into buckets and queries into lots of bounded size; each
-    pair of them is one task's matrix product, so neither side has to fit anywhere whole. Queries with
-    a null, empty or non-finite vector have no result.
-    """
-    buckets = max(1, -(-chunks.count() // BUCKET))
-    lots = max(1, -(-queries.count() // LOT))
-    part = F.col(by).cast("string") if by else F.lit("")
-    q = queries.select("query_id", F.col("embedding").alias("q_vec"), part.alias("q_part"), F.pmod(F.xxhash64("query_id"), F.lit(lots)).alias("q_lot"), F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("q_bucket"))
-    c = chunks.select("chunk_id", F.col("embedding").alias("c_vec"), part.alias("c_part"), F.pmod(F.xxhash64("chunk_id"), F.lit(buckets)).cast("int").alias("c_bucket"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lots - 1).cast("long"))).alias("c_lot"))
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "chunk_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64"), "lo": pd.Series(dtype="float64"), "hi": pd.Series(dtype="float64")})
-        sound = lambda v: v is not None and len(v) > 0 and bool(np.isfinite(np.asarray(v, np.float64)).all())
-        left = left[[sound(v) for v in left["q_vec"]]] if len(left) else left
-        if not len(left) or not len(right):
-            return empty
-        widths = left["q_vec"].map(len)
-        if widths.nunique() > 1:  # queries of each length by themselves
-            return pd.concat([run(own, right) for _, own in left.groupby(widths)])
-        dim = int(widths.iloc[0])
-        good = np.array([sound(v) and len(v) == dim for v in right["c_vec"]], dtype=bool)
-        if not zero_invalid:
-            right, good = right[good], good[good]
-        if not len(right):
-            return empty
-        a = np.stack([np.asarray(v, np.float64) for v in left["q_vec"]])
-        b = np.stack([np.asarray(v, np.float64) if ok else np.zeros(dim) for v, ok in zip(right["c_vec"], good, strict=True)])
-        s = np.round(a @ b.T, DIGITS) + 0.0
-        ids = right["chunk_id"].to_numpy(np.int64)
-        keep = min(k, len(ids))
-        order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :keep]
-        return pd.DataFrame(
-            {
-                "query_id": np.repeat(left["query_id"].to_numpy(np.int64), keep),
-                "chunk_id": ids[order].ravel(),
-                "score": np.take_along_axis(s, order, 1).ravel(),
-                "lo": np.repeat(s.min(1), keep),
-                "hi": np.repeat(s.max(1), keep),
-            }
-        )
-
-    return q.groupBy("q_part", "q_lot", "q_bucket").cogroup(c.groupBy("c_part", "c_lot", "c_bucket")).applyInPandas(run, "query_id long, chunk_id long, score double, lo double, hi double")
-
-
 def top_k(scored: DataFrame, k: int) -> DataFrame:
     """The k best of each query, ties to the smaller chunk_id."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
     return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("query_id", "chunk_id", "rank", "score")
 
 
+def _lists(chunks: DataFrame, by: str | None = None) -> DataFrame:
+    """chunks as lists; a table of lists (of dense.vector_lists, written and read back) is taken as it is."""
+    return chunks if "vectors" in chunks.columns else materialise(dense.vector_lists(chunks, by), "dense-lists")
+
+
 def flat_ip_topk(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
-    return top_k(dense_scores(queries, chunks, k), k)
+    """The k greatest inner products of each query; queries and chunks with a null, empty or non-finite vector take no part, and only equal lengths meet."""
+    return top_k(dense.search(queries, _lists(chunks), k).hits, k)
 
 
 def dense_topk_zero_invalid(queries: DataFrame, chunks: DataFrame, k: int = 20) -> DataFrame:
-    """Invalid vectors count with score 0."""
-    return top_k(dense_scores(queries, chunks, k, zero_invalid=True), k)
+    """Chunks whose vector is invalid, or of another length than the query's, count with score 0."""
+    sound = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).where(dense.sound("embedding"))
+    hits = dense.search(sound, _lists(chunks), k).hits
+    asked, zeros = sound.select("query_id", F.size("embedding").alias("d")), None
+    v = chunks.select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    for r in asked.select("d").distinct().collect():  # lengths of queries, few; k rows of each
+        own = v.where(~dense.sound("embedding") | (F.size("embedding") != r.d)).select("chunk_id").orderBy("chunk_id").limit(k).withColumn("d", F.lit(r.d))
+        zeros = own if zeros is None else zeros.unionByName(own)
+    if zeros is None:
+        return top_k(hits, k)
+    return top_k(hits.unionByName(asked.join(F.broadcast(zeros), "d").select("query_id", "chunk_id", F.lit(0.0).alias("score"))), k)
 
 
 def vector_search_filtered(queries: DataFrame, chunks: DataFrame, by: str, k: int = 10) -> DataFrame:
     """Only chunks whose column `by` equals the query's."""
-    return top_k(dense_scores(queries, chunks, k, by=by), k)
+    return top_k(dense.search(queries, _lists(chunks, by), k, by).hits, k)
 
 
 def cosine_topk(queries: DataFrame, chunks: DataFrame, k: int = 10, least: float = 0.15) -> DataFrame:
     """Scores min-max scaled over all candidates of the query, then threshold and top k."""
-    found = dense_scores(queries, chunks, k)
-    w = Window.partitionBy("query_id")
-    lo, hi = F.min("lo").over(w), F.max("hi").over(w)
+    found = dense.search(queries, _lists(chunks), k, least=True)
+    hi = F.max("score").over(Window.partitionBy("query_id"))
+    rows = found.hits.withColumn("hi", hi).join(found.least.hint("merge"), "query_id")
+    lo, hi = F.col("least"), F.col("hi")
     scaled = F.when(hi - lo < 1e-10, F.col("score")).otherwise(F.round((F.col("score") - lo) / (hi - lo), DIGITS))
-    return top_k(found.select("query_id", "chunk_id", scaled.alias("score")).where(F.col("score") >= least), k)
+    return top_k(rows.select("query_id", "chunk_id", scaled.alias("score")).where(F.col("score") >= least), k)
 
 
 def minmax_scores(ranked: DataFrame, top_one: bool = False) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import camel_tokens, lower_words, strip, words
+from gleaner.operators import dense
 from gleaner.operators import evaluation as K
 from gleaner.operators import fusion as I
 from gleaner.operators import lexical as H
@@ -50,8 +51,12 @@ def lexical_blocks(spark, sf, tokens=camel_tokens) -> H.Blocks:
     return H.blocks_of(saved(spark, sf, "documents", f"blocks-{tokens.__name__}", lambda: H.impact_blocks(lexical_index(spark, sf, tokens))))
 
 
-def chunk_vectors(spark, sf) -> DataFrame:
-    return saved(spark, sf, "documents", "words-64", lambda: G.embed_words(chunks(spark, sf), "chunk_id", "content"))
+def vec_lists(spark, sf) -> DataFrame:
+    return saved(spark, sf, "embeddings", "vector-lists", lambda: dense.vector_lists(vec_chunks(spark, sf)))
+
+
+def chunk_lists(spark, sf) -> DataFrame:
+    return saved(spark, sf, "documents", "word-lists", lambda: dense.vector_lists(G.embed_words(chunks(spark, sf), "chunk_id", "content")))
 
 
 def relevant_vectors(spark, sf):
@@ -145,12 +150,12 @@ def embed_texts(spark, sf):
 
 @query(f"WITH {SIMS}, m AS (SELECT *, min(s) OVER (PARTITION BY query_id) AS lo, max(s) OVER (PARTITION BY query_id) AS hi FROM sims), n AS (SELECT query_id, chunk_id, CASE WHEN hi - lo < 1e-10 THEN s ELSE round((s - lo) / (hi - lo), 6) END AS score FROM m) {topk('(SELECT * FROM n WHERE score >= 0.15)', 10)}")
 def cosine_topk(spark, sf):
-    return G.cosine_topk(vec_queries(spark, sf), vec_chunks(spark, sf))
+    return G.cosine_topk(vec_queries(spark, sf), vec_lists(spark, sf))
 
 
 @query(f"WITH {SIMS} {topk('sims', 10, 's')}")
 def flat_ip_topk(spark, sf):
-    return G.flat_ip_topk(vec_queries(spark, sf), vec_chunks(spark, sf))
+    return G.flat_ip_topk(vec_queries(spark, sf), vec_lists(spark, sf))
 
 
 @query(f"WITH {ODD}, z AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, CASE WHEN reason IS NULL THEN round(list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE * e[i])), 6) ELSE 0.0 END AS s FROM embeddings q JOIN chk c ON q.vec_id % 10 = 0 AND c.vec_id % 10 <> 0) {topk('z', 20, 's')}")
@@ -161,7 +166,7 @@ def dense_topk_zero_invalid(spark, sf):
 
 @query(f"WITH {SIMS}, t AS ({topk('sims', 20, 's')}), m AS (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM t) SELECT query_id, chunk_id, rank, CASE WHEN hi - lo < 1e-10 THEN score ELSE round((score - lo) / (hi - lo), 6) END AS score FROM m")
 def minmax_scores(spark, sf):
-    return G.minmax_scores(G.flat_ip_topk(vec_queries(spark, sf), vec_chunks(spark, sf), 20))
+    return G.minmax_scores(G.flat_ip_topk(vec_queries(spark, sf), vec_lists(spark, sf), 20))
 
 
 @query(f"WITH {SIMS} {topk('(SELECT * FROM sims WHERE ql = cl)', 10, 's')}")
@@ -223,7 +228,7 @@ def both_lists(spark, sf) -> tuple[DataFrame, DataFrame]:
     """(dense, lexical) lists of 20 for the questions over whole documents."""
     q = questions(spark, sf)
     qv = G.embed_words(q, "query_id", "question")
-    return G.flat_ip_topk(qv, chunk_vectors(spark, sf), 20), H.bm25_topk_positive(q, lexical_blocks(spark, sf), 20, camel_tokens)
+    return G.flat_ip_topk(qv, chunk_lists(spark, sf), 20), H.bm25_topk_positive(q, lexical_blocks(spark, sf), 20, camel_tokens)
 
 
 @query(f"WITH {LISTS}, s AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT * FROM d20 UNION ALL SELECT * FROM l20) GROUP BY 1, 2) {topk('s', 10)}")
@@ -285,7 +290,7 @@ a AS (SELECT query_id, count(DISTINCT chunk_id) AS n FROM rel GROUP BY 1), met A
 
 def vec_metrics(spark, sf, k: int = 10) -> DataFrame:
     q = vec_queries(spark, sf)
-    return K.precision_recall_mrr(G.flat_ip_topk(q, vec_chunks(spark, sf), k), relevant_vectors(spark, sf), q, k)
+    return K.precision_recall_mrr(G.flat_ip_topk(q, vec_lists(spark, sf), k), relevant_vectors(spark, sf), q, k)
 
 
 @query(f"WITH {MET} SELECT query_id, round(hits / 10, 6) AS precision FROM met")

@@ -10,7 +10,7 @@ from gleaner.operators import graph as GR
 from gleaner.operators import lexical as H
 from gleaner.operators import manuals as M
 from gleaner.operators import vectors as G
-from gleaner.session import scratch_path
+from gleaner.session import materialise, scratch_path
 from gleaner.streaming import jobs
 
 
@@ -263,3 +263,31 @@ def test_rows_are_counted_where_they_stand(spark):
     vectors = {r.chunk_id: r.embedding for r in G.embed_words(df, "chunk_id", "content").collect()}
     plain = {r.chunk_id: r.embedding for r in G.embed_texts(df.fillna({"content": ""}), "content").collect()}
     assert vectors == plain and set(vectors["b"]) == {0.0}
+
+
+@pytest.mark.parametrize("by", [None, "owner"])
+def test_lists_are_visited_by_bound(spark, by):
+    """Clustered vectors in small lists: equal to all products, and most pairs are never scored; text ids, ties, equal rows."""
+    import numpy as np
+
+    from gleaner.operators import dense
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 8)) * 4
+    rows = [(f"c{i:04}", (centres[i % 40] + 0.1 * rng.normal(size=8)).round(3).tolist(), "xyz"[i % 3]) for i in range(2000)]
+    rows += [(f"d{i:04}", rows[0][1], "x") for i in range(300)] + [("bad", [1.0, None] + [0.0] * 6, "x"), ("none", None, "y"), ("short", [1.0], "z")]
+    asked = [(i, (centres[i] + 0.1 * rng.normal(size=8)).tolist(), "xyz"[i % 3]) for i in range(30)] + [(99, rows[0][1], "x")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, embedding array<double>, owner string").repartition(5)
+    queries = spark.createDataFrame(asked, "query_id long, embedding array<double>, owner string")
+    lists = materialise(dense.vector_lists(chunks, by, rows=50), "lists")
+    found = dense.search(queries, lists, 5, by, least=True)
+    products = {q: {c: round(float(np.dot(v, e)), 6) for c, e, o in rows[:2300] if not by or o == owner} for q, v, owner in asked}
+    want = {(q, c, s) for q, own in products.items() for c, s in sorted(own.items(), key=lambda x: (-x[1], x[0]))[:5]}
+    assert {(r.query_id, r.chunk_id, r.score) for r in found.hits.collect()} == want
+    assert {(r.query_id, r.least) for r in found.least.collect()} == {(q, min(own.values())) for q, own in products.items()}
+    assert max(r.n for r in lists.collect()) <= 50
+    scored = dense.search(queries, lists, 5, by).pairs.agg(F.sum("n").alias("n")).first().n
+    assert scored < 0.35 * sum(map(len, products.values()))
+    assert dense.search(queries.where("1 = 0"), lists, 5, by).hits.count() == 0
+    nothing = materialise(dense.vector_lists(chunks.where("1 = 0"), by), "lists")
+    assert dense.search(queries, nothing, 5, by).hits.count() == 0
