@@ -43,7 +43,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are told apart by (doc_id, text), so another text under the same id is decided by its own group.
     """
     bounded_batches(spark)
-    none, own, digest = F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.xxhash64(F.col("text").cast("string"))
+    none, own, digest = F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), neardup.text_digest(F.col("text").cast("string"))
     groups = materialise(neardup.near_duplicates(docs), "near-dedup")
     first = groups.groupBy("group").agg(F.min(F.struct(none.alias("none"), own.alias("own"), F.col("digest"))).alias("r")).select("r.*")
     # repeated rows of one id and text fall together before the shuffle

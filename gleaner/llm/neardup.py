@@ -1,9 +1,10 @@
 """Near-duplicates at a Jaccard similarity of word shingles: SimHash tables searched by vantage-point trees.
 
-A text is the set of its 5-word shingles; equal sets are one point. A point's SimHash has TABLES parts of
-BITS bits and a check part of 128. In every table, points whose parts differ in RADIUS bits or fewer are
+A text is the set of its 5-word shingles; equal sets are one point. A point's SimHash has tables of some bits and a
+check part of 128. In every table, points whose parts differ in RADIUS bits or fewer are
 candidates if their check parts differ in FAR bits or fewer. A pair at similarity 0.8 differs in 0.15 of
-its bits, so it passes in some table with probability 0.976, and a nearer pair more surely.
+its bits; there are as many tables as let it pass in some table with probability RECALL, and a nearer pair more surely. A part
+has two bits more than the number of points has, so a point meets about as many others by chance at any size of the table.
 
 Each table is searched by vantage-point trees: a top tree from a bounded sample deals the points to shards,
 border points to both sides, and each shard hands on a spanning forest of the candidate pairs that it finds, nearest first. Before
@@ -11,9 +12,10 @@ that, points with equal parts are followed in sorted order, in SALTS runs each,
 their run are linked to it and stand back behind it in that table, so that a group of near copies of any size
 leaves few points in a shard.
 
-Candidates only form groups; what counts is the exact similarity of the sets. In a group of at most BLOCK
-points all pairs that matter are compared. A larger one is dealt into blocks, each compared with the same
-LEADERS of the group, and those candidate pairs that are still apart then are compared one by one.
+Candidates only form groups; what counts is the exact similarity of the sets, and within a group no link is
+missed, whatever its size. A group is dealt into blocks of BLOCK points, each compared with the same LEADERS of the
+group, or as a whole if it is one block. Then candidate pairs that are still apart are compared. Two points that are apart
+after that can't both be in the group's largest part, so those outside it are compared with all blocks.
 
 Edge cases: texts without words (null, empty, blank) are one point and in no candidate pair; a text shorter
 than a shingle is one shingle; null and repeated keys and repeated rows are points like others; an empty
@@ -28,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.components import components
@@ -38,31 +40,45 @@ from gleaner.llm.textbatch import groups
 from gleaner.session import materialise
 
 SHINGLE, SEED = 5, 42
+POINT = "point long, f0 long, f1 long, parts array<long>"
 #: Similar from so many hundredths of the union on.
 SIMILAR = 80
-TABLES, BITS, RADIUS = 20, 20, 1
-#: Words of the SimHash; bits of the check part that a candidate may differ in; runs of equal parts.
+RADIUS, RECALL = 1, 0.976
+#: Words of the SimHash, of which the last two are the check part; bits of it that a candidate may differ in; runs of equal parts.
 WORDS, FAR, SALTS = 8, 36, 16
 #: Points that a shard aims at, the top tree's greatest depth, its sampled points.
-SHARD, DEPTH, SAMPLE = 1 << 14, 14, 1 << 18
-#: Points compared in one task; points of a larger group that all others are compared with.
-BLOCK, LEADERS = 512, 64
-POINT = "point long, f0 long, f1 long, parts array<int>"
+SHARD, DEPTH, SAMPLE = 1 << 14, 15, 1 << 18
+#: Points compared in one task; points of a larger group that all others are compared with; products looked at together.
+BLOCK, LEADERS, PRODUCTS = 512, 64, 1 << 21
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    weight = (1 << np.arange(BITS)).astype(np.int64)
-    for batch in batches:
-        texts = batch.column(0).to_pylist()
-        for lo, hi in groups([t or "" for t in texts]):
-            sets = shingle_sets(texts[lo:hi], SHINGLE)
-            point = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-            bits = simhash_bits(sets, WORDS)
-            check = np.packbits(bits[:, -128:], axis=1).view(">i8").astype(np.int64)
-            parts = (bits[:, : TABLES * BITS].reshape(-1, TABLES, BITS) @ weight).astype(np.int32)
-            listed = pa.ListArray.from_arrays(pa.array(np.arange(0, parts.size + 1, TABLES), pa.int32()), pa.array(parts.ravel()))
-            columns = [batch.column(1).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(point), pa.array(check[:, 0]), pa.array(check[:, 1]), listed]
-            yield pa.RecordBatch.from_arrays(columns, names=["_key", "digest", "point", "f0", "f1", "parts"])
+def table_plan(points: int) -> np.ndarray:
+    """Places of the bits of each table's part (tables by bits) for so many points."""
+    bits = max(16, int(np.ceil(np.log2(max(points, 2)))) + 2)
+    share = 0.85**bits + bits * 0.15 * 0.85 ** (bits - 1)  # of pairs at similarity 0.8 that pass in one table
+    tables = int(np.ceil(np.log(1 - RECALL) / np.log(1 - share)))
+    free, rng = 64 * WORDS - 128, np.random.default_rng(SEED)
+    rounds = -(-tables // (free // bits))  # tables of one round share no bit
+    return np.concatenate([rng.permutation(free)[: free // bits * bits].reshape(-1, bits) for _ in range(rounds)])[:tables]
+
+
+def _describe(plan: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, bits_of = plan.shape
+        weight = np.int64(1) << np.arange(bits_of, dtype=np.int64)
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for lo, hi in groups([t or "" for t in texts]):
+                sets = shingle_sets(texts[lo:hi], SHINGLE)
+                point = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+                bits = simhash_bits(sets, WORDS)
+                check = np.packbits(bits[:, -128:], axis=1).view(">i8").astype(np.int64)
+                parts = bits[:, plan.ravel()].reshape(-1, tables, bits_of) @ weight
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(0, parts.size + 1, tables), pa.int32()), pa.array(parts.ravel()))
+                columns = [batch.column(1).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(point), pa.array(check[:, 0]), pa.array(check[:, 1]), listed]
+                yield pa.RecordBatch.from_arrays(columns, names=["_key", "digest", "point", "f0", "f1", "parts"])
+
+    return run
 
 
 def _apart(one: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -70,21 +86,21 @@ def _apart(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     return np.bitwise_count((one ^ other).view(np.uint64)).sum(axis=1)  # of a negative number its bits, not its size's
 
 
-def candidates(points: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) that connect what is connected by candidates; points: distinct rows of POINT."""
+def candidates(points: DataFrame, tables: int) -> DataFrame:
+    """Candidate pairs (a, b) that connect what is connected by candidates; points: distinct rows of POINT with so many parts."""
     spark = points.sparkSession
     depth = min(DEPTH, max(0, int(np.ceil(np.log2(max(points.count(), 1) / SHARD)))))
     sample = points.orderBy(F.xxhash64("point")).limit(min(SAMPLE, 64 << depth)).select("parts").toPandas()["parts"].tolist() if depth else []
-    sampled = np.array(sample, dtype=np.uint64).reshape(-1, TABLES)
-    trees = [top_tree(sampled[:, t], depth) for t in range(TABLES)]
+    sampled = np.array(sample, dtype=np.uint64).reshape(-1, tables)
+    trees = [top_tree(sampled[:, t], depth) for t in range(tables)]
     first = np.cumsum([0, *(n for _, n in trees)]).tolist()
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             parts = batch.column(3).flatten().to_numpy(zero_copy_only=False)
-            point, f0, f1 = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), TABLES) for i in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(TABLES, dtype=np.int32), n)), pa.array(parts), pa.array(point), pa.array(f0), pa.array(f1)], names=["t", "part", "point", "f0", "f1"])
+            point, f0, f1 = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), tables) for i in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(parts), pa.array(point), pa.array(f0), pa.array(f1)], names=["t", "part", "point", "f0", "f1"])
 
     def stand_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted by run: a row near its run's first becomes a link (shard below 0); other rows go to their shards."""
@@ -108,7 +124,7 @@ def candidates(points: DataFrame) -> DataFrame:
                 i, shard = route(trees[t][0], own[:, 1].astype(np.uint64), RADIUS)
                 rows.append(np.column_stack([shard + first[t], own[i][:, [1, 3, 4, 5]]]))
             out = np.concatenate(rows)
-            kinds = (np.int32, np.int32, np.int64, np.int64, np.int64)
+            kinds = (np.int32, np.int64, np.int64, np.int64, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(out[:, k].astype(kind)) for k, kind in enumerate(kinds)], names=["shard", "part", "point", "f0", "f1"])
 
     def nearest_first(a: np.ndarray, b: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,11 +140,13 @@ def candidates(points: DataFrame) -> DataFrame:
         same = np.flatnonzero(many > 1)
         a, b = np.empty(0, np.int64), np.empty(0, np.int64)
         for i, j in [(same, same), *near_pairs(value.astype(np.uint64), RADIUS)]:
-            for lo in range(0, len(i), 4096):  # all rows of one value with all of the other
-                x, y = i[lo : lo + 4096], j[lo : lo + 4096]
-                n = many[x] * many[y]
-                k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                p, q = np.repeat(begin[x], n) + k // np.repeat(many[y], n), np.repeat(begin[y], n) + k % np.repeat(many[y], n)
+            stop = np.cumsum(many[i] * many[j])  # all rows of one value with all of the other, so many at a time
+            for lo in range(0, int(stop[-1]) if len(stop) else 0, PRODUCTS):
+                k = np.arange(lo, min(lo + PRODUCTS, int(stop[-1])))
+                pair = np.searchsorted(stop, k, side="right")
+                k -= stop[pair] - many[i[pair]] * many[j[pair]]
+                wide = many[j[pair]]
+                p, q = begin[i[pair]] + k // wide, begin[j[pair]] + k % wide
                 near = (point[p] != point[q]) & (_apart(f[p], f[q]) <= FAR)
                 a, b = np.append(a, p[near]), np.append(b, q[near])
                 if len(a) > 1 << 18:
@@ -137,10 +155,10 @@ def candidates(points: DataFrame) -> DataFrame:
         return pd.DataFrame({"a": point[a], "b": point[b]})
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = points.where("point <> 0").select("point", "f0", "f1", "parts").mapInArrow(spread, "t int, part int, point long, f0 long, f1 long")
+    rows = points.where("point <> 0").select("point", "f0", "f1", "parts").mapInArrow(spread, "t int, part long, point long, f0 long, f1 long")
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("point"), F.lit(SALTS)).cast("int"))
     runs = rows.repartition(parts, "t", "part", "salt").sortWithinPartitions("t", "part", "salt", "point").select("t", "part", "salt", "point", "f0", "f1")
-    dealt = runs.mapInArrow(stand_back, "shard int, part int, point long, f0 long, f1 long")
+    dealt = runs.mapInArrow(stand_back, "shard int, part long, point long, f0 long, f1 long")
     return dealt.groupBy("shard").applyInPandas(search, "a long, b long")
 
 
@@ -210,14 +228,33 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(on), batch.column(1).filter(on)], names=["a", "b"])
 
 
+def _probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Links from points outside their group's largest part to one point of each other part of the block that is similar."""
+    a, b = [], []
+    sets, part, point = _sets(right["set"]), right["part"].to_numpy(np.int64), right["point"].to_numpy(np.int64)
+    for own, home, s in zip(left["q_point"], left["q_part"], _sets(left["q_set"]), strict=True):
+        other = np.flatnonzero(part != home)
+        on = other[similar_to(s, [sets[i] for i in other])] if len(other) else other
+        _, first = np.unique(part[on], return_index=True)
+        a += [own] * len(first)
+        b += point[on[first]].tolist()
+    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+
+def text_digest(text: Column) -> Column:
+    """What tells texts apart: the 128 bits of their MD5, nothing for null."""
+    return F.coalesce(F.unhex(F.md5(text.cast("binary"))), F.lit(b""))
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row per input row: key, digest (of the text), group (the same for all rows connected by similar pairs)."""
+    """One row per input row: key, digest (text_digest), group (the same for all rows connected by similar pairs)."""
     body = F.col(text).cast("string")
-    texts = df.select(body.alias("text"), F.col(key).alias("_key"), F.xxhash64(body).alias("digest"))
+    texts = df.select(body.alias("text"), F.col(key).alias("_key"), text_digest(body).alias("digest"))
     kind = dict(texts.dtypes)["_key"]
-    rows = materialise(texts.mapInArrow(_describe, f"_key {kind}, digest long, {POINT}"), "near-points")
+    plan = table_plan(df.count())
+    rows = materialise(texts.mapInArrow(_describe(plan), f"_key {kind}, digest binary, {POINT}"), "near-points")
     points = rows.groupBy("point").agg(F.min("digest").alias("digest"), F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("parts").alias("parts"))
-    pairs = materialise(candidates(points), "near-pairs")
+    pairs = materialise(candidates(points, len(plan)), "near-pairs")
     maybe = components(pairs)  # fp, root
 
     place = F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("fp"), "fp"))
@@ -237,22 +274,42 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", bloc
 
     whole = F.col("blocks") == 1
     tasks = max(1, sets.count() // block)
+    own_block = F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int")
     # a whole group goes to one of the tasks, a large one's points to their blocks, its leaders to all of these
-    blocks = F.when((F.col("place") <= LEADERS) & ~whole, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int")))
+    blocks = F.when((F.col("place") <= LEADERS) & ~whole, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own_block))
     task = F.when(whole, F.pmod(F.xxhash64("root"), F.lit(tasks))).otherwise(F.col("root"))
     met = sets.select(task.alias("task"), F.explode(blocks).alias("block"), whole.alias("whole"), "root", "point", "place", "set")
     links = materialise(met.groupBy("task", "whole", "block").applyInPandas(_compare, "a long, b long"), "near-links")
 
-    large = sets.where(~whole).select("point", "root", "set")
+    large = sets.where(~whole).select("point", "root", "blocks", "set")
     if not large.isEmpty():
+
+        def parts_of(group: DataFrame) -> DataFrame:
+            return large.select("point", "root").join(group.select(F.col("fp").alias("point"), F.col("root").alias("part")).hint("merge"), "point", "left").select("point", "root", F.coalesce("part", "point").alias("part"))
+
         group = components(links)
-        known = large.select("point").join(group.hint("merge"), F.col("point") == F.col("fp"), "left").select("point", F.coalesce("root", "point").alias("group"))
-        one, other = (known.select(F.col("point").alias(c), F.col("group").alias(f"group_{c}")) for c in "ab")
-        apart = pairs.distinct().join(one.hint("merge"), "a").join(other.hint("merge"), "b").where("group_a <> group_b").select("a", "b")
+        one, other = (parts_of(group).select(F.col("point").alias(c), F.col("part").alias(f"part_{c}")) for c in "ab")
+        apart = pairs.distinct().join(one.hint("merge"), "a").join(other.hint("merge"), "b").where("part_a <> part_b").select("a", "b")
         apart = materialise(apart, "near-apart")  # two of these tables descend from one: read anew, they join as two
         one, other = (large.select(F.col("point").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
         beside = apart.join(one.hint("merge"), "a").join(other.hint("merge"), "b").select("a", "b", "set_a", "set_b")
-        links = group.select(F.col("fp").alias("a"), F.col("root").alias("b")).unionByName(materialise(beside.mapInArrow(_check, "a long, b long"), "near-beside"))
+        links = materialise(group.select(F.col("fp").alias("a"), F.col("root").alias("b")).unionByName(beside.mapInArrow(_check, "a long, b long")), "near-beside")
+
+        # two points that are still apart aren't both in their group's largest part: the others meet all blocks
+        group = components(links)
+        part = materialise(parts_of(group), "near-parts")
+        largest = part.groupBy("root", "part").agg(F.count("*").alias("n")).groupBy("root").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
+        told = part.join(largest.hint("merge"), "root").withColumn("out", F.col("part") != F.col("main"))
+        lots = told.where("out").groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("lots"))
+        side = told.join(lots.hint("merge"), "root").select("point", "part", "out", "lots")
+        side = materialise(side.join(large.hint("merge"), "point").select("point", "root", "part", "out", "lots", "blocks", "set"), "near-sides")
+        asked = side.where("out").select(F.col("root").alias("q_root"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("q_block"), F.pmod(F.xxhash64("point"), F.col("lots")).cast("int").alias("q_lot"), F.col("point").alias("q_point"), F.col("part").alias("q_part"), F.col("set").alias("q_set"))
+        held = side.select("root", own_block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), "point", "part", "set")
+        probed = asked.groupBy("q_root", "q_block", "q_lot").cogroup(held.groupBy("root", "block", "lot")).applyInPandas(_probe, "a long, b long")
+        links = materialise(group.select(F.col("fp").alias("a"), F.col("root").alias("b")).unionByName(probed), "near-probed")
     known = components(links).select(F.col("fp").alias("point"), "root")
-    found = rows.select("_key", "digest", "point").join(known.hint("merge"), "point", "left")
-    return found.select(F.col("_key").alias(key), "digest", F.coalesce("root", "point").alias("group"))
+    found = rows.select("_key", "digest", "point", "f0", "f1").join(known.hint("merge"), "point", "left")
+    # a text in no pair is told from others of the same 64-bit point by its check part
+    alone = F.col("root").isNull()
+    group = F.struct(F.coalesce("root", "point").alias("point"), *(F.when(alone, F.col(c)).alias(c) for c in ("f0", "f1")))
+    return found.select(F.col("_key").alias(key), "digest", group.alias("group"))

@@ -3,6 +3,8 @@
 import random
 from collections import defaultdict
 
+import pytest
+
 import corpus_pipeline as pipeline
 from gleaner.llm import langid, neardup, toxicity
 from gleaner.session import table
@@ -86,3 +88,35 @@ def test_near_dedup_repeated_and_null_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     left = [tuple(r) for r in pipeline.near_dedup(spark, df, "").collect()]
     assert sorted(left, key=str) == sorted([(1, a), (5, b), (None, c)], key=str)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_large_groups_lose_no_link(spark, seed, monkeypatch):
+    """Blocks of 5 and two leaders: every link within a candidate group is found, also between parts without a leader."""
+    monkeypatch.setattr(neardup, "LEADERS", 2)
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    texts = {}
+    for k in range(110):
+        words = list(texts[rng.randrange(k)].split() if k and rng.random() < 0.6 else base)
+        for at in rng.sample(range(100), rng.choice((1, 2, 3))):
+            words[at] = f"x{rng.randrange(10**6)}"
+        texts[k] = " ".join(words)
+    want = five_word_groups(texts)
+    assert 1 < len(set(want.values())) < 100
+    got = defaultdict(set)
+    for r in neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), block=5).collect():
+        got[r.group].add(r.doc_id)
+    assert {min(g) for g in got.values()} == set(want.values())
+
+
+def test_table_plan_keeps_candidates_even():
+    """Parts grow with the logarithm of the size, tables so that recall stays."""
+    for n in (10, 50_000, 10**6, 10**9):
+        plan = neardup.table_plan(n)
+        tables, bits = plan.shape
+        assert all(len(set(t)) == bits and max(t) < 64 * neardup.WORDS - 128 for t in plan.tolist())
+        share = 0.85**bits + bits * 0.15 * 0.85 ** (bits - 1)
+        assert 1 - (1 - share) ** tables >= neardup.RECALL
+        if n >= 50_000:
+            assert tables * (bits + 1) * n / 2**bits < 1000
