@@ -218,11 +218,14 @@ def search(queries: DataFrame, lists: DataFrame, k: int, by: str | None = None,
                         continue
                     s = np.round(_matrix(b.column("v").slice(at[0], len(at))) @ m.T, DIGITS) + 0.0
                     few = min(k, len(ids))
-                    order = np.lexsort((np.broadcast_to(place, s.shape), -s), axis=1)[:, :few]
+                    row, col = np.nonzero(s >= np.partition(s, len(ids) - few, axis=1)[:, [len(ids) - few]])
+                    order = np.lexsort((place[col], -s[row, col], row))
+                    row, col = row[order], col[order]
+                    kept = np.arange(len(row)) - np.searchsorted(row, row) < few
+                    row, col = row[kept], col[kept]
                     if least:
-                        order = np.column_stack([order, np.argmin(s, axis=1)])
-                    row = np.repeat(at, order.shape[1])
-                    yield pa.RecordBatch.from_arrays([b.column("query_id").take(pa.array(row)), ids.take(pa.array(order.ravel())), pa.array(np.take_along_axis(s, order, 1).ravel())], names=["query_id", "chunk_id", "score"])
+                        row, col = np.append(row, np.arange(len(at))), np.append(col, np.argmin(s, axis=1))
+                    yield pa.RecordBatch.from_arrays([b.column("query_id").take(pa.array(at[row])), ids.take(pa.array(col)), pa.array(s[row, col])], names=["query_id", "chunk_id", "score"])
 
         both = head.unionByName(tail).repartition("list").sortWithinPartitions("list", "kind")
         return both.mapInArrow(run, f"query_id {q_type}, chunk_id {c_type}, score double")

@@ -109,7 +109,10 @@ def propagate_scores(spark, sf):
     return G.propagate_scores(G.expand_type_refs(f, n), f, n)
 
 
-@query(f"WITH {NODES} SELECT n.chunk_id, concat_ws(' ', p.name, n.name, CASE WHEN n.kind IN ('method', 'parameter') THEN n.content END) AS keywords FROM nod n LEFT JOIN nod p ON n.parent_id = p.chunk_id")
+KEYWORDS = "SELECT n.chunk_id, concat_ws(' ', p.name, n.name, CASE WHEN n.kind IN ('method', 'parameter') THEN n.content END) AS keywords FROM nod n LEFT JOIN nod p ON n.parent_id = p.chunk_id"
+
+
+@query(f"WITH {NODES} {KEYWORDS}")
 def keyword_text(spark, sf):
     return G.keyword_text(nodes(spark, sf))
 

@@ -182,16 +182,23 @@ def persist_documents(spark, sf):
 # -- graph search ---------------------------------------------------------------------------
 
 
-@query()
+ASKED = "qst AS (SELECT chunk_id AS query_id, name || ' ' || content AS question FROM nod WHERE kind IN ('interface', 'method'))"
+SEARCHED = f"""{PG.NODES}, kwt AS MATERIALIZED (SELECT chunk_id, keywords AS text FROM ({PG.KEYWORDS})), {R.bm25(R.camel, ASKED, "SELECT chunk_id, text FROM kwt")}, {R.hashed('dv', 'chunk_id', 'kwt', 'text')}, {R.hashed('qv', 'query_id', 'qst', 'question')},
+ds AS (SELECT query_id, chunk_id, round(sum(qv.s * dv.s), 6) AS score FROM qv JOIN dv USING (plc) GROUP BY 1, 2), d10 AS ({R.topk('ds', 10)}), l10 AS ({R.topk('(SELECT * FROM bm WHERE score > 0)', 10)}),
+fu AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT * FROM d10 UNION ALL SELECT * FROM l10) GROUP BY 1, 2), f5 AS ({R.topk('fu', 5)}), {R.reranked('f5', 'SELECT * FROM kwt', 5)}"""
+
+
+@query(rf"""WITH {SEARCHED}, fnd AS (SELECT query_id, chunk_id, score FROM rr), {PG.REFS.replace('idx', 'tix')}, p1 AS (SELECT query_id, nod.parent_id AS chunk_id FROM exp JOIN nod USING (chunk_id) WHERE nod.parent_id IS NOT NULL), p2 AS (SELECT query_id, nod.parent_id AS chunk_id FROM p1 JOIN nod USING (chunk_id) WHERE nod.parent_id IS NOT NULL),
+grw AS (SELECT query_id, chunk_id FROM exp UNION SELECT * FROM p1 UNION SELECT * FROM p2), bc AS (SELECT query_id, nod.parent_id AS chunk_id, score FROM fnd JOIN nod USING (chunk_id) WHERE nod.parent_id IS NOT NULL UNION ALL SELECT query_id, target, score FROM ref JOIN tix USING (doc_id, tn)), bs AS (SELECT query_id, chunk_id, round(max(score) * 0.7, 6) AS o FROM bc GROUP BY 1, 2)
+SELECT grw.query_id, grw.chunk_id, coalesce(fnd.score, o) AS score FROM grw LEFT JOIN fnd ON fnd.query_id = grw.query_id AND fnd.chunk_id = grw.chunk_id LEFT JOIN bs ON bs.query_id = grw.query_id AND bs.chunk_id = grw.chunk_id""")
 def hybrid_graph_search(spark, sf):
-    """Questions are the interfaces; lexical and dense lists are fused, then grown along names and parents."""
+    """Questions are all interfaces and methods; lexical and dense lists are fused, then grown along names and parents."""
     nodes = materialise(PG.nodes(spark, sf), "graph")
-    numbered = nodes.withColumn("n", F.xxhash64("chunk_id"))
-    queries = numbered.where("kind = 'interface'").select(F.col("n").alias("query_id"), F.concat("name", F.lit(" "), "content").alias("question"))
-    texts = GR.keyword_text(nodes).select(F.xxhash64("chunk_id").alias("chunk_id"), F.col("keywords").alias("content"))
-    lexical = H.bm25_topk_positive(queries, H.bm25_index(texts), 10, camel_tokens)
+    queries = materialise(nodes.where("kind in ('interface', 'method')").select(F.col("chunk_id").alias("query_id"), F.concat("name", F.lit(" "), "content").alias("question")), "graph-questions")
+    texts = materialise(GR.keyword_text(nodes).select("chunk_id", F.col("keywords").alias("content")), "graph-texts")
+    blocks = H.blocks_of(materialise(H.impact_blocks(H.bm25_index(texts)), "graph-blocks"))
+    lexical = H.bm25_topk_positive(queries, blocks, 10, camel_tokens)
     dense = G.flat_ip_topk(G.embed_words(queries, "query_id", "question"), G.embed_words(texts, "chunk_id", "content"), 10)
-    fused = I.rerank(I.rrf([lexical, dense], 5), queries, texts, 5)
-    ranked = materialise(fused.join(numbered.select(F.col("n").alias("chunk_id"), F.col("chunk_id").alias("node")).hint("merge"), "chunk_id").select("query_id", F.col("node").alias("chunk_id"), "score"), "graph-ranked")
+    ranked = materialise(I.rerank(I.rrf([lexical, dense], 5), queries, texts, 5).select("query_id", "chunk_id", "score"), "graph-ranked")
     grown = GR.expand_parents(GR.expand_type_refs(ranked, nodes), nodes)
     return GR.propagate_scores(grown, ranked, nodes)

@@ -83,8 +83,8 @@ def low(c: str) -> str:
 QST = r"""qst AS (SELECT item_id AS query_id, array_to_string(list_slice(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''), 1, 8), ' ') AS question, text AS expected FROM benchmark)"""
 
 
-def bm25(tok) -> str:
-    return f"""{QST}, tk AS (SELECT doc_id AS chunk_id, {tok('text')} AS t FROM documents), sz AS (SELECT count(*) AS docs, avg(len(t)) AS mean_n FROM tk),
+def bm25(tok, questions: str = QST, source: str = "SELECT doc_id AS chunk_id, text FROM documents") -> str:
+    return f"""{questions}, tk AS (SELECT chunk_id, {tok('text')} AS t FROM ({source})), sz AS (SELECT count(*) AS docs, avg(len(t)) AS mean_n FROM tk),
 po AS (SELECT chunk_id, term, n, count(*) AS tf FROM (SELECT chunk_id, len(t) AS n, unnest(t) AS term FROM tk) GROUP BY 1, 2, 3), dfq AS (SELECT term, count(*) AS df FROM po GROUP BY term),
 rw AS (SELECT term, df, ln(docs - df + 0.5) - ln(df + 0.5) AS raw FROM dfq, sz), mr AS (SELECT avg(raw) AS mean_raw FROM rw),
 idx AS (SELECT po.chunk_id, po.term, po.tf, po.n, rw.df, CASE WHEN raw < 0 THEN 0.25 * mean_raw ELSE raw END AS idf FROM po JOIN rw USING (term), mr),
@@ -121,9 +121,9 @@ wr AS (SELECT query_id, chunk_id, round(x + y, 9) AS score, CASE WHEN x > y THEN
 wh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM wr) WHERE rank <= 20)"""
 
 
-def reranked(src: str) -> str:
+def reranked(src: str, source: str = "SELECT doc_id AS chunk_id, text FROM documents", most: int = 10) -> str:
     cov = f"len(list_intersect(list_distinct({low('question')}), {low('text')})) / len(list_distinct({low('question')}))"
-    return f"""pr AS (SELECT s.query_id, s.chunk_id, s.rank, s.score, CASE WHEN s.rank <= 10 THEN round({cov}, 6) END AS pair FROM {src} s JOIN qst ON qst.query_id = s.query_id JOIN documents ON doc_id = s.chunk_id),
+    return f"""pr AS (SELECT s.query_id, s.chunk_id, s.rank, s.score, CASE WHEN s.rank <= {most} THEN round({cov}, 6) END AS pair FROM {src} s JOIN qst ON qst.query_id = s.query_id JOIN ({source}) d ON d.chunk_id = s.chunk_id),
 pm AS (SELECT *, min(pair) OVER (PARTITION BY query_id) AS lo, max(pair) OVER (PARTITION BY query_id) AS hi FROM pr), pn AS (SELECT *, CASE WHEN pair IS NULL THEN NULL WHEN hi - lo < 1e-10 THEN pair ELSE round((pair - lo) / (hi - lo), 6) END AS new FROM pm),
 rr AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY pair IS NULL, new DESC NULLS LAST, rank) AS rank, coalesce(new, score) AS score FROM pn)"""
 

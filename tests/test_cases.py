@@ -252,7 +252,7 @@ def test_impact_blocks_give_the_exhaustive_lists(spark, seed):
         assert whole == pruned
     rows = saved.blocks.collect()
     assert max(len(r.hits) for r in rows) == 2 and max(r.part for r in rows) > 0
-    opened = H.opened_blocks(queries, saved, 1).count()
+    opened = H.opened_blocks(queries, saved, 1).hits.count()
     every = H._asked(queries, H.camel_tokens).join(saved.blocks, "term").count()
     assert opened < every
 
