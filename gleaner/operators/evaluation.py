@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,17 +13,47 @@ from gleaner.operators.vectors import DIGITS
 
 #: Words of the probe that brings needle and text together before containment is checked.
 PROBE = 5
-#: Short needles that are broadcast at once.
+#: Short needles of one automaton.
 LOT = 10_000
 
 
-def label_relevant(chunks: DataFrame, needles: DataFrame) -> DataFrame:
+def holding(chunks: DataFrame, needles: DataFrame) -> DataFrame:
+    """(query_id, chunk_id) where a text holds a needle; needles (query_id, expected), at most LOT of them, become one automaton that reads each text once."""
+    words_of: dict[str, list] = {}
+    for r in needles.select("query_id", "expected").collect():  # at most LOT
+        words_of.setdefault(r.expected, []).append(r.query_id)
+    q_type, c_type = dict(needles.dtypes)["query_id"], dict(chunks.dtypes)["chunk_id"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for w in words_of:
+            automaton.add_word(w, w)
+        automaton.make_automaton()
+        for batch in batches:
+            at, found = [], []
+            for i, text in enumerate(batch.column("content").to_pylist()):
+                own = [q for w in {w for _, w in automaton.iter(text)} for q in words_of[w]] if text and words_of else []
+                at += [i] * len(own)
+                found += own
+            ids = batch.column("chunk_id").take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string() if q_type == "string" else pa.int64()), ids], names=["query_id", "chunk_id"])
+
+    return chunks.select("chunk_id", "content").mapInArrow(read, f"query_id {q_type}, chunk_id {c_type}")
+
+
+def label_relevant(chunks: DataFrame, needles: DataFrame, within: str | None = None) -> DataFrame:
     """(query_id, chunk_id) where a chunk contains the expected text; exact, without a pair loop.
 
-    A needle's inner words stand whole in any text that contains it, so one run of PROBE inner words
-    is an equality key; `contains` then decides. Needles with fewer inner words are looked for in all
-    chunks, a lot of at most LOT of them at a time.
+    within: a column of both; a chunk then counts only if its value is the question's, as with the document that a
+    question is about. Otherwise all chunks are looked through: a needle's inner words stand whole in any
+    text that contains it, so one run of PROBE inner words is an equality key; `contains` then decides.
+    Needles with fewer inner words are looked for by automata, a lot of at most LOT of them in one reading of the texts.
     """
+    if within:
+        pairs = needles.where(F.col("expected") != "").select("query_id", "expected", within).join(chunks.select("chunk_id", "content", within).hint("merge"), within)
+        return pairs.where(F.col("content").contains(F.col("expected"))).select("query_id", "chunk_id").distinct()
     w = needles.select("query_id", "expected", words("expected").alias("w"))
     inner = w.withColumn("w", F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0))))
     long = inner.where(F.size("w") >= PROBE).select("query_id", "expected", F.array_join(F.slice("w", 1, PROBE), " ").alias("probe"))
@@ -33,8 +66,7 @@ def label_relevant(chunks: DataFrame, needles: DataFrame) -> DataFrame:
     lots = -(-short.count() // (LOT // 2))  # lots come out near LOT / 2, so none exceeds LOT
     lot = F.pmod(F.xxhash64("query_id", "expected"), F.lit(max(1, lots)))
     for i in range(lots):
-        near = chunks.join(F.broadcast(short.where(lot == i)), F.col("content").contains(F.col("expected")))
-        out = out.unionByName(near.select("query_id", "chunk_id"))
+        out = out.unionByName(holding(chunks, short.where(lot == i)))
     return out.distinct()
 
 

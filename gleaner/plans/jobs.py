@@ -59,7 +59,7 @@ SELECT event_id, NOT (m.t IS NOT NULL AND k = 1) AS hit FROM e LEFT JOIN m ON m.
 def stream_rate_limit(spark, sf):
     out = scratch_path(spark, "rate-limit")
     jobs.rate_limit_stream(jobs.files_as_stream(spark, f"{sf}/events.parquet"), out, limit=3, seconds=6 * 3600)
-    return spark.read.parquet(out).drop("batch")
+    return jobs.answered(spark, out)
 
 
 @query(RATE)
@@ -75,7 +75,7 @@ def _log(df: DataFrame) -> DataFrame:
 def stream_cache_replay(spark, sf):
     out = scratch_path(spark, "cache-replay")
     jobs.cache_replay_stream(_log(jobs.files_as_stream(spark, f"{sf}/events.parquet")), out, 3 * 86400)
-    return spark.read.parquet(out).drop("batch")
+    return jobs.answered(spark, out)
 
 
 @query(REPLAY)
@@ -87,7 +87,7 @@ def cache_replay(spark, sf):
 def stream_expire_tasks(spark, sf):
     out = scratch_path(spark, "tasks")
     jobs.expire_tasks_stream(jobs.files_as_stream(spark, f"{sf}/events.parquet"), out, hours=48, per_user=5)
-    return jobs.latest(spark, out).select("event_id", "user_id")
+    return jobs.newest_table(spark, out).select("event_id", "user_id")
 
 
 # -- files ----------------------------------------------------------------------------------
@@ -146,7 +146,7 @@ def write_eval_report(spark, sf):
 
 @query("SELECT doc_id AS chunk_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE lang END AS lang FROM documents UNION ALL SELECT doc_id, 'more' FROM documents WHERE doc_id % 3 = 0")
 def persist_index(spark, sf):
-    """Two writes; the second replaces the documents that it holds and leaves the others of their buckets."""
+    """Two writes; the second replaces the documents that it holds and leaves the others."""
     path = scratch_path(spark, "index")
     rows = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "lang")
     specs.persist_index(rows, path)

@@ -284,6 +284,21 @@ def label_relevant(spark, sf):
     return K.label_relevant(chunks(spark, sf), questions(spark, sf))
 
 
+@query(r"""WITH n AS (SELECT item_id AS query_id, array_to_string(list_slice(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''), 1, 3), ' ') AS expected FROM benchmark) SELECT DISTINCT query_id, doc_id AS chunk_id FROM n JOIN documents ON contains(text, expected) WHERE expected <> ''""")
+def label_relevant_short(spark, sf):
+    """Needles of three words, which have no run of inner words to join on."""
+    needles = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(words("text"), 1, 3), " ").alias("expected"))
+    return K.label_relevant(chunks(spark, sf), needles)
+
+
+@query(r"""WITH n AS (SELECT conv_id, turn, array_to_string(list_slice(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''), 1, 2), ' ') AS expected FROM conversations) SELECT DISTINCT n.conv_id * 100 + n.turn AS query_id, c.conv_id * 100 + c.turn AS chunk_id FROM n JOIN conversations c ON c.conv_id = n.conv_id AND contains(c.text, expected) WHERE expected <> ''""")
+def label_relevant_within(spark, sf):
+    """The first two words of each turn in the turns of its own conversation."""
+    turns = table(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("chunk_id"), "conv_id", F.col("text").alias("content"))
+    needles = turns.select(F.col("chunk_id").alias("query_id"), "conv_id", F.array_join(F.slice(words("content"), 1, 2), " ").alias("expected"))
+    return K.label_relevant(turns, needles, within="conv_id")
+
+
 MET = f"""{SIMS}, t AS ({topk('sims', 10, 's')}), rel AS (SELECT query_id, chunk_id FROM sims WHERE ql = cl), h AS (SELECT query_id, count(DISTINCT chunk_id) AS hits, min(rank) AS first FROM t JOIN rel USING (query_id, chunk_id) GROUP BY 1),
 a AS (SELECT query_id, count(DISTINCT chunk_id) AS n FROM rel GROUP BY 1), met AS (SELECT q.query_id, coalesce(hits, 0) AS hits, coalesce(n, 0) AS n, first FROM (SELECT DISTINCT query_id FROM sims) q LEFT JOIN h USING (query_id) LEFT JOIN a USING (query_id))"""
 

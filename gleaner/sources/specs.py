@@ -5,12 +5,12 @@ from __future__ import annotations
 from importlib.util import find_spec
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import listed
 from gleaner.session import materialise
+from gleaner.sources import segments
 
 #: The verbs of a path.
 VERBS = ("get", "post", "put", "delete", "patch", "options", "head")
@@ -104,41 +104,18 @@ def write_eval_report(summary: DataFrame, path: str, results: DataFrame | None =
         question_report(results).orderBy("question").select(F.explode("lines")).write.mode("overwrite").text(f"{path}/questions-markdown")
 
 
-BUCKETS = 16
-
-
 def persist_index(rows: DataFrame, path: str, key: str = "chunk_id", replaced: DataFrame | None = None) -> None:
-    """Write rows by bucket of a key. Keys that are written again are replaced, all others stay.
+    """Write rows by a key. Keys that are written again are replaced, all others stay and their files aren't touched.
 
-    replaced: keys (column key) whose old rows go even where no new row comes. Buckets that any of these
-    fall into are read, freed of them and put together with the new rows in the shared folder first, then
-    replaced; other buckets are not touched. Rows without a key are left out. One writer at a time. A row
-    of nulls stands for a bucket left empty, and in bucket -1 for the columns of an index without rows.
+    replaced: keys (column key) whose old rows go even where no new row comes. Rows without a key are left
+    out. One writer at a time.
     """
-    spark = rows.sparkSession
-    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
-    rows = materialise(rows.where(F.col(key).isNotNull()).withColumn("bucket", bucket), "index-new")
-    empty = lambda buckets: buckets.select(*(F.col(c).cast("int") if c == "bucket" else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns))
-    try:
-        old = spark.read.parquet(path).where(F.col(key).isNotNull())
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        merged = rows.unionByName(empty(spark.range(1).select(F.lit(-1).alias("bucket"))))
-    else:
-        gone = rows.select(key, "bucket").distinct()
-        if replaced is not None:
-            gone = materialise(gone.unionByName(replaced.select(key).withColumn("bucket", bucket)).distinct(), "index-gone")
-        touched = gone.select("bucket").distinct()  # at most BUCKETS rows
-        kept = old.join(F.broadcast(touched), "bucket", "left_semi").join(gone.select(key).hint("merge"), key, "left_anti")
-        merged = materialise(rows.unionByName(kept.select(*rows.columns)), "index-merged")
-        merged = merged.unionByName(empty(touched.join(F.broadcast(merged.select("bucket").distinct()), "bucket", "left_anti")))
-    merged.repartition(BUCKETS, "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    segments.write(rows, path, key, replaced)
 
 
 def load_index(spark: SparkSession, path: str, owners: DataFrame | None = None, key: str = "chunk_id") -> DataFrame:
     """The rows of a persisted index, with owners (key and any columns) only those of known owners."""
-    rows = spark.read.parquet(path).where(F.col(key).isNotNull()).drop("bucket")
+    rows = segments.read(spark, path, key)
     return rows if owners is None else rows.join(owners.hint("merge"), key)
 
 

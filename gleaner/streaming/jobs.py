@@ -1,19 +1,22 @@
 """Structured Streaming jobs, each with a batch twin where one exists.
 
-Every job runs with availableNow over what has arrived, keeps its progress beside its output, and
-hands bad rows on with an error instead of failing.
+Every job runs with availableNow over what has arrived and keeps its progress beside its output. Ingest hands
+rows that fail on with their error; jobs by key read a batch in time order and keep a small state for each key as a
+table beside the answers, so that a key with any number of rows is one stream through a task.
 """
 
 from __future__ import annotations
 
+import time
 from collections import deque
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.session import materialise
@@ -34,34 +37,77 @@ def files_as_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def ingest(documents: DataFrame, chunker: Callable[[DataFrame], DataFrame], out: str, embed: Callable[[DataFrame], DataFrame] | None = None, attempts: int = 3) -> None:
+def guarded(f: Callable[[pd.Series], pd.Series], returns: str) -> Callable[[Column], Column]:
+    """A vectorised function as one that gives struct<value, error>: where a batch fails, its rows are tried one by one, and those that fail have the error."""
+
+    def run(col: pd.Series) -> pd.DataFrame:
+        try:
+            return pd.DataFrame({"value": pd.Series(list(f(col)), dtype=object), "error": None})
+        except Exception:  # whatever the given function raises belongs to its row
+            out: list[tuple] = []
+            for i in range(len(col)):
+                try:
+                    out.append((f(col.iloc[i : i + 1]).iloc[0], None))
+                except Exception as e:
+                    out.append((None, f"{type(e).__name__}: {e}"[:500]))
+            return pd.DataFrame(out, columns=["value", "error"], dtype=object)
+
+    return F.pandas_udf(run, f"value {returns}, error string")
+
+
+#: Jobs that look for the rows that make a whole batch fail, at most.
+SEARCHES = 64
+
+
+def ingest(documents: DataFrame, chunker: Callable[[DataFrame], DataFrame], out: str, embed: Callable[[DataFrame], DataFrame] | None = None, attempts: int = 3, wait: float = 1.0) -> None:
     """Chunk and embed arriving documents into a table by document; one that arrives again replaces what stood for it.
 
-    embed adds a column embedding to chunks. A batch is tried up to `attempts` times; if it fails each
-    time, its documents stand with status failed and the error, and the stream goes on. A document
+    embed adds a column embedding to chunks, and may add a column error (see guarded): a document with an
+    error in one of its chunks is tried again alone, up to `attempts` times, `wait` seconds after the first try and twice as
+    long after each further one; then it stands with status failed and its error. Where a row makes the
+    whole job fail, the batch is halved until the rows that do are alone, in at most SEARCHES jobs; what can't be told
+    apart then fails together. Each failed try is a row of the folder dead-letters (doc_id, attempt, error). A document
     without text stands as failed, too; rows without an id, which can't be replaced, go to a folder
     of their own. A batch that is run again replaces itself.
     """
     add = embed or (lambda chunks: chunks.withColumn("embedding", F.lit(None).cast("array<double>")))
     result = ("doc_id", "chunk_index", "content", "embedding", "status", "error")
 
-    def failed(rows: DataFrame, error: str) -> DataFrame:
+    def failed(rows: DataFrame, error: Column) -> DataFrame:
         empty = [F.lit(None).cast(t).alias(c) for c, t in (("chunk_index", "int"), ("content", "string"), ("embedding", "array<double>"))]
-        return rows.select("doc_id", *empty, F.lit("failed").alias("status"), F.lit(error).alias("error")).distinct()
+        return rows.select("doc_id", *empty, F.lit("failed").alias("status"), error.alias("error")).distinct()
+
+    def tried(docs: DataFrame, left: list[int]) -> list[DataFrame]:
+        """Tables of chunks with an error, null where all is well, of all documents."""
+        try:
+            chunks = add(chunker(docs))
+            error = F.col("error") if "error" in chunks.columns else F.lit(None)
+            rows = chunks.withColumns({"chunk_index": F.col("chunk_index").cast("int"), "embedding": F.col("embedding").cast("array<double>"), "error": error.cast("string"), "status": F.lit("completed")})
+            left[0] -= 1
+            return [materialise(rows.select(*result), "ingest-tried")]
+        except (PySparkException, Py4JJavaError) as e:
+            half = F.pmod(F.xxhash64("doc_id", F.lit(left[0])), F.lit(2)) == 0
+            if left[0] > 0 and docs.select("doc_id").distinct().limit(2).count() > 1:
+                return [t for side in (half, ~half) for t in tried(docs.where(side), left)]
+            return [materialise(failed(docs, F.lit(str(e).partition("\n")[0][:500])), "ingest-failed")]
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.where("doc_id is null").write.mode("overwrite").parquet(f"{out}/rejected/batch={batch_id}")
-        known = batch.where("doc_id is not null")
-        chunks = add(chunker(known.where("text is not null"))).withColumns({"chunk_index": F.col("chunk_index").cast("int"), "embedding": F.col("embedding").cast("array<double>"), "status": F.lit("completed"), "error": F.lit(None).cast("string")})
-        rows = chunks.select(*result).unionByName(failed(known.where("text is null"), "no text"))
-        ids = known.select("doc_id").distinct()
-        for attempt in range(attempts):
-            try:
-                persist_index(rows, f"{out}/chunks", "doc_id", ids)
-                return
-            except (PySparkException, Py4JJavaError) as e:
-                error = str(e).partition("\n")[0][:500]
-        persist_index(failed(known, error), f"{out}/chunks", "doc_id", ids)
+        known = materialise(batch.where("doc_id is not null"), "ingest-batch")
+        todo, done = known.where("text is not null"), failed(known.where("text is null"), F.lit("no text"))
+        for attempt in range(1, attempts + 1):
+            rows = reduce(DataFrame.unionByName, tried(todo, [SEARCHES]))
+            bad = materialise(rows.where("error is not null").groupBy("doc_id").agg(F.min("error").alias("error")), "ingest-bad")
+            done = done.unionByName(rows.join(bad.select("doc_id").hint("merge"), "doc_id", "left_anti"))
+            if bad.isEmpty():
+                break
+            bad.select("doc_id", F.lit(attempt).alias("attempt"), "error").write.mode("overwrite").parquet(f"{out}/dead-letters/batch={batch_id}/try={attempt}")
+            if attempt == attempts:
+                done = done.unionByName(failed(bad, F.col("error")))
+            else:
+                time.sleep(wait * 2 ** (attempt - 1))
+                todo = todo.join(bad.select("doc_id").hint("merge"), "doc_id", "left_semi")
+        persist_index(done.select(*result), f"{out}/chunks", "doc_id", known.select("doc_id").distinct())
 
     run(documents, write, out)
 
@@ -71,23 +117,62 @@ def ingested(spark: SparkSession, out: str) -> DataFrame:
     return load_index(spark, f"{out}/chunks", key="doc_id")
 
 
+def _batches(spark: SparkSession, out: str) -> list[int]:
+    """The finished batches of a folder, in order."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(out)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(int(p.getName().removeprefix("batch=")) for p in found if p.getName().startswith("batch=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def _remove(spark: SparkSession, out: str, batches: list[int]) -> None:
+    for n in batches:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/batch={n}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _of(spark: SparkSession, out: str, batches: list[int]) -> DataFrame:
+    return spark.read.option("basePath", out).parquet(*(f"{out}/batch={n}" for n in batches))
+
+
+#: Batches of changes after which they become one table.
+MERGED = 16
+
+
 def progress(events: DataFrame, out: str, current: DataFrame | None = None) -> None:
     """The latest event of each user, kept up to date: user_id, ts, event_type.
 
     With current (user_id, config_id), events of another configuration than the user's current one are
-    ignored. Each batch writes a table of its own, so a reader never meets a half-written one.
+    ignored. A batch writes the users that it changes; after MERGED of them they become one table and are removed.
     """
+    spark = events.sparkSession
     if current is not None:
         events = events.join(current.select("user_id", "config_id").hint("merge"), ["user_id", "config_id"], "left_semi")
-    latest = events.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("m")).select("user_id", "m.ts", "m.event_type")
-    run(latest, lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"), out, mode="complete")
+    newest = events.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("m")).select("user_id", "m.ts", "m.event_type")
+
+    def write(batch: DataFrame, n: int) -> None:
+        before = _batches(spark, out)
+        if n in before:  # done before the stream could note it
+            return
+        if len(before) >= MERGED:
+            batch = materialise(batch.unionByName(latest(spark, out).join(batch.select("user_id").hint("merge"), "user_id", "left_anti")), "progress")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
+        if len(before) >= MERGED:
+            _remove(spark, out, before)
 
+    run(newest, write, out, mode="update")
 
-def latest(spark: SparkSession, out: str) -> DataFrame:
-    """The newest of the tables that a job wrote batch by batch."""
-    rows = spark.read.parquet(out)
-    newest = rows.agg(F.max("batch").alias("batch"))
-    return rows.join(F.broadcast(newest), "batch", "left_semi").drop("batch")
+
+def latest(spark: SparkSession, out: str, key: str = "user_id") -> DataFrame:
+    """Of each key what the newest batch says that has it."""
+    rows = _of(spark, out, _batches(spark, out))
+    names = [c for c in rows.columns if c != "batch"]
+    return rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*names), "batch").alias("m")).select("m.*")
+
+
+def newest_table(spark: SparkSession, out: str) -> DataFrame:
+    """The newest of the whole tables that a job wrote batch by batch."""
+    return _of(spark, out, _batches(spark, out)[-1:]).drop("batch")
 
 
 def _admit(limit: int, seconds: int, stamps: list[float], log: deque) -> list[bool]:
@@ -103,55 +188,97 @@ def _admit(limit: int, seconds: int, stamps: list[float], log: deque) -> list[bo
     return out
 
 
-def rate_limit_stream(events: DataFrame, out: str, limit: int = 30, seconds: int = 60) -> None:
-    """accepted for each request by (user, kind); the state is the accepted times of the window, at most `limit`."""
-
-    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        log = deque(state.get[0] if state.exists else [])
-        pdf = pd.concat(list(frames)).sort_values(["t", "event_id"])
-        pdf["accepted"] = _admit(limit, seconds, pdf["t"].tolist(), log)
-        state.update((list(log),))
-        yield pdf[["event_id", "accepted"]]
+Fold = Callable[[list[float] | None], tuple[Callable[[dict], dict], Callable[[], list[float]]]]
 
-    timed = events.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").cast("double").alias("t"))
-    admitted = timed.groupBy("user_id", "event_type").applyInPandasWithState(step, "event_id long, accepted boolean", "log array<double>", "append", "NoTimeout")
-    run(admitted, lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"), out)
 
+def _folded(events: DataFrame, keys: list[str], fold: Fold, answer: str, before: DataFrame | None = None, state: bool = False) -> DataFrame:
+    """Rows of each key in time order through a fold that holds little state, however many rows a key has.
 
-def _folded(events: DataFrame, keys: list[str], fold: Callable[[], Callable[[dict], dict]], schema: str) -> DataFrame:
-    """Rows of each key in time order through a fold that holds little state, however many rows a key has."""
+    fold takes what was kept of a key (null at first) and gives a function of a row and one that tells what to keep. With
+    before (keys, kept, newest) a key goes on from there, and with state the result also has a row for each key: kept, and
+    newest, the time of its last row.
+    """
+    kinds = dict(events.dtypes)
+    names = [c.split()[0] for c in answer.split(", ")]
+    extra = [*(f"{k} {kinds[k]}" for k in keys), "kept array<double>", "newest double"] if state else []
+    rows = events.select(*events.columns, F.lit(None).cast("array<double>").alias("kept"), F.lit(1).alias("_turn"))
+    if before is not None:
+        rows = rows.unionByName(before.select(*keys, "kept", F.col("newest").alias("t"), F.lit(0).alias("_turn")), allowMissingColumns=True)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, step = None, None
+        key, step, keep, newest, schema = None, None, None, None, None
+        end = lambda: dict(zip(keys, key, strict=True)) | {"kept": keep(), "newest": newest}
         for batch in batches:
-            rows = []
+            out = []
+            kept_schema = {f.name: f.type for f in batch.schema}
+            schema = pa.schema([(c, {"long": pa.int64(), "boolean": pa.bool_()}[t]) for c, t in (x.split() for x in answer.split(", "))] + ([(k, kept_schema[k]) for k in keys] + [("kept", pa.list_(pa.float64())), ("newest", pa.float64())] if state else []))
             for row in batch.to_pylist():
                 own = tuple(row[k] for k in keys)
                 if own != key or step is None:
-                    key, step = own, fold()
-                rows.append(step(row))
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows)
+                    if state and step is not None:
+                        out.append(end())
+                    key, newest = own, row["t"]
+                    step, keep = fold(row["kept"])
+                if row["_turn"]:
+                    out.append(step(row))
+                newest = row["t"] if newest is None or (row["t"] is not None and row["t"] > newest) else newest
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+        if state and step is not None:
+            yield pa.RecordBatch.from_pylist([end()], schema=schema)
+
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "_turn", "t", "event_id")
+    return dealt.mapInArrow(go, ", ".join([answer, *extra])).select(*names, *(["kept", "newest", *keys] if state else []))
+
+
+def _kept_run(events: DataFrame, out: str, keys: list[str], fold: Fold, answer: str, seconds: float) -> None:
+    """A fold over a stream: answers by batch, and the state of all keys that a later row can meet, as a table of the newest batch."""
+    spark, states = events.sparkSession, f"{out}/states"
+    first = answer.split()[0]
 
-    return events.repartition(*keys).sortWithinPartitions(*keys, "t", "event_id").mapInArrow(go, schema)
+    def write(batch: DataFrame, n: int) -> None:
+        old = [b for b in _batches(spark, states) if b < n]
+        before = _of(spark, states, old[-1:]).drop("batch") if old else None
+        both = materialise(_folded(batch, keys, fold, answer, before, state=True), "folded")
+        kept = both.where("kept is not null")
+        now = kept.agg(F.max("newest").alias("now"))  # one row
+        kept.select(*keys, "kept", "newest").join(F.broadcast(now), how="cross").where(F.col("newest") >= F.col("now") - seconds).drop("now").write.mode("overwrite").parquet(f"{states}/batch={n}")
+        both.where(f"{first} is not null or kept is null").select(*(c.split()[0] for c in answer.split(", "))).write.mode("overwrite").parquet(f"{out}/answers/batch={n}")
+        _remove(spark, states, old[:-1])
 
+    run(events, write, out)
 
-def rate_limit(events: DataFrame, limit: int = 30, seconds: int = 60) -> DataFrame:
-    """Batch twin of rate_limit_stream."""
 
-    def fold() -> Callable[[dict], dict]:
-        log: deque = deque()
-        return lambda row: {"event_id": row["event_id"], "accepted": _admit(limit, seconds, [row["t"]], log)[0]}
+def answered(spark: SparkSession, out: str) -> DataFrame:
+    """The answers of all batches."""
+    return _of(spark, f"{out}/answers", _batches(spark, f"{out}/answers")).drop("batch")
 
-    timed = events.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").cast("double").alias("t"))
-    return _folded(timed, ["user_id", "event_type"], fold, "event_id long, accepted boolean")
 
+def _limited(limit: int, seconds: int) -> Fold:
+    def fold(kept: list[float] | None):
+        log = deque(kept or [])
+        return lambda row: {"event_id": row["event_id"], "accepted": _admit(limit, seconds, [row["t"]], log)[0]}, lambda: list(log)
 
-def cache_replay(log: DataFrame, ttl: float) -> DataFrame:
-    """hit for each query of a log (event_id, key, ts): a miss opens a window of ttl seconds, hits don't extend it."""
+    return fold
+
+
+def _requests(events: DataFrame) -> DataFrame:
+    return events.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").cast("double").alias("t"))
+
+
+def rate_limit(events: DataFrame, limit: int = 30, seconds: int = 60) -> DataFrame:
+    """accepted for each request by (user, kind): at most `limit` accepted ones within `seconds`."""
+    return _folded(_requests(events), ["user_id", "event_type"], _limited(limit, seconds), "event_id long, accepted boolean")
 
-    def fold() -> Callable[[dict], dict]:
-        until = [float("-inf")]
+
+def rate_limit_stream(events: DataFrame, out: str, limit: int = 30, seconds: int = 60) -> None:
+    """rate_limit over a stream; the state of a key is the accepted times of the window, at most `limit`, kept for as long as they count."""
+    _kept_run(_requests(events), out, ["user_id", "event_type"], _limited(limit, seconds), "event_id long, accepted boolean", seconds)
+
+
+def _replayed(ttl: float) -> Fold:
+    def fold(kept: list[float] | None):
+        until = list(kept or [float("-inf")])
 
         def step(row: dict) -> dict:
             hit = row["t"] < until[0]
@@ -159,29 +286,23 @@ def cache_replay(log: DataFrame, ttl: float) -> DataFrame:
                 until[0] = row["t"] + ttl
             return {"event_id": row["event_id"], "hit": hit}
 
-        return step
+        return step, lambda: list(until)
 
-    timed = log.select("event_id", "key", F.col("ts").cast("timestamp").cast("double").alias("t"))
-    return _folded(timed, ["key"], fold, "event_id long, hit boolean")
+    return fold
 
 
-def cache_replay_stream(log: DataFrame, out: str, ttl: float) -> None:
-    """cache_replay over a stream; the state of a key is the end of its window."""
+def _queries(log: DataFrame) -> DataFrame:
+    return log.select("event_id", "key", F.col("ts").cast("timestamp").cast("double").alias("t"))
 
-    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        until = state.get[0] if state.exists else float("-inf")
-        pdf = pd.concat(list(frames)).sort_values(["t", "event_id"])
-        hits = []
-        for t in pdf["t"]:
-            hits.append(t < until)
-            if not hits[-1]:
-                until = t + ttl
-        state.update((until,))
-        yield pdf.assign(hit=hits)[["event_id", "hit"]]
 
-    timed = log.select("event_id", "key", F.col("ts").cast("timestamp").cast("double").alias("t"))
-    replayed = timed.groupBy("key").applyInPandasWithState(step, "event_id long, hit boolean", "until double", "append", "NoTimeout")
-    run(replayed, lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"), out)
+def cache_replay(log: DataFrame, ttl: float) -> DataFrame:
+    """hit for each query of a log (event_id, key, ts): a miss opens a window of ttl seconds, hits don't extend it."""
+    return _folded(_queries(log), ["key"], _replayed(ttl), "event_id long, hit boolean")
+
+
+def cache_replay_stream(log: DataFrame, out: str, ttl: float) -> None:
+    """cache_replay over a stream; the state of a key is the end of its window, kept for ttl after its last query."""
+    _kept_run(_queries(log), out, ["key"], _replayed(ttl), "event_id long, hit boolean", ttl)
 
 
 def expire_tasks(tasks: DataFrame, hours: int = 1, per_user: int = 50, most: int = 1000) -> DataFrame:
@@ -203,14 +324,10 @@ def expire_tasks_stream(tasks: DataFrame, out: str, hours: int = 1, per_user: in
     once = tasks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", f"{hours} hours").dropDuplicatesWithinWatermark(["event_id"])
 
     def write(batch: DataFrame, n: int) -> None:
-        try:  # a batch that is run again must not read its own output
-            rows = spark.read.parquet(out)
-            before = rows.where(F.col("batch") < n)
-            before = before.join(F.broadcast(before.agg(F.max("batch").alias("batch"))), "batch", "left_semi").drop("batch")
-            batch = batch.unionByName(before)
-        except AnalysisException as e:
-            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
+        old = [b for b in _batches(spark, out) if b < n]  # a batch that is run again must not read its own output
+        if old:
+            batch = batch.unionByName(_of(spark, out, old[-1:]).drop("batch"))
         materialise(expire_tasks(batch, hours, per_user, most), "tasks").write.mode("overwrite").parquet(f"{out}/batch={n}")
+        _remove(spark, out, old[:-1])
 
     run(once, write, out)

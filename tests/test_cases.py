@@ -204,7 +204,7 @@ def test_tasks_live_on_over_batches(spark):
         for more in parts[1:]:
             whole = whole.unionByName(more)
         want = {r.event_id for r in jobs.expire_tasks(whole, hours=2, per_user=30, most=70).collect()}
-        assert {r.event_id for r in jobs.latest(spark, out).collect()} == want and len(want) == 70
+        assert {r.event_id for r in jobs.newest_table(spark, out).collect()} == want and len(want) == 70
 
 
 def test_dedup_prefers_a_vector(spark):
@@ -291,3 +291,92 @@ def test_lists_are_visited_by_bound(spark, by):
     assert dense.search(queries.where("1 = 0"), lists, 5, by).hits.count() == 0
     nothing = materialise(dense.vector_lists(chunks.where("1 = 0"), by), "lists")
     assert dense.search(queries, nothing, 5, by).hits.count() == 0
+
+
+def test_one_raising_row_fails_alone(spark):
+    """One text of 1 000 makes the embedder raise: 999 documents stand, it has failed after three spaced tries."""
+    import time
+
+    out, path = scratch_path(spark, "ingest"), scratch_path(spark, "in")
+    spark.createDataFrame([(i, f"text {i} " + "word " * 30) for i in range(1000)], DOC).write.parquet(path)
+
+    def embedder(texts):
+        if texts.str.startswith("text 77 ").any():
+            raise ValueError("no vector")
+        return texts.map(lambda t: [float(len(t))])
+
+    vector = jobs.guarded(embedder, "array<double>")
+    embed = lambda chunks: chunks.withColumn("_v", vector("content")).withColumns({"embedding": F.col("_v.value"), "error": F.col("_v.error")}).drop("_v")
+    began = time.perf_counter()
+    jobs.ingest(spark.readStream.schema(DOC).parquet(path), C.chunk_token_window, out, embed, wait=0.5)
+    assert time.perf_counter() - began > 1.5
+    rows = jobs.ingested(spark, out).collect()
+    assert len({r.doc_id for r in rows if r.status == "completed" and len(r.embedding) == 1}) == 999
+    assert [(r.doc_id, r.error, r.content) for r in rows if r.status == "failed"] == [(77, "ValueError: no vector", None)]
+    letters = spark.read.parquet(f"{out}/dead-letters").collect()
+    assert sorted((r.doc_id, r.attempt) for r in letters) == [(77, 1), (77, 2), (77, 3)]
+
+
+def test_a_row_that_breaks_the_job_is_found(spark):
+    out, path = scratch_path(spark, "ingest"), scratch_path(spark, "in")
+    spark.createDataFrame([(i, "word " * 30) for i in range(40)], DOC).write.parquet(path)
+
+    def chunker(docs):
+        return C.chunk_token_window(docs).withColumn("content", F.when(F.col("doc_id") == 7, F.raise_error(F.lit("broken"))).otherwise(F.col("content")))
+
+    jobs.ingest(spark.readStream.schema(DOC).parquet(path), chunker, out, attempts=1)
+    assert {(r.doc_id, r.status) for r in jobs.ingested(spark, out).collect()} == {(i, "failed" if i == 7 else "completed") for i in range(40)}
+
+
+def test_keyed_streams_over_batches_with_a_hot_key(spark):
+    """State goes from batch to batch; a key with most rows streams through; answers are those of the batch twins."""
+    path, outs = scratch_path(spark, "in"), [scratch_path(spark, n) for n in ("limits", "replays")]
+    schema = "event_id long, user_id long, event_type string, ts timestamp"
+    rows = spark.range(60_000).select(F.col("id").alias("event_id"), F.when(F.col("id") % 5 < 4, 1).otherwise(F.col("id") % 97).cast("long").alias("user_id"), F.lit("view").alias("event_type"), (F.col("id") * 0.7).cast("timestamp").alias("ts"))
+    for lo, hi in ((0, 20_000), (20_000, 20_010), (20_010, 60_000)):
+        rows.where(f"event_id >= {lo} and event_id < {hi}").write.mode("append").parquet(path)
+        stream = spark.readStream.schema(schema).parquet(path)
+        jobs.rate_limit_stream(stream, outs[0], limit=5, seconds=60)
+        jobs.cache_replay_stream(stream.withColumn("key", F.col("user_id")), outs[1], 100)
+    twins = jobs.rate_limit(rows, 5, 60), jobs.cache_replay(rows.withColumn("key", F.col("user_id")), 100)
+    for out, twin in zip(outs, twins, strict=True):
+        assert jobs.answered(spark, out).exceptAll(twin).isEmpty() and jobs.answered(spark, out).count() == 60_000
+        states = spark.read.parquet(f"{out}/states")
+        assert states.select("batch").distinct().count() <= 2 and states.agg(F.max(F.size("kept")).alias("n")).first().n <= 5
+
+
+def test_progress_is_merged(spark, monkeypatch):
+    monkeypatch.setattr(jobs, "MERGED", 2)
+    path, out = scratch_path(spark, "in"), scratch_path(spark, "progress")
+    schema = "event_id long, user_id long, event_type string, ts timestamp"
+    for n in range(5):
+        spark.createDataFrame([(n * 10 + u, u, f"e{n}", float(n)) for u in range(n, 6)], "event_id long, user_id long, event_type string, s double").select("event_id", "user_id", "event_type", F.col("s").cast("timestamp").alias("ts")).write.mode("append").parquet(path)
+        jobs.progress(spark.readStream.schema(schema).parquet(path), out)
+        assert len(jobs._batches(spark, out)) <= 3
+    assert {(r.user_id, r.event_type) for r in jobs.latest(spark, out).collect()} == {(u, f"e{min(u, 4)}") for u in range(6)}
+
+
+def test_index_takes_single_documents(spark):
+    """A write costs what it brings; old rows give way by key; what an unfinished write left isn't read; segments are few."""
+    import pathlib
+
+    from gleaner.sources import segments, specs
+
+    path = scratch_path(spark, "index")
+    folder = pathlib.Path(path.removeprefix("file:"))
+    size = lambda: {f: f.stat().st_size for f in folder.rglob("*.parquet")}
+    specs.persist_index(spark.range(20_000).select(F.expr("id div 2").alias("chunk_id"), F.md5(F.col("id").cast("string")).alias("v")), path)
+    first = size()
+    want = {(i // 2): None for i in range(20_000)}
+    for i in (5, 6, 5, 7, 8, 9):
+        specs.persist_index(spark.createDataFrame([(i, f"new {i}"), (None, "x")], "chunk_id long, v string"), path)
+    now = size()
+    assert all(now[f] == n for f, n in first.items())  # untouched
+    assert sum(n for f, n in now.items() if f not in first) < 0.05 * sum(first.values())
+    assert len(segments.numbers(spark, path)) <= 4
+    specs.persist_index(spark.createDataFrame([], "chunk_id long, v string"), path, replaced=spark.createDataFrame([(5,), (99,)], "chunk_id long"))
+    spark.createDataFrame([(6, "never")], "chunk_id long, v string").write.parquet(f"{path}/rows/segment=77")  # lost before its keys
+    rows = specs.load_index(spark, path).collect()
+    assert len(rows) == 20_000 - 2 * 5 + 5 - 1 - 2 and {r.v for r in rows if r.chunk_id in (5, 6, 7, 99)} == {"new 6", "new 7"}
+    segments.compact(spark, path, "chunk_id")
+    assert len(segments.numbers(spark, path)) == 1 and sorted(map(tuple, specs.load_index(spark, path).collect())) == sorted(map(tuple, rows))
