@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.functions.text import strip
 from gleaner.operators.vectors import DIGITS
 
 NODE = ["doc_id", "chunk_id", "parent_id", "kind", "level", "name", "content"]
@@ -133,13 +134,6 @@ def propagate_scores(expanded: DataFrame, ranked: DataFrame, nodes: DataFrame, f
     return rows.select("query_id", "chunk_id", F.coalesce("score", "from_others").alias("score"))
 
 
-def keyword_text(nodes: DataFrame) -> DataFrame:
-    """Names and types of a node with its parent's name in front, for the lexical index."""
-    up = nodes.select(F.col("chunk_id").alias("_c"), F.col("name").alias("parent_name"))
-    rows = nodes.join(up.hint("merge"), nodes.parent_id == F.col("_c"), "left")
-    return rows.select("chunk_id", F.concat_ws(" ", "parent_name", "name", F.when(F.col("kind").isin("method", "parameter"), F.col("content"))).alias("keywords"))
-
-
 def collect_names(found: DataFrame, nodes: DataFrame) -> DataFrame:
     """Per query the distinct function and type names among its nodes, sorted."""
     rows = found.join(nodes.select("chunk_id", "kind", "name").hint("merge"), "chunk_id")
@@ -232,12 +226,115 @@ def suggest_queries(chunks: DataFrame, most: int = 10) -> DataFrame:
     return rows.withColumn("n", n).where(F.col("n") <= most).select("doc_id", F.col("n").cast("long").alias("place"), "question")
 
 
-def format_node_text(nodes: DataFrame, detailed: bool = True) -> DataFrame:
-    """chunk_id, text: kind and name with the parent's name, detailed also with the content."""
-    up = nodes.select(F.col("chunk_id").alias("_c"), F.col("name").alias("_parent"))
-    rows = nodes.join(up.hint("merge"), nodes.parent_id == F.col("_c"), "left")
-    head = F.concat(F.initcap(F.replace("kind", F.lit("_"), F.lit(" "))), F.lit(": "), "name", F.coalesce(F.concat(F.lit(" of "), "_parent"), F.lit("")))
-    return rows.select("chunk_id", (F.concat(head, F.lit("\n"), "content") if detailed else head).alias("text"))
+def _element(df: DataFrame, array: str) -> set[str]:
+    """The field names of an array's structs."""
+    return set(df.schema[array].dataType.elementType.names)
+
+
+def node_metadata(interfaces: DataFrame, enums: DataFrame, **others: DataFrame) -> DataFrame:
+    """chunk_id, kind and meta of build_chunk_graph's nodes, meta being a VARIANT with what the entity says, in fields of its kind.
+
+    Takes what build_chunk_graph takes; entities, methods, parameters, values and fields may also have a description,
+    properties also an access.
+    """
+    doc, c, none = F.col("doc_id"), F.col, F.lit(None).cast("string")
+    own = lambda df, name: c(name) if name in df.columns else none
+    part = lambda x, name, names: x[name] if name in names else none
+    row = lambda df, kind, path, **meta: df.select(path_id(doc, *path).alias("chunk_id"), F.lit(kind).alias("kind"), F.parse_json(F.to_json(F.struct(*(v.alias(k) for k, v in meta.items())))).alias("meta"))
+    m_names = _element(interfaces, "methods")
+    p_names = set(interfaces.schema["methods"].dataType.elementType["params"].dataType.elementType.names)
+    props = others.get("properties")
+    held = None if props is None else props.where("interface is not null").groupBy("doc_id", c("interface").alias("name")).agg(F.array_sort(F.collect_list(c("name"))).alias("_props"))
+    top = interfaces.withColumn("_props", F.lit(None).cast("array<string>")) if held is None else interfaces.join(held.hint("merge"), ["doc_id", "name"], "left")
+    out = [row(top, "interface", [c("name")], interface_name=c("name"), description=own(interfaces, "description"), methods=F.transform("methods", lambda m: m["name"]), properties=c("_props"))]
+    m = interfaces.select("doc_id", c("name").alias("i"), F.explode("methods").alias("m"))
+    told = lambda p: F.struct(p["name"].alias("name"), p["type"].alias("type"), part(p, "description", p_names).alias("description"))
+    out.append(row(m, "method", [c("i"), c("m.name")], interface_name=c("i"), name=c("m.name"), return_type=c("m.returns"), description=part(c("m"), "description", m_names), parameters=F.transform("m.params", told)))
+    p = m.select("doc_id", "i", c("m.name").alias("f"), F.explode("m.params").alias("p"))
+    out.append(row(p, "parameter", [c("i"), c("f"), c("p.name")], interface_name=c("i"), function_name=c("f"), name=c("p.name"), type=c("p.type"), description=part(c("p"), "description", p_names)))
+    v_names = _element(enums, "values")
+    out.append(row(enums, "enum", [c("name")], type_name=c("name"), values=F.transform("values", lambda v: v["name"]), description=own(enums, "description")))
+    v = enums.select("doc_id", c("name").alias("e"), F.explode("values").alias("v"))
+    out.append(row(v, "enum_value", [c("e"), c("v.name")], type_name=c("e"), name=c("v.name"), value=c("v.value").cast("string"), description=part(c("v"), "description", v_names)))
+    if props is not None:
+        out.append(row(props, "property", [F.lit("property"), F.coalesce("interface", F.lit("")), c("name")], interface_name=c("interface"), name=c("name"), type=c("type"), access=own(props, "access"), description=own(props, "description")))
+    if (rows := others.get("paragraphs")) is not None:
+        out.append(row(rows, "paragraph", [F.lit("paragraph"), c("pos")], content=c("content")))
+    if (rows := others.get("tables")) is not None:
+        out.append(row(rows, "generic_table", [F.lit("table"), c("pos")], content=c("content")))
+    if (rows := others.get("errors")) is not None:
+        out.append(row(rows, "error_code", [F.lit("error"), c("name")], name=c("name"), code=c("value").cast("string"), description=own(rows, "description")))
+    if (rows := others.get("records")) is not None:
+        f_names = _element(rows, "fields")
+        out.append(row(rows, "record", [F.lit("record"), c("name")], name=c("name"), fields=F.transform("fields", lambda f: f["name"]), description=own(rows, "description")))
+        each = rows.select("doc_id", c("name").alias("r"), F.explode("fields").alias("f"))
+        out.append(row(each, "record_field", [F.lit("record"), c("r"), c("f.name")], record_name=c("r"), name=c("f.name"), type=c("f.type"), description=part(c("f"), "description", f_names)))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _said(name: str, kind: str = "string") -> Column:
+    return F.try_variant_get("meta", f"$.{name}", kind)
+
+
+_PARAMS = "array<struct<name:string,type:string,description:string>>"
+
+
+def format_node_text(metadata: DataFrame, style: str = "detailed", signatures: bool = True, descriptions: bool = True) -> DataFrame:
+    """chunk_id, text of nodes by kind (chunk_id, kind, meta of node_metadata); style detailed or compact, methods with or without signature, all with or without descriptions."""
+    compact = style == "compact"
+    given = lambda x, before="": F.when(F.coalesce(x, F.lit("")) != "", F.concat(F.lit(before), x)).otherwise("")
+    told = lambda before: given(_said("description"), before) if descriptions else F.lit("")
+    kind_of = lambda x: F.when(F.coalesce(x, F.lit("")) == "", "any").otherwise(x)
+    names = lambda name, label: given(F.array_join(_said(name, "array<string>"), ", "), f"\n{label}: ")
+    head = lambda long, short, name: F.concat(F.lit(f"{short}: " if compact else f"{long} "), _said(name), told(" - ") if compact else F.when(told(": ") == "", ":").otherwise(told(": ")))
+    typed = F.concat(_said("name"), F.lit(": "), kind_of(_said("type")))
+    params = F.coalesce(_said("parameters", _PARAMS), F.array().cast(_PARAMS))
+    listed = F.array_join(F.transform(params, lambda p: F.concat(p["name"], F.lit(": "), kind_of(p["type"]))), ", ")
+    returns = F.when(F.coalesce(_said("return_type"), F.lit("")) == "", "void").otherwise(_said("return_type"))
+    about = F.array_join(F.transform(F.filter(params, lambda p: F.coalesce(p["description"], F.lit("")) != ""), lambda p: F.concat(F.lit("\n  "), p["name"], F.lit(": "), p["description"])), "") if descriptions else F.lit("")
+    method = F.concat(F.concat(_said("name"), F.lit("("), listed, F.lit(") -> "), returns) if signatures else _said("name"), told(": "), about)
+    value = _said("value")
+    shown = F.when(value.isNull(), "").when(value.rlike("^-?[0-9]+$"), value).otherwise(F.concat(F.lit("'"), value, F.lit("'")))
+    values = F.array_join(_said("values", "array<string>"), ", ")
+    texts = {
+        "interface": F.concat(head("Interface", "I", "interface_name"), names("methods", "M" if compact else "Methods"), names("properties", "P" if compact else "Properties")),
+        "method": method,
+        "property": F.concat(typed, F.lit(" ["), F.when(F.coalesce(_said("access"), F.lit("")) == "", "public").otherwise(_said("access")), F.lit("]"), told(" - ")),
+        "enum": F.concat(F.lit("E: " if compact else "Enum "), _said("type_name"), F.lit(" - " if compact else ": "), values),
+        "enum_value": F.concat(_said("name"), F.lit(" = "), shown, told(": ")),
+        "error_code": F.concat(_said("name"), F.lit(" ("), F.coalesce(_said("code"), F.lit("")), F.lit(")"), told(": ")),
+        "record": F.concat(head("Record", "R", "name"), names("fields", "F" if compact else "Fields")),
+        "paragraph": _said("content"),
+        "generic_table": _said("content"),
+    }
+    text = F.concat(typed, told(" - "))  # parameters and fields of records
+    for kind, own in texts.items():
+        text = F.when(F.col("kind") == kind, own).otherwise(text)
+    return metadata.select("chunk_id", F.coalesce(text, F.lit("")).alias("text"))
+
+
+def keyword_text(metadata: DataFrame) -> DataFrame:
+    """chunk_id, keywords for the lexical index: a node's names, types, parameters, values and codes by kind, and its description."""
+    params = F.coalesce(_said("parameters", _PARAMS), F.array().cast(_PARAMS))
+    full = lambda x: F.coalesce(x, F.lit("")) != ""
+    told = F.transform(params, lambda p: F.concat(p["name"], F.when(full(p["type"]), F.concat(F.lit(" ("), p["type"], F.lit(")"))).otherwise(""), F.when(full(p["description"]), F.concat(F.lit(": "), p["description"])).otherwise("")))
+    own = {
+        "interface": ["interface_name"],
+        "method": ["interface_name", "name", "return_type"],
+        "parameter": ["interface_name", "function_name", "name", "type"],
+        "property": ["interface_name", "name", "type"],
+        "enum": ["type_name"],
+        "enum_value": ["type_name", "name"],
+        "error_code": ["name", "code"],
+        "record": ["name"],
+        "record_field": ["record_name", "name", "type"],
+    }
+    parts = F.array(_said("content"))
+    for kind, fields in own.items():
+        more = [F.when(F.size(params) > 0, F.concat(F.lit("Parameters: "), F.array_join(told, "; ")))] if kind == "method" else [F.array_join(_said("values", "array<string>"), ", ")] if kind == "enum" else []
+        parts = F.when(F.col("kind") == kind, F.array(*map(_said, fields), *more)).otherwise(parts)
+    words_ = F.filter(F.transform(F.concat(parts, F.array(_said("description"))), lambda x: strip(F.coalesce(x, F.lit("")))), lambda x: x != "")
+    return metadata.select("chunk_id", F.array_join(words_, " ").alias("keywords"))
 
 
 def format_node_meta(nodes: DataFrame) -> DataFrame:

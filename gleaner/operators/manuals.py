@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,18 +191,65 @@ def code_rows(rows: DataFrame) -> DataFrame:
     return full.select("table_id", "row_idx", F.when(name != "", name).otherwise(c).alias("name"), v.getField("value_int").alias("value_int"), v.getField("value_str").alias("value_str"), strip("c2").alias("description"))
 
 
-def method_rows(rows: DataFrame) -> DataFrame:
-    """Signature rows (return type, `name(params)`, description) of merged method tables."""
-    c = strip("c1")
-    inner = F.regexp_extract(c, r"(?s)\(([^)]*)\)", 1)
-    return rows.where(c.rlike(r"^\w+\s*\(")).select("table_id", "island", strip("c0").alias("return_type"), F.regexp_extract(c, r"^(\w+)\s*\(", 1).alias("name"), parse_inline_params(inner).alias("params"), strip("c2").alias("description"))
+#: What the type of a `_vb` function's only parameter says, and what such a function becomes. Fixed values.
+VB_MARK, VB_TEXT = "Visual Basic compatible function of", "VB-compatible alias for "
+
 
+def method_functions(rows: DataFrame) -> DataFrame:
+    """Functions of method tables: table_id, position, return_type, name, params array<struct<name, type, optional, description>>, description.
 
-def assemble_interfaces(functions: DataFrame) -> DataFrame:
-    """Functions by interface; of equal names the first counts: doc_id, interface, functions (in order)."""
-    first = F.row_number().over(Window.partitionBy("doc_id", "interface", "name").orderBy("position"))
-    kept = functions.withColumn("_n", first).where("_n = 1")
-    return kept.groupBy("doc_id", "interface").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "name"))), lambda s: s["name"]), ",").alias("functions"))
+    rows: table_id, row_idx, c0, c1, c2, as they stand in the tables. A row with a first cell (the return type) opens a
+    function, `name(params)` in the second; an empty row closes it, and what follows up to the next opening is left out. Rows below
+    an opening, and further lines of its cells, are notes: a parameter's name with a text describes the parameter, the
+    first of them counts; all other text goes to the function's description, behind the first line of the opening's
+    third cell. A row with a third cell only says nothing. A function that is marked as an alias for Visual Basic has no
+    parameters, and its description begins anew. Null cells are empty.
+    """
+    cells = [strip(F.coalesce(c, F.lit(""))).alias(c) for c in ("c0", "c1", "c2")]
+    w = Window.partitionBy("table_id").orderBy("row_idx")
+    marked = rows.select("table_id", "row_idx", *cells).withColumn("island", F.sum(F.when(F.col("c0") != "", 1).otherwise(0)).over(w)).where("island > 0")
+    empty = F.when(F.concat("c0", "c1", "c2") == "", 1).otherwise(0)
+    open_ = marked.withColumn("closed", F.sum(empty).over(Window.partitionBy("table_id", "island").orderBy("row_idx"))).where("closed = 0")
+    own = open_.groupBy("table_id", "island").agg(F.sort_array(F.collect_list(F.struct("row_idx", "c0", "c1", "c2"))).alias("r"))  # a function's rows
+    head = F.col("r")[0]
+    own = own.select("table_id", head["row_idx"].alias("position"), head["c0"].alias("return_type"), head["c1"].alias("c1"), head["c2"].alias("c2"), "r")
+
+    note = lambda name, text: F.struct(name.alias("name"), text.alias("text"))
+    one, two = F.split("c1", "\n"), F.split("c2", "\n")
+    line = lambda cell, i: strip(F.coalesce(F.get(cell, i), F.lit("")))
+    inner = F.transform(F.sequence(F.lit(0), F.greatest(F.size(one), F.size(two)) - 1), lambda i: note(line(one, i), line(two, i)))
+    below = F.filter(F.transform(F.col("r"), lambda x: note(x["c1"], x["c2"])), lambda x, i: (i > 0) & (x["name"] != ""))
+    signature = F.instr("c1", "(") > 0
+    name = strip(F.when(signature, F.regexp_extract("c1", r"(?s)^(.*?)\(", 1)).otherwise(F.get(one, F.lit(0))))
+    listed = F.when(signature, parse_inline_params(F.regexp_extract("c1", r"(?s)\(([^)]*)", 1)))
+    own = own.select("table_id", "position", "return_type", F.when(name == "", "unnamed").otherwise(name).alias("name"), F.coalesce(listed, F.array().cast("array<struct<name:string,type:string,optional:boolean>>")).alias("params"), F.slice(inner, 2, F.size(inner)).alias("inner"), below.alias("below"), line(two, F.lit(0)).alias("first"))
+
+    alias = F.col("name").endswith("_vb") & (F.size("params") == 1) & F.coalesce(F.contains(F.get(F.col("params"), F.lit(0))["type"], F.lit(VB_MARK)), F.lit(False))
+    original = F.get(F.col("params"), F.lit(0))["name"]
+    own = own.select("table_id", "position", "return_type", "name", F.when(alias, F.array().cast("array<struct<name:string,type:string,optional:boolean>>")).otherwise(F.col("params")).alias("params"), F.when(alias, F.col("below")).otherwise(F.concat("inner", "below")).alias("notes"), F.when(alias, F.concat(F.lit(VB_TEXT), original)).otherwise(F.col("first")).alias("first"))
+    about = lambda n: F.exists("params", lambda p: p["name"] == n["name"]) & (n["text"] != "")
+    texts = F.flatten(F.transform(F.filter("notes", lambda n: ~about(n)), lambda n: F.array(n["name"], n["text"])))
+    described = F.transform("params", lambda p: F.struct(p["name"].alias("name"), p["type"].alias("type"), p["optional"].alias("optional"), F.coalesce(F.get(F.filter("notes", lambda n: (n["name"] == p["name"]) & (n["text"] != "")), F.lit(0))["text"], F.lit("")).alias("description")))
+    return own.select("table_id", "position", "return_type", "name", described.alias("params"), F.array_join(F.filter(F.concat(F.array("first"), texts), lambda t: t != ""), " ").alias("description"))
+
+
+def assemble_interfaces(functions: DataFrame, properties: DataFrame | None = None, descriptions: DataFrame | None = None) -> DataFrame:
+    """Functions and properties by interface; of equal names the first counts: doc_id, interface, functions, properties (in order, joined by commas), description.
+
+    functions, properties: doc_id, interface (null: Unknown), position, name, and heading where descriptions are wanted;
+    descriptions: doc_id, interface, description. An interface without one is described by its first heading.
+    """
+    kinds = [("functions", functions), *([("properties", properties)] if properties is not None else [])]
+    heading = lambda df: F.col("heading") if "heading" in df.columns else F.lit(None).cast("string")
+    rows = [df.select("doc_id", F.coalesce("interface", F.lit("Unknown")).alias("interface"), "position", "name", heading(df).alias("heading"), F.lit(kind).alias("kind")) for kind, df in kinds]
+    both = reduce(DataFrame.unionByName, rows)
+    first = F.row_number().over(Window.partitionBy("doc_id", "interface", "kind", "name").orderBy("position"))
+    names = lambda kind: F.array_join(F.transform(F.sort_array(F.collect_list(F.when((F.col("_n") == 1) & (F.col("kind") == kind), F.struct("position", "name")))), lambda s: s["name"]), ",").alias(kind)
+    out = both.withColumn("_n", first).groupBy("doc_id", "interface").agg(names("functions"), names("properties"), F.min_by("heading", "position").alias("heading"))
+    if descriptions is None:
+        return out.withColumnRenamed("heading", "description")
+    known = descriptions.select("doc_id", "interface", F.col("description").alias("_d")).hint("merge")
+    return out.join(known, ["doc_id", "interface"], "left").select("doc_id", "interface", "functions", "properties", F.coalesce("_d", "heading").alias("description"))
 
 
 def render_generic_table(rows: Column | str) -> Column:

@@ -14,10 +14,10 @@ DOC = "CAST(substr(p_brand, 7) AS BIGINT)"
 def entities(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Interfaces with methods and parameters, enums with values, of 5 documents."""
     p = table(spark, sf, "part").selectExpr(f"{DOC} % 5 AS doc_id", f"'I' || {DOC} AS raw", "p_partkey", "p_size", "p_type", f"{DOC} AS b").withColumn("name", F.concat(F.lit("IBrand"), F.col("b").cast("string")))
-    param = lambda n, t: F.struct(n.alias("name"), t.alias("type"))
+    param = lambda n, t, d: F.struct(n.alias("name"), t.alias("type"), d.alias("description"))
     s = F.col("p_size").cast("string")
-    params = F.array(param(F.concat(F.lit("a"), s), F.lit("long")), param(F.lit("b"), F.concat(F.lit("EType"), (F.col("p_partkey") % 6).cast("string"))))
-    methods = p.groupBy("doc_id", "name").agg(F.sort_array(F.collect_list(F.struct(F.concat(F.lit("Get"), F.col("p_partkey").cast("string")).alias("name"), F.concat(F.lit("IBrand"), (F.col("p_partkey") % 25 + 1).cast("string")).alias("returns"), params.alias("params")))).alias("methods"))
+    params = F.array(param(F.concat(F.lit("a"), s), F.lit("long"), F.lit("")), param(F.lit("b"), F.concat(F.lit("EType"), (F.col("p_partkey") % 6).cast("string")), F.lit("the kind")))
+    methods = p.groupBy("doc_id", "name").agg(F.sort_array(F.collect_list(F.struct(F.concat(F.lit("Get"), F.col("p_partkey").cast("string")).alias("name"), F.concat(F.lit("IBrand"), (F.col("p_partkey") % 25 + 1).cast("string")).alias("returns"), params.alias("params"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).alias("description")))).alias("methods"))
     enums = p.select("doc_id", F.concat(F.lit("EType"), (F.col("p_partkey") % 6).cast("string")).alias("name"), F.col("p_size").alias("k")).distinct().groupBy("doc_id", "name").agg(F.sort_array(F.collect_list(F.struct(F.concat(F.lit("v"), F.col("k").cast("string")).alias("name"), F.col("k").cast("string").alias("value")))).alias("values"))
     return methods, enums
 
@@ -28,7 +28,7 @@ def others(spark, sf) -> dict[str, DataFrame]:
     k = F.col("k").cast("string")
     fields = F.sort_array(F.collect_list(F.struct(F.concat(F.lit("f"), k).alias("name"), F.lit("long").alias("type"))))
     return {
-        "properties": p.select("doc_id", "interface", F.concat(F.lit("Prop"), k).alias("name"), F.lit("long").alias("type")),
+        "properties": p.select("doc_id", "interface", F.concat(F.lit("Prop"), k).alias("name"), F.lit("long").alias("type"), F.when(F.col("k") % 3 == 0, "read").alias("access"), F.col("p_name").alias("description")),
         "paragraphs": p.select("doc_id", "interface", F.col("k").alias("pos"), F.col("p_name").alias("content")),
         "tables": p.select("doc_id", F.col("k").alias("pos"), F.col("p_type").alias("content")),
         "errors": p.select("doc_id", F.concat(F.lit("err"), k).alias("name"), (-F.col("p_size")).alias("value"), F.col("p_type").alias("description")),
@@ -36,6 +36,10 @@ def others(spark, sf) -> dict[str, DataFrame]:
     }
 
 
+def metadata(spark, sf) -> DataFrame:
+    return G.node_metadata(*entities(spark, sf), **others(spark, sf))
+
+
 def nodes(spark, sf) -> DataFrame:
     return G.build_chunk_graph(*entities(spark, sf), **others(spark, sf)).withColumn("level", F.col("level").cast("long"))
 
@@ -109,12 +113,23 @@ def propagate_scores(spark, sf):
     return G.propagate_scores(G.expand_type_refs(f, n), f, n)
 
 
-KEYWORDS = "SELECT n.chunk_id, concat_ws(' ', p.name, n.name, CASE WHEN n.kind IN ('method', 'parameter') THEN n.content END) AS keywords FROM nod n LEFT JOIN nod p ON n.parent_id = p.chunk_id"
+KEYWORDS = """SELECT DISTINCT md5(doc_id || '/' || i) AS chunk_id, i AS keywords FROM pt
+UNION ALL SELECT md5(doc_id || '/' || i || '/' || m), i || ' ' || m || ' ' || r || ' Parameters: ' || a || ' (long); b (' || t || '): the kind' || CASE WHEN k % 2 = 0 THEN ' ' || p_type ELSE '' END FROM pt
+UNION ALL SELECT md5(doc_id || '/' || i || '/' || m || '/' || a), i || ' ' || m || ' ' || a || ' long' FROM pt
+UNION ALL SELECT md5(doc_id || '/' || i || '/' || m || '/b'), i || ' ' || m || ' b ' || t || ' the kind' FROM pt
+UNION ALL SELECT md5(doc_id || '/' || t), t || ' ' || string_agg('v' || p_size, ', ' ORDER BY 'v' || p_size) FROM em GROUP BY doc_id, t
+UNION ALL SELECT md5(doc_id || '/' || t || '/v' || p_size), t || ' v' || p_size FROM em
+UNION ALL SELECT md5(doc_id || '/property/' || coalesce(itf, '') || '/Prop' || k), concat_ws(' ', itf, 'Prop' || k, 'long', p_name) FROM pt
+UNION ALL SELECT md5(doc_id || '/paragraph/' || k), p_name FROM pt
+UNION ALL SELECT md5(doc_id || '/table/' || k), p_type FROM pt
+UNION ALL SELECT md5(doc_id || '/error/err' || k), 'err' || k || ' ' || -p_size || ' ' || p_type FROM pt
+UNION ALL SELECT md5(doc_id || '/record/R' || p_size), 'R' || p_size FROM pt GROUP BY doc_id, p_size
+UNION ALL SELECT md5(doc_id || '/record/R' || p_size || '/f' || k), 'R' || p_size || ' f' || k || ' long' FROM pt"""
 
 
 @query(f"WITH {NODES} {KEYWORDS}")
 def keyword_text(spark, sf):
-    return G.keyword_text(nodes(spark, sf))
+    return G.keyword_text(metadata(spark, sf))
 
 
 @query(f"WITH {NODES}, {FOUND} SELECT query_id, coalesce(string_agg(DISTINCT name, ',' ORDER BY name) FILTER (WHERE kind = 'method'), '') AS functions, coalesce(string_agg(DISTINCT name, ',' ORDER BY name) FILTER (WHERE kind IN ('interface', 'enum')), '') AS types FROM fnd JOIN nod USING (chunk_id) GROUP BY 1")
@@ -238,12 +253,41 @@ def graph_to_json(spark, sf):
     return G.graph_to_json(nodes(spark, sf)).select("chunk_id", F.md5(F.col("node").cast("binary")).alias("node"))
 
 
-KIND = "CASE n.kind WHEN 'enum_value' THEN 'Enum Value' WHEN 'generic_table' THEN 'Generic Table' WHEN 'error_code' THEN 'Error Code' WHEN 'record_field' THEN 'Record Field' ELSE upper(left(n.kind, 1)) || substr(n.kind, 2) END"
+def _texts(compact: bool, signatures: bool, descriptions: bool) -> str:
+    """The text of each node, from the parts that it was made of."""
+    label = lambda long, short: short if compact else long
+    told = lambda before, c: f" || '{before}' || {c}" if descriptions else ""
+    some = f" || CASE WHEN k % 2 = 0 THEN ': ' || p_type ELSE '' END || chr(10) || '  b: the kind'" if descriptions else ""
+    colon = "" if compact else " || ':'"
+    method = f"m || '(' || a || ': long, b: ' || t || ') -> ' || r" if signatures else "m"
+    return f"""SELECT md5(doc_id || '/' || i) AS chunk_id, '{label("Interface ", "I: ")}' || i{colon} || chr(10) || '{label("Methods", "M")}: ' || string_agg(m, ', ' ORDER BY m) || coalesce(chr(10) || '{label("Properties", "P")}: ' || string_agg('Prop' || k, ', ' ORDER BY 'Prop' || k) FILTER (WHERE itf IS NOT NULL), '') AS text FROM pt GROUP BY doc_id, i
+UNION ALL SELECT md5(doc_id || '/' || i || '/' || m), {method}{some} FROM pt
+UNION ALL SELECT md5(doc_id || '/' || i || '/' || m || '/' || a), a || ': long' FROM pt
+UNION ALL SELECT md5(doc_id || '/' || i || '/' || m || '/b'), 'b: ' || t{told(" - ", "'the kind'")} FROM pt
+UNION ALL SELECT md5(doc_id || '/' || t), '{label("Enum ", "E: ")}' || t || '{label(": ", " - ")}' || string_agg('v' || p_size, ', ' ORDER BY 'v' || p_size) FROM em GROUP BY doc_id, t
+UNION ALL SELECT md5(doc_id || '/' || t || '/v' || p_size), 'v' || p_size || ' = ' || p_size FROM em
+UNION ALL SELECT md5(doc_id || '/property/' || coalesce(itf, '') || '/Prop' || k), 'Prop' || k || ': long [' || CASE WHEN k % 3 = 0 THEN 'read' ELSE 'public' END || ']'{told(" - ", "p_name")} FROM pt
+UNION ALL SELECT md5(doc_id || '/paragraph/' || k), p_name FROM pt
+UNION ALL SELECT md5(doc_id || '/table/' || k), p_type FROM pt
+UNION ALL SELECT md5(doc_id || '/error/err' || k), 'err' || k || ' (' || -p_size || ')'{told(": ", "p_type")} FROM pt
+UNION ALL SELECT md5(doc_id || '/record/R' || p_size), '{label("Record ", "R: ")}R' || p_size{colon} || chr(10) || '{label("Fields", "F")}: ' || string_agg('f' || k, ', ' ORDER BY 'f' || k) FROM pt GROUP BY doc_id, p_size
+UNION ALL SELECT md5(doc_id || '/record/R' || p_size || '/f' || k), 'f' || k || ': long' FROM pt"""
+
+
+@query(f"WITH {NODES} {_texts(False, True, True)}")
+def format_node_text(spark, sf):
+    return G.format_node_text(metadata(spark, sf))
+
 
+@query(f"WITH {NODES} {_texts(True, True, True)}")
+def format_node_text_compact(spark, sf):
+    return G.format_node_text(metadata(spark, sf), "compact")
 
-@query(f"WITH {NODES} SELECT n.chunk_id, {KIND} || ': ' || n.name || coalesce(' of ' || p.name, '') || chr(10) || n.content AS text FROM nod n LEFT JOIN nod p ON n.parent_id = p.chunk_id")
-def format_node_text(spark, sf):
-    return G.format_node_text(nodes(spark, sf))
+
+@query(f"WITH {NODES} {_texts(False, False, False)}")
+def format_node_text_bare(spark, sf):
+    """Without signatures and descriptions."""
+    return G.format_node_text(metadata(spark, sf), signatures=False, descriptions=False)
 
 
 @query(f"WITH {NODES} SELECT chunk_id, kind || ': ' || name || ': ' || content AS text FROM nod")

@@ -195,7 +195,7 @@ def hybrid_graph_search(spark, sf):
     """Questions are all interfaces and methods; lexical and dense lists are fused, then grown along names and parents."""
     nodes = materialise(PG.nodes(spark, sf), "graph")
     queries = materialise(nodes.where("kind in ('interface', 'method')").select(F.col("chunk_id").alias("query_id"), F.concat("name", F.lit(" "), "content").alias("question")), "graph-questions")
-    texts = materialise(GR.keyword_text(nodes).select("chunk_id", F.col("keywords").alias("content")), "graph-texts")
+    texts = materialise(GR.keyword_text(PG.metadata(spark, sf)).select("chunk_id", F.col("keywords").alias("content")), "graph-texts")
     blocks = H.blocks_of(materialise(H.impact_blocks(H.bm25_index(texts)), "graph-blocks"))
     lexical = H.bm25_topk_positive(queries, blocks, 10, camel_tokens)
     dense = G.flat_ip_topk(G.embed_words(queries, "query_id", "question"), G.embed_words(texts, "chunk_id", "content"), 10)

@@ -176,10 +176,24 @@ def merge_continuation_rows(spark, sf):
     return M.merge_continuation_rows(_rows(spark, sf, ROWS))
 
 
-@query(rf"WITH {API}, {MERGED} SELECT table_id, island, trim(c0) AS return_type, regexp_extract(trim(c1), '^(\w+)\s*\(', 1) AS name, array_to_string(list_transform(string_split(regexp_extract(trim(c1), '\(([^)]*)\)', 1), ','), lambda x: regexp_extract(trim(x), '(\S+)$', 1)), ',') AS params FROM mg WHERE regexp_matches(trim(c1), '^\w+\s*\(')")
+# a signature, some of several lines or an alias; notes on a parameter and on the function; a row that says nothing; an empty row and what it cuts off
+METHODS = [
+    ("TRUE", "p_partkey * 8", "' long '", "CASE WHEN p_partkey % 11 = 0 THEN 'Old_vb(Visual Basic compatible function of Get' || p_partkey || ')' WHEN p_partkey % 13 = 0 THEN '' ELSE 'GetP' || p_partkey || ' ([in] long a' || p_size || ', BSTR* b)' || CASE WHEN p_partkey % 7 = 0 THEN chr(10) || 'a' || p_size || chr(10) || 'second line' ELSE '' END END", "p_name || CASE WHEN p_partkey % 7 = 0 THEN chr(10) || 'its size' ELSE '' END"),
+    ("p_size % 3 >= 1", "p_partkey * 8 + 1", "''", "'a' || p_size", "'the size'"),
+    ("p_size % 3 = 2", "p_partkey * 8 + 2", "' '", "' More detail'", "''"),
+    ("p_partkey % 4 = 0", "p_partkey * 8 + 3", "''", "''", "'says nothing'"),
+    ("p_partkey % 5 = 0", "p_partkey * 8 + 4", "''", "' '", "''"),
+    ("p_partkey % 5 = 0", "p_partkey * 8 + 5", "''", "'cut off'", "'too'"),
+]
+
+
+@query("""WITH p AS (SELECT *, p_partkey % 11 = 0 AS alias, p_partkey % 11 <> 0 AND p_partkey % 13 = 0 AS bare, p_partkey % 7 = 0 AS lines, p_size % 3 >= 1 AS sized, p_size % 3 = 2 AS more FROM part)
+SELECT p_partkey % 40 AS table_id, p_partkey * 8 AS position, 'long' AS return_type, CASE WHEN alias THEN 'Old_vb' WHEN bare THEN 'unnamed' ELSE 'GetP' || p_partkey END AS name,
+CASE WHEN alias OR bare THEN '' ELSE 'a' || p_size || '=' || CASE WHEN lines THEN 'its size' WHEN sized THEN 'the size' ELSE '' END || ',b=' END AS params,
+CASE WHEN alias THEN 'VB-compatible alias for Get' || p_partkey ELSE p_name || CASE WHEN lines AND bare THEN ' its size' WHEN lines THEN ' second line' ELSE '' END END || CASE WHEN sized AND (alias OR bare) THEN ' a' || p_size || ' the size' ELSE '' END || CASE WHEN more THEN ' More detail' ELSE '' END AS description FROM p""")
 def method_rows_to_functions(spark, sf):
-    rows = M.method_rows(M.merge_continuation_rows(_rows(spark, sf, ROWS)))
-    return rows.select("table_id", "island", "return_type", "name", F.array_join(F.transform("params", lambda p: p["name"]), ",").alias("params"))
+    f = M.method_functions(_rows(spark, sf, METHODS).where("c1 is not null"))
+    return f.select("table_id", "position", "return_type", "name", F.array_join(F.transform("params", lambda p: F.concat(p["name"], F.lit("="), p["description"])), ",").alias("params"), "description")
 
 
 @query(r"WITH p AS (SELECT p_partkey, unnest(range(0, 3)) AS i, ['a' || p_size, 'b', 'c'] AS n FROM part) SELECT p_partkey, i, n[i + 1] AS name, CASE i WHEN 0 THEN 'long' WHEN 1 THEN 'BSTR*' ELSE 'unknown' END AS type, i = 1 AS optional FROM p")
@@ -216,13 +230,15 @@ def error_code_rows(spark, sf):
     return M.code_rows(_rows(spark, sf, CODES))
 
 
-@query(rf"""WITH {API}, {MERGED}, f AS (SELECT table_id % 8 AS doc_id, 'I' || (island % 5) AS interface, regexp_extract(c1, '^(\w+?)[0-9]*\(', 1) || (island % 7) AS name, table_id * 100000 + island AS position FROM mg), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, interface, name ORDER BY position) AS n FROM f)
-SELECT doc_id, interface, string_agg(name, ',' ORDER BY position) AS functions FROM k WHERE n = 1 GROUP BY 1, 2""")
+@query("""WITH f AS (SELECT p_partkey % 8 AS doc_id, CASE WHEN p_partkey % 6 <> 5 THEN 'I' || (p_partkey % 6) ELSE 'Unknown' END AS interface, p_partkey AS position, p_type AS heading, CASE WHEN p_partkey % 3 = 0 THEN 'properties' ELSE 'functions' END AS kind, 'N' || p_size AS name FROM part),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, interface, kind, name ORDER BY position) AS n FROM f)
+SELECT doc_id, interface, coalesce(string_agg(name, ',' ORDER BY position) FILTER (WHERE n = 1 AND kind = 'functions'), '') AS functions, coalesce(string_agg(name, ',' ORDER BY position) FILTER (WHERE n = 1 AND kind = 'properties'), '') AS properties,
+CASE WHEN doc_id % 2 = 0 THEN 'About ' || interface ELSE arg_min(heading, position) END AS description FROM k GROUP BY 1, 2""")
 def assemble_interfaces(spark, sf):
-    m = M.merge_continuation_rows(_rows(spark, sf, ROWS))
-    name = F.concat(F.regexp_extract("c1", r"^(\w+?)[0-9]*\(", 1), (F.col("island") % 7).cast("string"))
-    f = m.select((F.col("table_id") % 8).alias("doc_id"), F.concat(F.lit("I"), (F.col("island") % 5).cast("string")).alias("interface"), name.alias("name"), (F.col("table_id") * 100000 + F.col("island")).alias("position"))
-    return M.assemble_interfaces(f)
+    """Every third name is a property's; interfaces of every second document have a description."""
+    f = table(spark, sf, "part").selectExpr("p_partkey % 8 AS doc_id", "CASE WHEN p_partkey % 6 <> 5 THEN 'I' || (p_partkey % 6) END AS interface", "p_partkey AS position", "p_type AS heading", "'N' || p_size AS name")
+    described = f.select("doc_id", F.coalesce("interface", F.lit("Unknown")).alias("interface")).where("doc_id % 2 = 0").distinct().withColumn("description", F.concat(F.lit("About "), F.col("interface")))
+    return M.assemble_interfaces(f.where("position % 3 <> 0"), f.where("position % 3 = 0"), described)
 
 
 GROUPS = [
