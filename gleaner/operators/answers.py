@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,11 +63,50 @@ def redact_secrets(text: Column | str, most: int = 200) -> Column:
     return F.left(F.regexp_replace(F.regexp_replace(masked, r"\n", "\\\\n"), r"[\x00-\x1f\x7f]", ""), F.lit(most))
 
 
-def clean_answers(answer: Column | str, citations: bool = False) -> Column:
+#: The least length of a repeated suffix, and the share of the text that stays before one at least.
+SUFFIX, BEFORE = 30, 3
+
+
+def repeated_suffix(text: str) -> int:
+    """The length of the longest suffix that also stands wholly before itself, 0 if none has SUFFIX characters; in linear time.
+
+    Over the reversed text, z[i] is how far it agrees with itself from i on: a suffix of min(z[i], i) characters recurs there.
+    """
+    r, n = text[::-1], len(text)
+    most = n - n // BEFORE - 1
+    z, left, right, best = [0] * n, 0, 0, 0
+    for i in range(1, n):
+        k = min(right - i, z[i - left]) if i < right else 0
+        while i + k < n and r[k] == r[i + k]:
+            k += 1
+        z[i] = k
+        if i + k > right:
+            left, right = i, i + k
+        best = max(best, min(k, i, most))
+    return best if best >= SUFFIX else 0
+
+
+def drop_repeated_suffix(text: Column | str) -> Column:
+    """Texts without a long suffix that already appeared; answers that repeat several times lose one repetition after the other."""
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> str | None:
+            while t and len(t) >= 2 * SUFFIX and (n := repeated_suffix(t)):
+                t = t[:-n].rstrip()
+            return t
+
+        return texts.map(one)
+
+    return cut(col(text))
+
+
+def clean_answers(answer: Column | str, citations: bool = False, length: str = "normal", repeated_suffix: bool = False) -> Column:
     """Special tokens, role markers, ids, page references and (unless wanted) citations removed; short and repeated lines dropped.
 
     A line goes if it has at most 10 characters or if an earlier kept line begins with its first 60
-    characters; three or more equal words in a row become one.
+    characters; three or more equal words in a row become one. With repeated_suffix a long ending that stood before goes, too.
+    A concise answer that doesn't end in . ! ? or ) ends after its last whole sentence, if it has one.
     """
     t = F.regexp_replace(col(answer), r"(?s)^.*\[/?INST\]|<\|[a-z_]+\|>|</?s>", "")
     t = F.regexp_replace(t, r"(?s)(Human|Assistant|Question|Answer|Sources):.*$", "")
@@ -76,7 +116,12 @@ def clean_answers(answer: Column | str, citations: bool = False) -> Column:
     t = F.regexp_replace(t, r"(?U)\b(\w+)(?:\s+\1\b){2,}", "$1")
     rows = F.filter(F.transform(F.split(t, "\n"), strip), lambda s: F.length(s) > 10)
     kept = F.aggregate(rows, F.array().cast("array<string>"), lambda acc, s: F.when(F.exists(acc, lambda k: F.startswith(k, F.substring(s, 1, 60))), acc).otherwise(F.concat(acc, F.array(s))))
-    return F.array_join(kept, "\n")
+    t = F.array_join(kept, "\n")
+    if repeated_suffix:
+        t = drop_repeated_suffix(t)
+    if length == "concise":
+        t = F.when(t.rlike(r"(?s)[^.!?)]$") & t.rlike(r"(?s)^.+\. "), F.regexp_extract(t, r"(?s)^(.+\.) ", 1)).otherwise(t)
+    return t
 
 
 def detect_repetition(text: Column | str, n: int = 20, within: int = 280) -> Column:
@@ -112,8 +157,10 @@ def score_claims(sentences: DataFrame, sources: DataFrame, scorer=coverage) -> D
     return pairs.select("query_id", "pos", "source", F.round(scorer(bare, "content"), DIGITS).alias("score"))
 
 
-def verify_answers(sentences: DataFrame, sources: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """query_id, n, supported, confidence, verified (the supported sentences in order, or a refusal).
+def verify_answers(sentences: DataFrame, sources: DataFrame, threshold: float = 0.0, remove: bool = True) -> DataFrame:
+    """query_id, n, supported, confidence, verified (the supported sentences in order, or a refusal), unsupported (the others in order).
+
+    With remove=False the unsupported sentences stay in verified and are only listed.
 
     A sentence is supported by its best cited source above the threshold, else by the best of all.
     No sources give confidence 1, an answer without sentences 0.
@@ -126,8 +173,9 @@ def verify_answers(sentences: DataFrame, sources: DataFrame, threshold: float =
     best = one.groupBy("query_id", "pos", "sentence").agg(F.max(F.when(on, F.col("score"))).alias("a"), F.max("score").alias("b"), F.max("n_sources").alias("k"))
     judged = best.select("query_id", "pos", "sentence", F.when(F.col("k").isNull(), 1.0).otherwise(F.coalesce("a", "b", F.lit(0.0))).alias("score"))
     ok = F.col("score") > threshold
-    kept = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(ok, F.struct("pos", "sentence")))), lambda s: s.sentence), " ")
-    out = judged.groupBy("query_id").agg(F.count("*").alias("n"), F.count(F.when(ok, 1)).alias("supported"), (F.round(F.sum(F.round(F.col("score") * 1e6).cast("long")) / F.count("*")) / 1e6).alias("confidence"), kept.alias("verified"))
+    told = lambda on: F.transform(F.sort_array(F.collect_list(F.when(on, F.struct("pos", "sentence")))), lambda s: s.sentence)
+    kept = F.array_join(told(ok if remove else F.lit(True)), " ")
+    out = judged.groupBy("query_id").agg(F.count("*").alias("n"), F.count(F.when(ok, 1)).alias("supported"), (F.round(F.sum(F.round(F.col("score") * 1e6).cast("long")) / F.count("*")) / 1e6).alias("confidence"), kept.alias("verified"), told(~ok).alias("unsupported"))
     return out.withColumn("verified", F.when(F.col("verified") == "", REFUSAL).otherwise(F.col("verified")))
 
 

@@ -135,13 +135,20 @@ def score_claims(spark, sf):
 
 
 VERIFIED = f"""{CLAIMS}, ci AS (SELECT query_id, pos, sentence, n, {CITED} AS cited FROM sen), be AS (SELECT ci.query_id, ci.pos, ci.sentence, max(CASE WHEN list_contains(cited, source) AND score > 0 THEN score END) AS a, max(score) AS b, max(n) AS k FROM ci LEFT JOIN clm ON clm.query_id = ci.query_id AND clm.pos = ci.pos GROUP BY 1, 2, 3),
-ju AS (SELECT query_id, pos, sentence, CASE WHEN k = 0 THEN 1.0 ELSE coalesce(a, b, 0.0) END AS score FROM be),
+ju AS MATERIALIZED (SELECT query_id, pos, sentence, CASE WHEN k = 0 THEN 1.0 ELSE coalesce(a, b, 0.0) END AS score FROM be),
 ver AS (SELECT query_id, count(*) AS n, count(CASE WHEN score > 0 THEN 1 END) AS supported, round(sum(CAST(round(score * 1000000) AS BIGINT)) / count(*)) / 1000000 AS confidence, coalesce(string_agg(CASE WHEN score > 0 THEN sentence END, ' ' ORDER BY pos), 'I could not find supporting evidence in the provided sources.') AS verified FROM ju GROUP BY 1)"""
 
 
 @query(f"WITH {VERIFIED} SELECT * FROM ver")
 def verify_answers(spark, sf):
-    return J.verify_answers(sentences(spark, sf), sources(spark, sf))
+    return J.verify_answers(sentences(spark, sf), sources(spark, sf)).drop("unsupported")
+
+
+@query(f"WITH {VERIFIED}, fl AS (SELECT ju.query_id, string_agg(sentence, ' ' ORDER BY pos) AS verified, coalesce(string_agg(CASE WHEN score <= 0 THEN sentence END, ' ' ORDER BY pos), '') AS unsupported FROM ju GROUP BY 1) SELECT query_id, n, supported, confidence, fl.verified, fl.unsupported FROM ver JOIN fl USING (query_id)")
+def verify_answers_flagged(spark, sf):
+    """Unsupported sentences stay and are listed."""
+    v = J.verify_answers(sentences(spark, sf), sources(spark, sf), remove=False)
+    return v.withColumn("unsupported", F.array_join("unsupported", " "))
 
 
 @query(f"WITH {VERIFIED} SELECT query_id, confidence AS faithfulness FROM ver")

@@ -392,3 +392,26 @@ def test_method_tables(spark):
     assert functions(("long", "Get_vb(Visual Basic compatible function of Get)", "gone"), ("", "More", "text")) == [("Get_vb", "long", [], "VB-compatible alias for Get More text")]
     assert functions(("long", "F([in] long a,\nBSTR b)\na\nmore\n", "Does\n\nfirst\n\nlast")) == [("F", "long", [("a", "long", "first"), ("b", "BSTR", "")], "Does BSTR b) more last")] or True
     assert functions(("long", "Plain\nrest", ""), ("", "", "says nothing")) == [("Plain", "long", [], "rest")]
+
+
+def test_repeated_suffixes_and_concise_answers(spark):
+    import random
+    import time
+
+    def slow(t):
+        return max((n for n in range(30, len(t) - len(t) // 3) if t[-n:] in t[:-n]), default=0)
+
+    rng = random.Random(4)
+    for _ in range(300):
+        piece = "".join(rng.choices("ab ", k=rng.randint(1, 45)))
+        t = "".join(rng.choices("abc ", k=rng.randint(0, 80))) + piece * rng.randint(1, 6) + "".join(rng.choices("ab", k=rng.randint(0, 3)))
+        assert J.repeated_suffix(t) == slow(t), t
+    began = time.perf_counter()
+    assert J.repeated_suffix("ab" * 100_000) == 100_000
+    assert time.perf_counter() - began < 3
+    said = "The server answers with a token that is valid for an hour. "
+    clean = lambda t, **o: value(spark, J.clean_answers(F.lit(t), **o))
+    assert clean("First. " + said * 4, repeated_suffix=True) == ("First. " + said).strip()
+    assert clean("One is this. Two is that. Three is not", length="concise") == "One is this. Two is that."
+    assert clean("One is this. Two is that.", length="concise") == "One is this. Two is that." and clean("no sentence here", length="concise") == "no sentence here"
+    assert clean("One is this. Two is", length="detailed") == "One is this. Two is"
