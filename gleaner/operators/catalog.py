@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.session import materialise
+
 
 def documents_with_strategy(docs: DataFrame, strategies: DataFrame, owner: Column) -> DataFrame:
     """Documents of an owner with their strategy, newest first in `place`, which counts per owner."""
@@ -51,10 +53,17 @@ def pending_documents(documents: DataFrame) -> DataFrame:
     return documents.where("status = 'pending' and owner is not null")
 
 
-def effective_config(requests: DataFrame, strategies: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
-    """Request over strategy over default; size within 50..2000 and overlap within 0..500, but for API manuals."""
+def effective_config(requests: DataFrame, strategies: DataFrame, size: int = 1000, overlap: int = 200, configs: DataFrame | None = None) -> DataFrame:
+    """Request over configuration over strategy over default; size within 50..2000 and overlap within 0..500, but for API manuals.
+
+    configs: doc_id, c_size, c_over, one row for each document at most (as latest_config gives them).
+    """
     rows = requests.join(strategies.select("strategy_id", F.col("chunk_size").alias("s_size"), F.col("chunk_overlap").alias("s_over"), "engine_type").hint("merge"), "strategy_id", "left")
-    a, b = F.coalesce("r_size", "s_size", F.lit(size)), F.coalesce("r_over", "s_over", F.lit(overlap))
+    own = []
+    if configs is not None:
+        rows = rows.join(configs.select("doc_id", "c_size", "c_over").hint("merge"), "doc_id", "left")
+        own = ["c_size", "c_over"]
+    a, b = F.coalesce("r_size", *own[:1], "s_size", F.lit(size)), F.coalesce("r_over", *own[1:], "s_over", F.lit(overlap))
     free = F.coalesce(F.col("engine_type") == "api_docs", F.lit(False))
     return rows.select(
         "doc_id",
@@ -69,9 +78,21 @@ def cached_sources(cache: DataFrame, chunks: DataFrame) -> DataFrame:
     return ids.join(chunks.hint("merge"), "chunk_id").withColumn("score", F.lit(0.0))
 
 
+def numbered(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """rows with place, their number from 1 in an order: sorted in ranges, each numbered by itself behind the counts of those before."""
+    ranged = materialise(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before, offsets = 0, []
+    for r in sorted(ranged.groupBy("_part").count().collect()):  # a row for each range
+        offsets.append((r["_part"], before))
+        before += r["count"]
+    known = rows.sparkSession.createDataFrame(offsets or [(0, 0)], "_part int, _before long")
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.join(F.broadcast(known), "_part").withColumn("place", nth + F.col("_before")).drop("_part", "_before")
+
+
 def list_strategies(strategies: DataFrame) -> DataFrame:
     """All but the default, system ones first, then by name, in `place`."""
-    return strategies.where("strategy_id <> 'default'").withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("is_system"), "name")).cast("long"))
+    return numbered(strategies.where("strategy_id <> 'default'"), F.desc("is_system"), F.col("name"))
 
 
 def reprocess(configs: DataFrame, targets: DataFrame) -> DataFrame:

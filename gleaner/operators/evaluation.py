@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import words
 from gleaner.operators.vectors import DIGITS
+from gleaner.session import materialise
 
 #: Words of the probe that brings needle and text together before containment is checked.
 PROBE = 5
@@ -95,3 +97,21 @@ def backend_summary(metrics: DataFrame, names: list[str]) -> DataFrame:
     """backend, metric, mean, least, most over questions without an error."""
     rows = metrics.unpivot("backend", names, "metric", "value").where("value is not null")
     return rows.groupBy("backend", "metric").agg(F.round(F.avg("value"), DIGITS).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"))
+
+
+def compare_backends(backends: dict[str, Callable[[], DataFrame]]) -> DataFrame:
+    """backend, query_id, chunk_id, rank, score, error: the ranked lists of several back ends, each run by itself; one that fails is one row with its error."""
+    out: list[DataFrame] = []
+    failed: dict[str, str] = {}
+    for name, make in backends.items():
+        try:
+            ranked = make().select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.col("score").cast("double").alias("score"))
+            out.append(materialise(ranked.select(F.lit(name).alias("backend"), "*", F.lit(None).cast("string").alias("error")), "backend"))
+        except Exception as e:  # whatever a back end raises is its own
+            failed[name] = f"{type(e).__name__}: {e}".partition("\n")[0][:500]
+    spark = SparkSession.active()
+    if failed:
+        kinds = dict(out[0].dtypes) if out else {"query_id": "long", "chunk_id": "long"}
+        schema = f"backend string, query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, rank long, score double, error string"
+        out.append(spark.createDataFrame([(name, None, None, None, None, e) for name, e in failed.items()], schema))
+    return reduce(DataFrame.unionByName, out)

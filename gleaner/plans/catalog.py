@@ -96,12 +96,14 @@ def pending_documents(spark, sf):
 
 
 @query(f"""WITH {STRATEGIES}, req AS (SELECT c_custkey AS doc_id, 's' || (c_custkey % 150) AS strategy_id, CASE WHEN c_custkey % 6 = 0 THEN c_custkey * 11 % 3000 END AS r_size, CASE WHEN c_custkey % 8 = 0 THEN c_custkey % 700 END AS r_over FROM customer),
-m AS (SELECT doc_id, coalesce(r_size, chunk_size, 1000) AS a, coalesce(r_over, chunk_overlap, 200) AS b, coalesce(engine_type = 'api_docs', FALSE) AS free FROM req LEFT JOIN str USING (strategy_id))
+m AS (SELECT doc_id, coalesce(r_size, CASE WHEN doc_id % 5 = 0 THEN doc_id * 13 % 2500 END, chunk_size, 1000) AS a, coalesce(r_over, CASE WHEN doc_id % 10 = 0 THEN doc_id % 900 END, chunk_overlap, 200) AS b, coalesce(engine_type = 'api_docs', FALSE) AS free FROM req LEFT JOIN str USING (strategy_id))
 SELECT doc_id, CASE WHEN free THEN a ELSE least(2000, greatest(50, a)) END AS chunk_size, CASE WHEN free THEN b ELSE least(500, greatest(0, b)) END AS chunk_overlap FROM m""")
 def effective_config(spark, sf):
     k = F.col("c_custkey")
     req = table(spark, sf, "customer").select(k.alias("doc_id"), F.concat(F.lit("s"), (k % 150).cast("string")).alias("strategy_id"), F.when(k % 6 == 0, k * 11 % 3000).alias("r_size"), F.when(k % 8 == 0, k % 700).alias("r_over"))
-    return B.effective_config(req, strategies(spark, sf))
+    # every fifth document has a configuration, every tenth with an overlap
+    own = req.where("doc_id % 5 = 0").select("doc_id", (F.col("doc_id") * 13 % 2500).alias("c_size"), F.when(F.col("doc_id") % 10 == 0, F.col("doc_id") % 900).alias("c_over"))
+    return B.effective_config(req, strategies(spark, sf), configs=own)
 
 
 @query(f"WITH {STRATEGIES} SELECT strategy_id, row_number() OVER (ORDER BY is_system DESC, name) AS place FROM str WHERE strategy_id <> 'default'")

@@ -1,7 +1,5 @@
 """Queries over vectors, postings, fused lists and their evaluation."""
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -350,8 +348,13 @@ def backend_summary(spark, sf):
     return K.backend_summary(vec_metrics(spark, sf).withColumn("backend", F.lit("flat")), ["precision", "recall", "mrr"])
 
 
-@query(f"""WITH {LISTS}, {WEIGHTED} SELECT 'dense' AS backend, query_id, chunk_id, rank FROM d20 UNION ALL SELECT 'lexical', query_id, chunk_id, rank FROM l20 UNION ALL SELECT 'weighted', query_id, chunk_id, rank FROM wh""")
+@query(f"""WITH {LISTS}, {WEIGHTED} SELECT 'dense' AS backend, query_id, chunk_id, rank, '' AS error FROM d20 UNION ALL SELECT 'lexical', query_id, chunk_id, rank, '' FROM l20 UNION ALL SELECT 'weighted', query_id, chunk_id, rank, '' FROM wh UNION ALL SELECT 'broken', NULL, NULL, NULL, 'ValueError: out of order'""")
 def compare_backends(spark, sf):
+    """Three back ends, and one that fails."""
     dense, lexical = both_lists(spark, sf)
-    parts = {"dense": dense, "lexical": lexical, "weighted": I.weighted_hybrid(lexical, dense)}
-    return reduce(DataFrame.unionByName, (v.select(F.lit(k).alias("backend"), "query_id", "chunk_id", "rank") for k, v in parts.items()))
+
+    def broken() -> DataFrame:
+        raise ValueError("out of order")
+
+    found = K.compare_backends({"dense": lambda: dense, "broken": broken, "lexical": lambda: lexical, "weighted": lambda: I.weighted_hybrid(lexical, dense)})
+    return found.select("backend", "query_id", "chunk_id", "rank", F.coalesce("error", F.lit("")).alias("error"))
