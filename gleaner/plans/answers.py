@@ -57,9 +57,9 @@ def split_chat_prompt(spark, sf):
     return J.split_chat_prompt(p).select("query_id", "system", F.md5(F.col("user").cast("binary")).alias("user"))
 
 
-@query(r"SELECT doc_id, CASE WHEN length(c) > 500 THEN left(c, 500) || '... [truncated]' ELSE c END AS text FROM (SELECT doc_id, regexp_replace(text, '[^\P{C}\n\t]', '', 'g') AS c FROM documents)")
+@query(r"SELECT doc_id, CASE WHEN length(c) > 5000 THEN left(c, 5000) || '... [truncated]' ELSE c END AS text FROM (SELECT doc_id, regexp_replace(text, '[^\P{C}\n\t]', '', 'g') AS c FROM documents)")
 def sanitize_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", J.sanitize_text("text", 500).alias("text"))
+    return table(spark, sf, "documents").select("doc_id", J.sanitize_text("text").alias("text"))
 
 
 @query(r"SELECT doc_id, left(regexp_replace(replace(regexp_replace(text, '(?i)((?:api_?key|key|secret|token|password|auth|credential)[a-z_]*\s*[=:]\s*)\S+', '\1***', 'g'), chr(10), '\n'), '[\x00-\x1f\x7f]', '', 'g'), 200) AS text FROM documents")

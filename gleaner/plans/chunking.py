@@ -51,6 +51,21 @@ def document_elements(spark, sf):
     return C.lines(docs(spark, sf)).withColumn("pos", F.col("pos").cast("long"))
 
 
+@query(f"""WITH {LINES}, e AS (SELECT doc_id, pos // 20 AS a, pos // 5 AS b, pos, content FROM ele), n AS (SELECT DISTINCT doc_id, 'part ' || a AS content, 0 AS depth, [-a] AS path FROM e UNION ALL SELECT DISTINCT doc_id, 'section ' || b, 1, [-a, b % 4] FROM e UNION ALL SELECT doc_id, content, 2, [-a, b % 4, pos * 7 % 5] FROM e)
+SELECT doc_id, content, CAST(depth AS BIGINT) AS depth, array_to_string(path, '.') AS path, row_number() OVER (PARTITION BY doc_id ORDER BY path) - 1 AS pos FROM n""")
+def document_elements_tree(spark, sf):
+    """Parts of twenty lines in falling order, sections of five, lines in an order of their own."""
+    e = C.lines(docs(spark, sf)).withColumn("pos", F.col("pos").cast("long")).withColumns({"a": F.floor(F.col("pos") / 20), "b": F.floor(F.col("pos") / 5)})
+    text = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    none = F.lit(None).cast("string")
+    node = lambda key, parent, order, content: ("doc_id", key.alias("element_id"), parent.alias("parent_id"), order.cast("long").alias("ord"), content.alias("content"))
+    parts = e.select(*node(text("a", "a"), none, -F.col("a"), text("part ", "a"))).distinct()
+    sections = e.select(*node(text("b", "b"), text("a", "a"), F.col("b") % 4, text("section ", "b"))).distinct()
+    leaves = e.select(*node(text("c", "pos"), text("b", "b"), F.col("pos") * 7 % 5, F.col("content")))
+    t = C.flatten_elements(parts.unionByName(sections).unionByName(leaves))
+    return t.select("doc_id", "content", F.col("depth").cast("long").alias("depth"), F.array_join(F.transform("path", lambda p: p.cast("string")), ".").alias("path"), "pos")
+
+
 @query(f"WITH {LINES}, x AS (SELECT *, CASE WHEN pos % 3 <> 0 THEN pos * 0.5 END AS v FROM ele) SELECT doc_id, content, min(pos) AS chunk_index, arg_min(v, pos) FILTER (WHERE v IS NOT NULL)::DOUBLE AS first_value FROM x GROUP BY doc_id, content")
 def dedup_chunks_exact(spark, sf):
     """Every third line has no vector; the others' vectors name their line."""

@@ -177,15 +177,17 @@ def resolve_backlinks(spark, sf):
     return G.resolve_links(*links(spark, sf))[1]
 
 
-@query(f"""WITH {LINKS}, eg AS (SELECT DISTINCT doc_id, chunk_index, target FROM lo WHERE target IS NOT NULL UNION SELECT doc_id, target, chunk_index FROM lo WHERE target IS NOT NULL), rk AS (SELECT doc_id % 10 AS query_id, doc_id, chunk_index, round(1.0 / (1 + chunk_index), 6) AS score FROM chk WHERE (doc_id + chunk_index) % 4 = 0),
+@query(f"""WITH {LINKS}, eg AS (SELECT DISTINCT doc_id, chunk_index, target FROM lo WHERE target IS NOT NULL UNION SELECT doc_id, target, chunk_index FROM lo WHERE target IS NOT NULL), rk AS (SELECT c.doc_id % 10 AS query_id, c.doc_id, chunk_index, round(1.0 / (1 + chunk_index), 6) AS score FROM chk c JOIN conversations u ON u.conv_id = c.doc_id AND u.turn = c.page AND u.role = 'user'),
 nw AS (SELECT query_id, r.doc_id, target AS chunk_index, round(max(score) * 0.85, 6) AS score FROM rk r JOIN eg ON eg.doc_id = r.doc_id AND eg.chunk_index = r.chunk_index GROUP BY 1, 2, 3), al AS (SELECT *, 0 AS new FROM rk UNION ALL SELECT *, 1 FROM nw WHERE NOT EXISTS (SELECT 1 FROM rk r WHERE r.query_id = nw.query_id AND r.doc_id = nw.doc_id AND r.chunk_index = nw.chunk_index)),
 nn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY new, score DESC, doc_id, chunk_index) AS n, count(CASE WHEN new = 0 THEN 1 END) OVER (PARTITION BY query_id) AS m FROM al) SELECT query_id, doc_id, chunk_index, score FROM nn WHERE n <= m * 2""")
 def expand_with_links(spark, sf):
+    """What users say is ranked; links lead on to the rest."""
     l, chunks = links(spark, sf)
     forward, _ = G.resolve_links(l, chunks)
     one = forward.where("target is not null").select("doc_id", "chunk_index", "target")
     edges = one.unionByName(one.select("doc_id", F.col("target").alias("chunk_index"), F.col("chunk_index").alias("target")))
-    ranked = chunks.where("(doc_id + chunk_index) % 4 = 0").select((F.col("doc_id") % 10).alias("query_id"), "doc_id", "chunk_index", F.round(1 / (1 + F.col("chunk_index")), 6).alias("score"))
+    asked = table(spark, sf, "conversations").where("role = 'user'").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"))
+    ranked = chunks.join(asked.hint("merge"), ["doc_id", "page"]).select((F.col("doc_id") % 10).alias("query_id"), "doc_id", "chunk_index", F.round(1 / (1 + F.col("chunk_index")), 6).alias("score"))
     return G.expand_with_links(ranked, edges)
 
 

@@ -415,3 +415,11 @@ def test_repeated_suffixes_and_concise_answers(spark):
     assert clean("One is this. Two is that. Three is not", length="concise") == "One is this. Two is that."
     assert clean("One is this. Two is that.", length="concise") == "One is this. Two is that." and clean("no sentence here", length="concise") == "no sentence here"
     assert clean("One is this. Two is", length="detailed") == "One is this. Two is"
+
+
+def test_nested_elements(spark):
+    schema = "doc_id long, element_id string, parent_id string, ord long, content string"
+    rows = [(1, "r", None, 0, "doc"), (1, "b", "r", 2, "B"), (1, "a", "r", 1, "A"), (1, "a2", "a", 5, "A2"), (1, "a1", "a", 5, "A1"), (1, "x", "lost", 0, "X"), (1, "c", "d", 0, "circle"), (1, "d", "c", 0, "circle"), (2, "r", None, 0, "two")]
+    got = [(r.doc_id, r.pos, r.depth, r.content) for r in C.flatten_elements(spark.createDataFrame(rows, schema)).orderBy("doc_id", "pos").collect()]
+    assert got == [(1, 0, 0, "doc"), (1, 1, 1, "A"), (1, 2, 2, "A1"), (1, 3, 2, "A2"), (1, 4, 1, "B"), (2, 0, 0, "two")]
+    assert C.flatten_elements(spark.createDataFrame([], schema)).count() == 0
