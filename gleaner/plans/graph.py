@@ -138,7 +138,7 @@ def collect_names(spark, sf):
     return G.collect_names(found(spark, sf, n), n)
 
 
-@query(f"WITH {NODES}, {FOUND} SELECT query_id, chunk_id, rank, score, kind, name, content FROM fnd JOIN nod USING (chunk_id)")
+@query(f"WITH {NODES} SELECT doc_id AS query_id, chunk_id, rank, round(1.0 / rank, 6) AS score, kind, name, content FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id) AS rank FROM nod WHERE kind IN ('method', 'parameter', 'property', 'record_field'))")
 def resolve_sources(spark, sf):
     n = nodes(spark, sf)
     extra = found(spark, sf, n)
