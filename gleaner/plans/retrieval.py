@@ -46,7 +46,7 @@ def lexical_index(spark, sf, tokens=camel_tokens) -> DataFrame:
 
 
 def lexical_blocks(spark, sf, tokens=camel_tokens) -> H.Blocks:
-    return H.blocks_of(saved(spark, sf, "documents", f"blocks-{tokens.__name__}", lambda: H.impact_blocks(lexical_index(spark, sf, tokens))))
+    return H.blocks_of(saved(spark, sf, "documents", f"blocks-{tokens.__name__}", lambda: H.impact_blocks(H.bm25_index(chunks(spark, sf), tokens))))
 
 
 def vec_lists(spark, sf) -> DataFrame:
