@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,27 +88,33 @@ def repeated_suffix(text: str) -> int:
     return best if best >= SUFFIX else 0
 
 
-def drop_repeated_suffix(text: Column | str) -> Column:
-    """Texts without a long suffix that already appeared; answers that repeat several times lose one repetition after the other."""
+def drop_repeated_suffix(df: DataFrame, text: str) -> DataFrame:
+    """df with texts that lose a long suffix that already appeared; those that repeat several times lose one repetition after the other. Between clean_answers and concise."""
+    at = df.columns.index(text)
+
+    def cut(t: str | None) -> str | None:
+        while t and len(t) >= 2 * SUFFIX and (n := repeated_suffix(t)):
+            t = t[:-n].rstrip()
+        return t
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.set_column(at, text, pa.array([cut(t) for t in batch.column(at).to_pylist()], pa.string()))
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> str | None:
-            while t and len(t) >= 2 * SUFFIX and (n := repeated_suffix(t)):
-                t = t[:-n].rstrip()
-            return t
+    return df.mapInArrow(run, df.schema)
 
-        return texts.map(one)
 
-    return cut(col(text))
+def concise(text: Column | str) -> Column:
+    """A text that doesn't end in . ! ? or ) up to its last whole sentence, if it has one."""
+    t = col(text)
+    return F.when(t.rlike(r"(?s)[^.!?)]$") & t.rlike(r"(?s)^.+\. "), F.regexp_extract(t, r"(?s)^(.+\.) ", 1)).otherwise(t)
 
 
-def clean_answers(answer: Column | str, citations: bool = False, length: str = "normal", repeated_suffix: bool = False) -> Column:
+def clean_answers(answer: Column | str, citations: bool = False, length: str = "normal") -> Column:
     """Special tokens, role markers, ids, page references and (unless wanted) citations removed; short and repeated lines dropped.
 
     A line goes if it has at most 10 characters or if an earlier kept line begins with its first 60
-    characters; three or more equal words in a row become one. With repeated_suffix a long ending that stood before goes, too.
-    A concise answer that doesn't end in . ! ? or ) ends after its last whole sentence, if it has one.
+    characters; three or more equal words in a row become one. With length concise the answer is cut by concise().
     """
     t = F.regexp_replace(col(answer), r"(?s)^.*\[/?INST\]|<\|[a-z_]+\|>|</?s>", "")
     t = F.regexp_replace(t, r"(?s)(Human|Assistant|Question|Answer|Sources):.*$", "")
@@ -117,11 +125,7 @@ def clean_answers(answer: Column | str, citations: bool = False, length: str = "
     rows = F.filter(F.transform(F.split(t, "\n"), strip), lambda s: F.length(s) > 10)
     kept = F.aggregate(rows, F.array().cast("array<string>"), lambda acc, s: F.when(F.exists(acc, lambda k: F.startswith(k, F.substring(s, 1, 60))), acc).otherwise(F.concat(acc, F.array(s))))
     t = F.array_join(kept, "\n")
-    if repeated_suffix:
-        t = drop_repeated_suffix(t)
-    if length == "concise":
-        t = F.when(t.rlike(r"(?s)[^.!?)]$") & t.rlike(r"(?s)^.+\. "), F.regexp_extract(t, r"(?s)^(.+\.) ", 1)).otherwise(t)
-    return t
+    return concise(t) if length == "concise" else t
 
 
 def detect_repetition(text: Column | str, n: int = 20, within: int = 280) -> Column:
