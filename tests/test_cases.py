@@ -425,3 +425,17 @@ def test_nested_elements(spark):
     got = [(r.doc_id, r.pos, r.depth, r.content) for r in C.flatten_elements(spark.createDataFrame(rows, schema)).orderBy("doc_id", "pos").collect()]
     assert got == [(1, 0, 0, "doc"), (1, 1, 1, "A"), (1, 2, 2, "A1"), (1, 3, 2, "A2"), (1, 4, 1, "B"), (2, 0, 0, "two")]
     assert C.flatten_elements(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_class_metrics_make_no_pairs(spark):
+    """Chunks of the query's class are relevant: the metrics of all pairs, but no row for a pair."""
+    from gleaner.operators import evaluation
+
+    q = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "z")], "query_id long, label string")
+    c = spark.range(600).selectExpr("id AS chunk_id", "CASE id % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'c' END AS label")
+    ranked = spark.createDataFrame([(i, j, r) for i in (1, 2, 3, 4) for r, j in enumerate((3, 5, 8, 9), 1)], "query_id long, chunk_id long, rank int")
+    pairs = q.join(c, "label").select("query_id", "chunk_id")
+    own = evaluation.class_precision_recall_mrr(ranked, q, c, "label", 3)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(own) == rows(evaluation.precision_recall_mrr(ranked, pairs, q, 3))
+    assert rows(own)[0] == (1, 0.333333, 0.006667, 0.333333)
