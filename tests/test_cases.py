@@ -439,3 +439,21 @@ def test_class_metrics_make_no_pairs(spark):
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(own) == rows(evaluation.precision_recall_mrr(ranked, pairs, q, 3))
     assert rows(own)[0] == (1, 0.333333, 0.006667, 0.333333)
+
+
+def test_texts_and_vectors_read_once(spark):
+    """Without an index or lists: the same k best, whatever the lots; copies and ties go to smaller ids."""
+    texts = [None, "", *(" ".join(f"w{(i * j) % 13}" for j in range(1 + i % 9)) for i in range(200)), *["w1 w2 same"] * 40]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string").repartition(5)
+    queries = spark.createDataFrame([(1, "w1 w2 w2"), (2, "w5 nowhere"), (3, "w0 w3 same"), (4, "none"), (5, None)], "query_id long, question string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    index = H.bm25_index(chunks)
+    for k in (1, 7, 300):
+        assert rows(H.bm25_topk(queries, chunks, H.Texts(chunks), k)) == rows(H.bm25_topk(queries, chunks, index, k))
+        few = H.scanned_scores(queries, chunks, k, most=4)
+        assert rows(H.top_k(few, k)) == rows(H.top_k(H.bm25_scores(queries, index), k))
+    n = few.rdd.getNumPartitions()
+    assert H.scanned_scores(queries, chunks, 2).groupBy("query_id").count().where(f"count > {2 * 40 * n}").count() == 0
+    q, c = G.embed_words(queries, "query_id", "question"), G.embed_words(chunks, "chunk_id", "content")
+    for k in (1, 7):
+        assert rows(G.scanned_topk(q, c, k)) == rows(G.flat_ip_topk(q, c, k))
