@@ -457,3 +457,15 @@ def test_texts_and_vectors_read_once(spark):
     q, c = G.embed_words(queries, "query_id", "question"), G.embed_words(chunks, "chunk_id", "content")
     for k in (1, 7):
         assert rows(G.scanned_topk(q, c, k)) == rows(G.flat_ip_topk(q, c, k))
+
+
+def test_few_needles_cut_no_text_into_runs(spark):
+    """The texts are read once by an automaton; no run of words is exploded, joined or shuffled."""
+    from gleaner.operators import evaluation
+
+    chunks = spark.createDataFrame([(1, "a b c d e f g h"), (2, "xa b c d e f g hy"), (3, None), (4, "b c")], "chunk_id long, content string")
+    needles = spark.createDataFrame([(7, "a b c d e f g h"), (8, "b c"), (9, ""), (10, None)], "query_id long, expected string")
+    found = evaluation.label_relevant(chunks, needles)
+    assert sorted(map(tuple, found.collect())) == [(7, 1), (7, 2), (8, 1), (8, 2), (8, 4)]
+    plan = found._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "Join" not in plan
