@@ -469,3 +469,11 @@ def test_few_needles_cut_no_text_into_runs(spark):
     assert sorted(map(tuple, found.collect())) == [(7, 1), (7, 2), (8, 1), (8, 2), (8, 4)]
     plan = found._jdf.queryExecution().toString()
     assert "Generate" not in plan and "Join" not in plan
+
+
+def test_kept_postings_need_no_weights(spark, sf, monkeypatch):
+    """load_index keeps terms and their times; weights, which take a join of all postings, aren't made for it."""
+    from gleaner.plans import jobs as plans
+
+    monkeypatch.setattr(plans.H, "bm25_index", None)
+    assert plans.load_index(spark, sf).where("tf < 1 or term is null").count() == 0
