@@ -132,7 +132,7 @@ g AS (SELECT doc_id, 1::BIGINT AS k, 0::BIGINT AS i FROM (SELECT DISTINCT doc_id
 s AS (SELECT doc_id, i, k, lead(k) OVER (PARTITION BY doc_id ORDER BY k) AS till FROM g)
 SELECT s.doc_id, s.i AS chunk_index, string_agg(t.c, chr(10) || chr(10) ORDER BY t.k) AS content FROM s JOIN t ON t.doc_id = s.doc_id AND t.k >= s.k AND t.k < s.till GROUP BY 1, 2""")
 def pack_paragraphs(spark, sf):
-    return C.pack_paragraphs(C.lines(docs(spark, sf))).withColumn("chunk_index", F.col("chunk_index").cast("long"))
+    return C.pack_lines(docs(spark, sf).where("doc_id is not null")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
 def segments(spark, sf):
