@@ -12,9 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Rows of a leaf, nodes below a node.
-LEAF, FAN = 256, 16
-EXACT = float(1 << 53)
+#: Rows of a leaf, nodes below a node, searches that are compared with a leaf at once.
+LEAF, FAN, TOGETHER = 256, 16, 4096
+#: Whole numbers below are exact in doubles, and in single precision.
+EXACT, EXACT_SINGLE = float(1 << 53), float(1 << 24)
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
@@ -110,6 +111,59 @@ class Request:
     least: int
 
 
+@dataclass
+class Lot:
+    """Many searches at once, each with windows of scores: pairs of whole numbers, and the same as columns of lows and highs, where one that a search doesn't have is empty."""
+
+    ids: np.ndarray
+    labels: np.ndarray
+    vectors: np.ndarray
+    windows: list[list[tuple[int, int]]]
+    same: bool
+
+    def __post_init__(self) -> None:
+        wide = max(map(len, self.windows), default=1)
+        padded = [[*w, *[(np.inf, -np.inf)] * (wide - len(w))] for w in self.windows]
+        self.lows, self.highs = np.moveaxis(np.array(padded, np.float64).reshape(len(padded), wide, 2), 2, 0)
+
+
+class Firsts:
+    """The first k rows of each window of a lot so far: by score, then id. No row under `least` can still come in."""
+
+    def __init__(self, k: int, least: np.ndarray) -> None:
+        self.k, self.least = k, least.astype(np.float64)
+        self.rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = self.due = 0
+
+    def add(self, window: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        if len(window):
+            self.rows.append((window, score, ids))
+            self.size += len(window)
+            if self.size > self.due:
+                self.prune()
+
+    def prune(self) -> None:
+        window, score, ids = (np.concatenate(x) for x in zip(*self.rows, strict=True))
+        order = np.lexsort((ids, ~score, window))  # ~ falls as its number rises and has no overflow
+        window, score, ids = window[order], score[order], ids[order]
+        place = np.arange(len(window)) - np.searchsorted(window, window)
+        last = place == self.k - 1
+        kth = score[last].astype(np.float64)
+        kth = np.where(np.abs(kth) < EXACT, kth, np.nextafter(kth, -np.inf))  # rounded up it would shut out ties
+        self.least.ravel()[window[last]] = np.maximum(self.least.ravel()[window[last]], kth)
+        kept = place < self.k
+        self.rows = [(window[kept], score[kept], ids[kept])]
+        self.size = int(kept.sum())
+        self.due = 2 * self.size + (1 << 17)
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, score, id), a window's in their order."""
+        if not self.rows:
+            return (np.empty(0, np.int64),) * 3
+        self.prune()
+        return self.rows[0]
+
+
 class RTree:
     """Rows in packed order with the boxes of all levels; level 0 has the leaves."""
 
@@ -163,6 +217,48 @@ class RTree:
             yield scores, ids
 
 
+    def search_all(self, lot: Lot, own: np.ndarray, firsts: Firsts) -> None:
+        """search() for the searches `own` of a lot, whose products doubles hold exactly; what is found goes to firsts.
+
+        Each search opens its leaves best first; those that open the same leaf in a round are one product.
+        """
+        leaves, wide = self.first[1], lot.lows.shape[1]
+        size = np.abs(self.vectors).max(initial=0) * max(1, self.vectors.shape[1]) * np.abs(lot.vectors[own]).max(initial=0)
+        kind = np.float32 if size < EXACT_SINGLE else np.float64
+        rows = self.vectors.astype(kind)
+        for at in range(0, len(own), TOGETHER):
+            part = own[at : at + TOGETHER]
+            lows, highs, label = lot.lows[part], lot.highs[part], lot.labels[part, None]
+            queries, most_high = lot.vectors[part].astype(kind), highs.max(axis=1)
+            down, up = bounds(lot.vectors[part], self.low[:leaves], self.high[:leaves])
+            least_label, most_label = self.least_label[:leaves], self.most_label[:leaves]
+            alike = (least_label <= label) & (label <= most_label) if lot.same else (least_label != label) | (most_label != label)
+            good = np.full(up.shape, -np.inf)  # the best that a leaf can give
+            for w in range(wide):
+                value = np.minimum(up, highs[:, w, None])
+                open_ = alike & (up >= lows[:, w, None]) & (down <= highs[:, w, None]) & (value >= firsts.least[part, w, None])
+                good[open_] = np.maximum(good, value)[open_]
+            order = np.argsort(-good, axis=1, kind="stable")
+            for leaf in order.T:
+                value = good[np.arange(len(part)), leaf]
+                on = np.flatnonzero((value > -np.inf) & (value >= firsts.least[part].min(axis=1)))
+                if not len(on):
+                    break  # and so are all that are left
+                on = on[np.argsort(leaf[on], kind="stable")]
+                for mine in np.split(on, np.flatnonzero(np.diff(leaf[on])) + 1):
+                    first = int(leaf[mine[0]]) * self.leaf
+                    s = queries[mine] @ rows[first : first + self.leaf].T
+                    from_ = np.maximum(lows[mine], firsts.least[part[mine]])
+                    lo, hi = (np.nextafter(x.astype(kind), kind(to))[:, None] for x, to in ((from_.min(axis=1), -np.inf), (most_high[mine], np.inf)))
+                    i, j = np.nonzero((s >= lo) & (s <= hi))
+                    score, i, j = s[i, j].astype(np.float64), mine[i], j + first
+                    fit = ((self.labels[j] == label[i, 0]) == lot.same) & (self.ids[j] != lot.ids[part[i]])
+                    score, i, j = score[fit], i[fit], j[fit]
+                    for w in range(wide):
+                        in_ = (score >= np.maximum(lows[i, w], firsts.least[part[i], w])) & (score <= highs[i, w])
+                        firsts.add(part[i[in_]] * wide + w, score[in_].astype(np.int64), self.ids[j[in_]])
+
+
 def whole_numbers(vectors: np.ndarray) -> np.ndarray:
     """The same matrix with Python's unbounded integers, for products that doubles can't hold."""
     out = np.empty(vectors.shape, object)

@@ -79,3 +79,24 @@ def test_boxes_bound_products():
                 fit = sorted((-s, i) for i, s in enumerate(exact.tolist()) if (labels[order][i] == 1) == same and i != 0 and lo <= s <= hi)[:5]
                 scores, ids = next(tree.search(query, [rtree.Request(0, 1, same, lo, hi, rtree.LEAST)], 5))
                 assert [(-s, i) for s, i in zip(scores.tolist(), ids.tolist(), strict=True)] == fit
+
+
+def test_a_task_hands_on_its_best(spark):
+    """However many shards a task reads, it hands on k rows of a window, those of all shards."""
+    rng = np.random.default_rng(3)
+    rows = [(i, int(rng.integers(3)), rng.normal(0, 1, 8).tolist()) for i in range(600)]
+    index = hardnegatives.Index(*hardnegatives._valid(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"), "vec_id", "embedding", "label", 256), 20)
+    shards = index.shards.select("tile", "sub", "kind", "ids", "labels", "vectors").toArrow().to_batches()
+    assert sum(b.num_rows for b in shards) > 20
+    whole = np.floor(256 * np.array([v for _, _, v in rows]))
+    ids, labels = np.arange(600), np.array([y for _, y, _ in rows])
+    windows = [[(rtree.LEAST, rtree.MOST)] if i % 2 else [(-50_000, 90_000), (0, 60_000), (5, 7)] for i in range(600)]
+    lot = rtree.Lot(ids, labels, whole, windows, False)
+    least = np.where(lot.lows <= lot.highs, -np.inf, np.inf)
+    got = [r for b in hardnegatives._searched(lot, least, 4, ids)(iter(shards)) for r in b.to_pylist()]
+    assert len(got) <= 4 * sum(map(len, windows))
+    scores = whole @ whole.T
+    for a in range(0, 600, 37):
+        for w, (lo, hi) in enumerate(windows[a]):
+            fit = sorted((-s, c) for c, s in enumerate(scores[a].tolist()) if labels[c] != labels[a] and c != a and lo <= s <= hi)[:4]
+            assert [(-r["score"], r["c"]) for r in got if (r["a"], r["w"]) == (a, w)] == fit
