@@ -529,6 +529,46 @@ def test_texts_and_vectors_read_once(spark):
         assert rows(G.scanned_topk(q, c, k)) == rows(G.flat_ip_topk(q, c, k))
 
 
+def test_many_questions_are_compared_by_classes(spark):
+    """Rare terms by a join, common ones by classes of questions and of texts, equal vectors once: the same k best."""
+    texts = [None, "", *(" ".join(f"w{(i * j) % 13}" for j in range(1 + i % 9)) + f" own{i // 2}" for i in range(120)), *["w1 w2 same"] * 40, "own3 own3 w1", "own7"]
+    chunks = spark.createDataFrame([(j * 37 % 1000, t) for j, t in enumerate(texts)], "chunk_id long, content string").repartition(5)
+    asked = [(i, f"own{i} w{i % 3} w{i % 2 + 1}") for i in range(40)] + [(100, "w1 w2 w2"), (101, "w5 nowhere"), (102, "none"), (103, None), (104, "w0 w3 same"), (105, "same own3 own3")]
+    queries = spark.createDataFrame(asked, "query_id long, question string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    index = H.bm25_index(chunks).cache()
+    for k, rare, most in ((1, 3, 4), (7, 64, 1 << 18), (7, 0, 1 << 18)):
+        got = H.grouped_scores(queries, chunks, k, rare=rare, most=most)
+        assert rows(H.top_k(got, k)) == rows(H.top_k(H.bm25_scores(queries, index), k))
+    assert rows(H.bm25_topk(queries, chunks, H.Texts(chunks, many=True), 7)) == rows(H.bm25_topk(queries, chunks, index, 7))
+    negative = spark.createDataFrame([(1, "a b"), (2, "a b c"), (3, "a")], "chunk_id long, content string")  # all weights under zero
+    ask = spark.createDataFrame([(1, "a b c"), (2, "b")], "query_id long, question string")
+    assert rows(H.top_k(H.grouped_scores(ask, negative, 2), 2)) == rows(H.top_k(H.bm25_scores(ask, H.bm25_index(negative)), 2))
+    q, c = G.embed_words(queries, "query_id", "question"), G.embed_words(chunks, "chunk_id", "content")
+    for k in (1, 7):
+        assert rows(G.scanned_topk(q, c, k, alike=True)) == rows(G.flat_ip_topk(q, c, k))
+
+
+def test_single_precision_only_leaves_out():
+    """Products that differ by less than single precision tells, huge ones, and all pairs above: those of doubles."""
+    import numpy as np
+
+    from gleaner.operators import scan
+
+    rng = np.random.default_rng(5)
+    for scale, spread in ((1.0, 1e-7), (1.0, 1.0), (1e-20, 1.0), (1e25, 1.0), (3e4, 1e-9)):
+        q = (1 + spread * rng.normal(size=(30, 16))) * scale
+        m = (1 + spread * rng.normal(size=(50, 16))) * scale
+        exact = m @ q.T
+        for floor in (np.median(exact, axis=0), np.full(30, -np.inf), exact.max(axis=0) * (1 - 1e-12)):
+            beat = floor + 0.4e-6
+            row, question, score = scan._Tile(np.arange(30), q).above(m, floor)
+            sure = np.abs(exact - beat) > 1e-12 * np.abs(exact)
+            got = np.zeros(exact.shape, bool)
+            got[row, question] = True
+            assert ((exact > beat) == got)[sure].all() and np.allclose(score, exact[row, question], rtol=1e-12, atol=0)
+
+
 def test_few_needles_cut_no_text_into_runs(spark):
     """The texts are read once by an automaton; no run of words is exploded, joined or shuffled."""
     from gleaner.operators import evaluation
