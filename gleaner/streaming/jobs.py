@@ -19,7 +19,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.session import materialise
+from gleaner.session import materialise, spread
 from gleaner.sources.specs import load_index, persist_index
 
 
@@ -93,14 +93,15 @@ def ingest(documents: DataFrame, chunker: Callable[[DataFrame], DataFrame], out:
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.where("doc_id is null").write.mode("overwrite").parquet(f"{out}/rejected/batch={batch_id}")
-        known = materialise(batch.where("doc_id is not null"), "ingest-batch")
+        known = spread(materialise(spread(batch.where("doc_id is not null")), "ingest-batch"))
         todo, done = known.where("text is not null"), failed(known.where("text is null"), F.lit("no text"))
         for attempt in range(1, attempts + 1):
             rows = reduce(DataFrame.unionByName, tried(todo, [SEARCHES]))
             bad = materialise(rows.where("error is not null").groupBy("doc_id").agg(F.min("error").alias("error")), "ingest-bad")
-            done = done.unionByName(rows.join(bad.select("doc_id").hint("merge"), "doc_id", "left_anti"))
-            if bad.isEmpty():
+            if bad.isEmpty():  # rows stay where they are
+                done = done.unionByName(rows)
                 break
+            done = done.unionByName(rows.join(bad.select("doc_id").hint("merge"), "doc_id", "left_anti"))
             bad.select("doc_id", F.lit(attempt).alias("attempt"), "error").write.mode("overwrite").parquet(f"{out}/dead-letters/batch={batch_id}/try={attempt}")
             if attempt == attempts:
                 done = done.unionByName(failed(bad, F.col("error")))

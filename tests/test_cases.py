@@ -569,6 +569,36 @@ def test_single_precision_only_leaves_out():
             assert ((exact > beat) == got)[sure].all() and np.allclose(score, exact[row, question], rtol=1e-12, atol=0)
 
 
+def test_windows_cut_a_text_once(spark):
+    """Spark makes no condition of the windows that cuts the text again, once for each window; empty texts and least 0 as before."""
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, ""), (3, None), (4, " \n "), (5, "x")], "doc_id long, text string")
+    cut = C.chunk_token_window(docs, 3, 1, 0)
+    assert sorted(map(tuple, cut.collect())) == [(1, 0, "a b c"), (1, 1, "c d e"), (1, 2, "e"), (4, 0, ""), (5, 0, "x")]
+    assert cut._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_ingest_deals_one_file_to_all_cores(spark, monkeypatch):
+    """A batch of one file is cut by all cores, and rows without a failure aren't joined with failures."""
+    out, path = scratch_path(spark, "ingest"), scratch_path(spark, "in")
+    spark.range(64).selectExpr("id AS doc_id", "repeat('some words of a text ', 5) AS text").coalesce(1).write.parquet(path)
+    parts, shuffled, own = {}, [], jobs.materialise
+
+    def seen(df, name):
+        parts[name] = df.rdd.getNumPartitions()
+        return own(df, name)
+
+    def persisted(rows, *rest):
+        shuffled.append("Join" in rows._jdf.queryExecution().toString())
+        return persist(rows, *rest)
+
+    persist = jobs.persist_index
+    monkeypatch.setattr(jobs, "materialise", seen)
+    monkeypatch.setattr(jobs, "persist_index", persisted)
+    jobs.ingest(spark.readStream.schema(DOC).parquet(path), C.chunk_token_window, out)
+    assert jobs.ingested(spark, out).where("status = 'completed'").count() == 64
+    assert min(parts["ingest-batch"], parts["ingest-tried"]) >= spark.sparkContext.defaultParallelism and shuffled == [False]
+
+
 def test_few_needles_cut_no_text_into_runs(spark):
     """The texts are read once by an automaton; no run of words is exploded, joined or shuffled."""
     from gleaner.operators import evaluation
